@@ -112,9 +112,14 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         i = j
 
 
-def words(column: pa.Array) -> Iterator[Words]:
+#: Separators of terms: all of ASCII but letters and digits.
+TERMS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(column: pa.Array, space: np.ndarray = _SPACE) -> Iterator[Words]:
+    """The words of a column by chunks; ``space`` says which bytes separate them."""
     for first, data, offsets in chunks(column):
-        full = ~_SPACE[data]
+        full = ~space[data]
         edge = np.zeros(len(data) + 1, bool)  # a row begins here
         edge[offsets] = True
         before = np.empty(len(data), bool)
