@@ -35,7 +35,7 @@ from .words import U64, Words, combined, mix, windows, words
 
 SIZE, PERCENT = 5, 75
 #: Documents that make a token frequent; the level is raised until at most MOST_FREQUENT tokens are, which bounds what is broadcast.
-FREQUENT, MOST_FREQUENT = 32, 1 << 20
+FREQUENT, MOST_FREQUENT = 4, 1 << 20
 #: Lists up to this length are finished pair by pair, longer ones in blocks of about so many tokens.
 SHORT, BLOCK_TOKENS = 32, 1 << 20
 #: Document ids that may be broadcast to pick the texts to verify; beyond, they are joined by a shuffle.
@@ -187,23 +187,29 @@ def signature_lists(docs: DataFrame, buckets: int, size: int, percent: int, freq
             yield packed((sig % U64(buckets)).astype(np.int64), {"sig": (sig >> U64(32)).astype(np.uint32), "key": np.concatenate(own), "n": np.concatenate(size_)})
 
     def lists(table):
-        sig, key, n = unpacked(table["sig"], np.uint32), unpacked(table["key"], np.int64), unpacked(table["n"], np.int32)
-        order = np.lexsort((key, sig))
+        sig, key, n = unpacked(table["sig"], np.uint32), unpacked(table["key"], np.int64), unpacked(table["n"], np.int32).astype(np.int64)
+        order = np.lexsort((key, n, sig))
         sig, key, n = sig[order], key[order], n[order]
         keep = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])) if len(sig) else np.zeros(0, bool)
         sig, key, n = sig[keep], key[keep], n[keep]
-        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+        # by ascending size, no set before a gap can link to one after it
+        first = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (100 * n[:-1] < percent * n[1:]))) if len(sig) else np.zeros(0, np.int64)
         length = np.diff(np.append(first, len(sig)))
-        name = mix(np.add.reduceat(mix(key.view(U64)), first)).view(np.int64) if len(first) else np.zeros(0, np.int64)
+        if len(first):
+            name = mix(np.add.reduceat(mix(key.view(U64)), first)).view(np.int64)
+            pivot = np.minimum.reduceat(key, first)
+            pivot_n = n[key == np.repeat(pivot, length)]
+        else:
+            name = pivot = pivot_n = np.zeros(0, np.int64)
         many = np.repeat(length > 1, length)
-        return {k: pa.array(v[many]) for k, v in (("list", np.repeat(name, length)), ("length", np.repeat(length, length)), ("key", key), ("n", n.astype(np.int64)), ("pivot", np.repeat(key[first], length)), ("pivot_n", np.repeat(n[first], length).astype(np.int64)))}
+        return {k: pa.array(v[many]) for k, v in (("list", np.repeat(name, length)), ("length", np.repeat(length, length)), ("key", key), ("n", n), ("pivot", np.repeat(pivot, length)), ("pivot_n", np.repeat(pivot_n, length)))}
 
     sent = map_arrow(docs, "bucket int, sig binary, key binary, n binary", entries)
     return map_groups(sent, ["bucket"], "list long, length long, key long, n long, pivot long, pivot_n long", lists).dropDuplicates(["list", "key"])
 
 
 def packed_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """(key, tokens) of the documents whose ids are in ``chosen``."""
+    """(key, tokens) of the documents whose ids are in ``chosen``; rows that share an id may repeat a key, which does no harm."""
     few = chosen.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     docs = docs.join(F.broadcast(chosen) if few else chosen, "doc_id", "left_semi")
 
@@ -213,7 +219,7 @@ def packed_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
             bounds = np.cumsum([0, *(len(s) for _, s in rows)])
             yield {"key": pa.array([k for k, _ in rows], pa.int64()), "tokens": binary(np.concatenate([s for _, s in rows]), bounds)}
 
-    return map_arrow(docs, "key long, tokens binary", make).dropDuplicates(["key"])
+    return map_arrow(docs, "key long, tokens binary", make)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
