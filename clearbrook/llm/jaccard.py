@@ -324,12 +324,17 @@ def keep_first(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     """The documents without near duplicates: of each component the row of smallest doc_id, with all its columns.
 
     Of rows that share that doc_id the one with the smallest text digest stays (null texts
-    first). Rows without doc_id stay if nothing with a doc_id is linked to them.
+    first); only such rows are shuffled with their texts. Rows without doc_id stay if nothing
+    with a doc_id is linked to them.
     """
-    found = jaccard_components(docs, size, percent).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.withColumn("_kept", F.col("doc_id").cast("long")).join(found, F.col("_kept").eqNullSafe(F.col("_id")), "left_semi")
+    found = jaccard_components(docs, size, percent).where("component_id is null or doc_id = component_id")
+    found = stored(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "firsts")
+    few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    rows = docs.withColumn("_kept", F.col("doc_id").cast("long"))
+    rows = rows.join(F.broadcast(found) if few else found, F.col("_kept").eqNullSafe(F.col("_id")))
     once = Window.partitionBy("_kept").orderBy(F.md5("text").asc_nulls_first())
-    return rows.withColumn("_n", F.row_number().over(once)).where("_n = 1 or _kept is null").drop("_n", "_kept")
+    several = rows.where("_kept is not null and _rows > 1").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+    return rows.where("_kept is null or _rows = 1").unionByName(several).drop("_kept", "_id", "_rows")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
