@@ -1,0 +1 @@
+"""Spark-native data quality: load, profile, scan, plan, clean, validate, export."""

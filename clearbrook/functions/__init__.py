@@ -1 +1 @@
-
+"""Column builders: text, numbers, dates."""

@@ -1 +1 @@
-
+"""Cleaning, profiling, scanning and inspection over DataFrames."""

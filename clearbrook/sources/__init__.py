@@ -1 +1 @@
-
+"""Sources and sinks: CSV, XLSX, Parquet."""

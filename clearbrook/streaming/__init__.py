@@ -1 +1 @@
-
+"""Plans over streams."""
