@@ -138,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, per: i
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, per: int = PER) -> DataFrame:
     """The rows of docs, all columns, whose text has no verified overlap with the benchmark."""
     bad = stored(overlaps(docs, benchmark, span, per).select("digest").distinct(), "contaminated")
-    return docs.withColumn("_digest", F.xxhash64("text")).join(bad.toDF("_digest"), "_digest", "left_anti").drop("_digest")
+    return docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("digest")).join(bad, "digest", "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -330,11 +330,11 @@ def keep_first(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     found = jaccard_components(docs, size, percent).where("component_id is null or doc_id = component_id")
     found = stored(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "firsts")
     few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    rows = docs.withColumn("_kept", F.col("doc_id").cast("long"))
-    rows = rows.join(F.broadcast(found) if few else found, F.col("_kept").eqNullSafe(F.col("_id")))
-    once = Window.partitionBy("_kept").orderBy(F.md5("text").asc_nulls_first())
-    several = rows.where("_kept is not null and _rows > 1").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    return rows.where("_kept is null or _rows = 1").unionByName(several).drop("_kept", "_id", "_rows")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("kept"), F.md5("text").alias("digest"))
+    rows = rows.join(F.broadcast(found) if few else found, F.col("kept").eqNullSafe(F.col("_id")))
+    once = Window.partitionBy("kept").orderBy(F.col("digest").asc_nulls_first())
+    several = rows.where("kept is not null and _rows > 1").withColumn("place", F.row_number().over(once)).where("place = 1").select("row")
+    return rows.where("kept is null or _rows = 1").select("row").union(several).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -54,22 +54,20 @@ def plan_mix(docs: DataFrame, limit: int = LIMIT, seed: str = "mix") -> DataFram
     target 0 and its documents no copy. Rows without doc_id draw by their text; repeated rows draw
     alike. An empty table gives an empty result.
     """
-    docs = docs.withColumn("size", word_count(F.col("text")))
+    new = ("size", "source_size", "target", "copies", "taken")
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in new)).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).alias("key"), "source", word_count(F.col("text")).alias("size"))
     rates = stored(targets(docs.select("source", "size"), limit), "targets").withColumnRenamed("source", "_source")
     few = rates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    docs = docs.drop("source_size", "target").join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    docs = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    one = draw(seed, F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
-    docs = docs.withColumn("copies", (F.floor(rate) + F.when(one < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
-    return docs.withColumn("taken", F.col("copies") * F.col("size"))
+    docs = docs.withColumn("copies", (F.floor(rate) + F.when(draw(seed, F.col("key")) < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
+    return docs.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emit(docs: DataFrame, limit: int = LIMIT, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of docs as often as its plan says, with the columns of docs."""
-    names = docs.columns
-    docs = docs.select(*(F.col(c).alias(f"_in_{c}") for c in names), "doc_id", "text", "source")
-    docs = plan_mix(docs, limit, seed).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return docs.select(*(F.col(f"_in_{c}").alias(c) for c in names))
+    planned = plan_mix(docs.select(F.struct("*").alias("whole"), "doc_id", "text", "source"), limit, seed).where("copies > 0")
+    return planned.select("whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("whole.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -133,7 +133,8 @@ def judge(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: float
 def keep_good(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: float = KEEP) -> DataFrame:
     """The rows of docs, all columns, that the rules keep."""
     good = judge(docs, least, share, keep).where("kept").select(F.col("source").alias("_source"), F.lower(F.hex("digest")).alias("_digest")).distinct()
-    return docs.join(good, F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.md5("text") == F.col("_digest")), "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("host"), F.md5("text").alias("digest"))
+    return rows.join(good, F.col("host").eqNullSafe(F.col("_source")) & (F.col("digest") == F.col("_digest")), "left_semi").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -67,24 +67,22 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     task holds a whole shard. Rows without doc_id share one key and so one shard; repeated rows
     share a shard and get slots of their own. An empty table gives an empty result.
     """
-    layout = tree(shards)
-
-    def placed(rows: DataFrame, more: bool) -> DataFrame:
-        rows = rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        rows = descend(rows, layout, "_key", "shard")
-        if more:
-            rows = descend(rows, grown(layout), "_key", "grown_shard")
-        return rows.withColumn("_block", F.floor(draw("slot", F.col("_key")) * BLOCKS).cast("int"))
-
+    layout, new = tree(shards), ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = placed(docs.withColumn("size", F.octet_length(text).cast("long") + 16).withColumn("text_crc32", F.crc32(text).cast("long")).withColumn("law", F.lit("key")), True)
-    counts = placed(docs.select("doc_id"), False).groupBy("shard", "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("shard", "_block").orderBy("doc_id", "text_crc32", "size")
-    rows = rows.withColumn("_place", F.row_number().over(within) - 1)
-    rows = rows.join(F.broadcast(counts), ["shard", "_block"])  # at most shards * BLOCKS rows
-    return rows.withColumn("slot", F.col("_before") + F.col("_place")).drop("_key", "_block", "_place", "_before")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return descend(rows, layout, "key", "shard").withColumn("block", F.floor(draw("slot", F.col("key")) * BLOCKS).cast("int"))
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in new)).alias("row"), key, (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
+    rows = descend(placed(rows), grown(layout), "key", "grown_shard")
+    counts = placed(docs.select(key)).groupBy("shard", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("shard", "block").orderBy("key", "text_crc32", "size")
+    rows = rows.withColumn("place", F.row_number().over(within) - 1)
+    rows = rows.join(F.broadcast(counts), ["shard", "block"])  # at most shards * BLOCKS rows
+    return rows.select("row.*", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), "grown_shard")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
