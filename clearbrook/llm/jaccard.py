@@ -209,9 +209,10 @@ def signature_lists(docs: DataFrame, buckets: int, size: int, percent: int, freq
 
 
 def packed_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """(key, tokens) of the documents whose ids are in ``chosen``; rows that share an id may repeat a key, which does no harm."""
+    """(key, tokens) of the documents whose ids are in ``chosen``, null included; rows that share an id can repeat a key."""
+    chosen = chosen.select(F.col("doc_id").alias("_id")).distinct()
     few = chosen.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    docs = docs.join(F.broadcast(chosen) if few else chosen, "doc_id", "left_semi")
+    docs = docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def make(batch):
         rows = [(key, s) for _, s, key in _sets(batch, size)]
@@ -301,6 +302,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     nodes = ids.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     lists = stored(signature_lists(docs, buckets, size, percent, frequent_tokens(docs, buckets, size, frequent)), "lists")
     sets = stored(packed_sets(docs, nodes.join(lists.select("key").distinct(), "key", "left_semi").select("doc_id"), size), "sets")
+    if sets.groupBy("key").count().where("count > 1").limit(1).count():
+        sets = stored(sets.dropDuplicates(["key"]), "sets")
 
     stars = lists.where((F.col("key") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"), percent)).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     links = stored(linked(stars, sets, percent), "links")

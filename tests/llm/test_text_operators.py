@@ -284,3 +284,17 @@ def test_words_and_windows_are_those_of_the_pattern():
         h, bounds = windows(w.hashes(), w.bounds, 2)
         assert np.diff(bounds).tolist() == [max(0, len(split(t)) - 1) for t in texts] and len(set(h[bounds[3] : bounds[4]].tolist())) == 1
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_rows_without_an_id(spark):
+    text = " ".join(f"u{i}" for i in range(60))
+    rows = [(None, text), (5, text), (None, None), (None, text + " more"), (7, None), (None, "alone " + " ".join(f"z{i}" for i in range(70)))]
+    docs = frame(spark, rows)
+    linked = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()]
+    assert sorted(linked, key=str) == sorted([(None, 56, 5), (5, 56, 5), (None, 0, None), (None, 57, 5), (7, 0, 7), (None, 67, None)], key=str)
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard.keep_first(docs).collect() if r["doc_id"] is not None) == [(5, text), (7, None)]
+    cut = substrings.dedup_substrings(docs).collect()
+    assert len(cut) == len(rows) and all(r["n_removed"] == 0 for r in cut)
+    judged = quality.judge(docs).collect()
+    assert len(judged) == len(rows) and sum(r["kept"] for r in judged) == 4
+    assert mixing.plan_mix(docs).count() == len(rows)
