@@ -63,20 +63,23 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
 
     Takes doc_id and text. size is the text's UTF-8 bytes (null: none) plus 16; law is ``key``:
     doc_id and the number of shards decide. Slots of a shard run from 0 without gaps: its rows
-    are numbered within blocks by hash of doc_id, after all rows of the blocks before, so no
-    task holds a whole shard. Rows without doc_id share one key and so one shard; repeated rows
-    share a shard and get slots of their own. An empty table gives an empty result.
+    are numbered within blocks by hash of doc_id and text, after all rows of the blocks before,
+    so no task holds a whole shard. Rows without doc_id share one key and so one shard, and so
+    do rows that repeat a doc_id; their texts deal them over the blocks. Repeated rows get slots
+    of their own. An empty table gives an empty result.
     """
     layout, new = tree(shards), ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
 
     def placed(rows: DataFrame) -> DataFrame:
-        return descend(rows, layout, "key", "shard").withColumn("block", F.floor(draw("slot", F.col("key")) * BLOCKS).cast("int"))
+        # the text takes part, so that a doc_id which many rows share, or lack, isn't one block
+        return descend(rows, layout, "key", "shard").withColumn("block", F.floor(draw("slot", F.col("key"), F.col("text_crc32"), F.col("size")) * BLOCKS).cast("int"))
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in new)).alias("row"), key, (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
+    facts = (key, (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in new)).alias("row"), *facts)
     rows = descend(placed(rows), grown(layout), "key", "grown_shard")
-    counts = placed(docs.select(key)).groupBy("shard", "block").agg(F.count("*").alias("n"))
+    counts = placed(docs.select(*facts)).groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("shard", "block").orderBy("key", "text_crc32", "size")

@@ -220,6 +220,14 @@ def test_sharding(spark, rows):
     assert len({r["shard"] for r in got if r["doc_id"] is None}) == 1
 
 
+def test_sharding_of_a_frequent_doc_id(spark):
+    got = sharding.assign(frame(spark, [(i, f"text {n}") for n in range(150) for i in (None, 9)])).collect()
+    by = {i: {r["shard"] for r in got if r["doc_id"] == i} for i in (None, 9)}
+    assert all(len(s) == 1 for s in by.values())
+    for shard in set.union(*by.values()):
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+
+
 def test_hash_tree_is_even_and_confines_movement(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
     small = [[[0, 1], [2]], [[3], [4, 5]]]
