@@ -25,6 +25,8 @@ def requirements(f: Findings) -> list[Requirement]:
                 need(name, "number_format", "to_numeric")
             if not ident and c.get("unparseable"):
                 need(name, "unparseable", "replace_values", "replace_null_like", tokens=[t["value"] for t in c["unparseable"]])
+            if not ident and (c.get("unparseable") or c["currency"] or c["thousands_sep"] or c["decimal_comma"]):
+                need(name, "text_numbers", "to_numeric")
             if c.get("implausible_ages"):
                 need(name, "implausible_age", "replace_null_like", review=True, tokens=[t["value"] for t in c["implausible_ages"]])
             elif c["negative"] and not ident and not c.get("age_policy"):

@@ -4,6 +4,7 @@ from clearbrook.operators.cleaning import clean
 from clearbrook.operators.scan import age_policy, scan, typos
 from clearbrook.plans import planner, validation
 from clearbrook.plans.model import Action, PlanError, Requirement, finalise, merge_replacements, ordered, resolve_chains, reviewed, uncovered
+from clearbrook.plans.requirements import requirements
 
 
 def test_ages():
@@ -74,6 +75,16 @@ def test_empty_table(spark):
     assert scan(df, "rid").rows == 0
 
 
+def test_rare_formats_and_text_numbers(spark):
+    rows = [(i, f"AB{i:03d}" if i else "7-x", f"AB{i:03d}" if i > 3 else f"{i}-x", "n.d.y" if i == 5 else str(i)) for i in range(100)]
+    found = scan(spark.createDataFrame(rows, "rid long, a_id string, b_id string, amount string"), "rid")
+    assert "format_patterns" not in found.columns["a_id"]  # 1 of 100
+    assert [(p["mask"], p["n"]) for p in found.columns["b_id"]["format_patterns"]] == [("A999", 96), ("9-A", 4)]
+    needs = {(n.column, n.issue) for n in requirements(found)}
+    assert ("b_id", "identifier_formats") in needs and ("a_id", "identifier_formats") not in needs
+    assert {("amount", "unparseable"), ("amount", "text_numbers")} <= needs
+
+
 def test_scan_plan_validate(spark):
     rows = [(i, f"user{i}@mail.org" if i % 10 else f"USER{i}mail.org", ["Red", "red", "Blue", "Blu-e", "N/A"][i % 5], f"{i},5" if i % 2 else f"${i}.25") for i in range(200)]
     df = spark.createDataFrame([*rows, (200, *rows[3][1:])], "rid long, email string, colour string, price string")
