@@ -3,9 +3,10 @@
 Base rules look at one document. The line rule looks across a host's documents (here the
 column ``source``): the distinct normalised lines of each distinct text are hashed, and a
 line that stands in more than max(``least``, ``share`` of the host's texts) of them is
-boilerplate. Words in such lines are taken away; a document that keeps less than ``keep``
-of its words is depleted and rejected. Copies of one text count once, so a text isn't
-rejected for having been copied.
+boilerplate. ``judge`` counts the words in such lines; a document that keeps less than
+``keep`` of its words is depleted and rejected. ``keep_good`` also takes such lines out of
+the documents that stay. Copies of one text count once, so a text isn't rejected for having
+been copied.
 """
 
 from __future__ import annotations
@@ -50,6 +51,40 @@ def repeated_words(w: Words, size: int = 3) -> np.ndarray:
     return total[w.bounds[1:]] - total[w.bounds[:-1]]
 
 
+def _lines(w: Words) -> tuple[np.ndarray, ...]:
+    """Of each line with words: its first byte, its end, its first word, its last and its row."""
+    cut = np.flatnonzero(w.data == 10)
+    begin = np.unique(np.concatenate([w.offsets[:-1], cut + 1]))
+    begin = begin[begin < len(w.data)]
+    end = np.append(begin[1:], len(w.data))
+    end = end - (w.data[end - 1] == 10) if len(begin) else end
+    low, high = np.searchsorted(w.start, begin), np.searchsorted(w.start, end)
+    full = high > low
+    begin, end, low, high = begin[full], end[full], low[full], high[full]
+    return begin, end, low, high, np.searchsorted(w.offsets, begin, "right") - 1
+
+
+def without_lines(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines whose hashes are listed; the others, blank ones too, stay as they are. Null where no list is."""
+    out = []
+    for w in words(text):
+        begin, _, low, high, row = _lines(w)
+        normal = mix(_sequence(w.hashes(lower=True), low, high)).view(np.int64)
+        cut = np.flatnonzero(w.data == 10)
+        number = np.searchsorted(cut, begin) - np.searchsorted(cut, w.offsets[row])
+        own = np.searchsorted(row, np.arange(w.rows + 1))
+        for i in range(w.rows):
+            lines = gone[w.first + i].as_py()
+            if lines is None:
+                out.append(None)
+                continue
+            here = slice(own[i], own[i + 1])
+            dropped = set(number[here][np.isin(normal[here], np.array(lines, np.int64))].tolist())
+            parts = w.data[w.offsets[i] : w.offsets[i + 1]].tobytes().split(b"\n")
+            out.append(b"\n".join(p for k, p in enumerate(parts) if k not in dropped))
+    return pa.array(out, pa.binary()).cast(pa.string())
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """Per row the base figures, a digest of the text and its distinct non-blank lines with their words."""
 
@@ -64,15 +99,7 @@ def measure(docs: DataFrame) -> DataFrame:
             symbols = np.append(0, np.cumsum(_SYMBOL[w.data]))
             out["n_symbols"].append(np.diff(symbols[w.offsets]))
             out["n_repeat_words"].append(repeated_words(w))
-            cut = np.flatnonzero(w.data == 10)
-            begin = np.unique(np.concatenate([w.offsets[:-1], cut + 1]))
-            begin = begin[begin < len(w.data)]
-            end = np.append(begin[1:], len(w.data))
-            end = end - (w.data[end - 1] == 10) if len(begin) else end
-            low, high = np.searchsorted(w.start, begin), np.searchsorted(w.start, end)
-            full = high > low
-            begin, end, low, high = begin[full], end[full], low[full], high[full]
-            row = np.searchsorted(w.offsets, begin, "right") - 1
+            begin, end, low, high, row = _lines(w)
             exact = span_hashes(w.data, begin, end)
             order = np.lexsort((exact, row))
             again = (exact[order][1:] == exact[order][:-1]) & (row[order][1:] == row[order][:-1])
@@ -110,31 +137,45 @@ def line_limits(texts: DataFrame, least: int = LEAST, share: float = SHARE) -> D
     return used.join(host, F.col("source").eqNullSafe(F.col("_host"))).where("n > most").select("source", "line")
 
 
-def judge(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: float = KEEP) -> DataFrame:
-    """A row per input row: doc_id, the base figures, base_failed, n_removed, kept, and source and digest.
-
-    Takes doc_id, text and source; other columns are ignored. Null, empty and blank texts have no
-    words and fail the base rule. Rows without source form one host. Rows without doc_id and
-    repeated rows are judged by their text like all others. An empty table gives an empty result.
-    """
+def _judged(docs: DataFrame, least: int, share: float, keep: float) -> DataFrame:
+    """What judge returns, and gone, the hashes of the text's lines above the limit (null: none)."""
     rows = stored(measure(docs), "measured")
     texts = rows.groupBy("source", "digest").agg(F.first("lines").alias("lines"))
     common = line_limits(texts, least, share).toDF("_source", "_line")
     lines = texts.select("source", "digest", F.inline("lines"))
-    lost = lines.join(common, F.col("source").eqNullSafe(F.col("_source")) & (F.col("line") == F.col("_line"))).groupBy("source", "digest").agg(F.sum("words").alias("lost"))
-    lost = lost.toDF("_source", "_digest", "lost")
+    lost = lines.join(common, F.col("source").eqNullSafe(F.col("_source")) & (F.col("line") == F.col("_line"))).groupBy("source", "digest").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("gone"))
+    lost = lost.toDF("_source", "_digest", "lost", "gone")
     full = rows.join(lost, F.col("source").eqNullSafe(F.col("_source")) & (F.col("digest") == F.col("_digest")), "left")
     full = full.withColumn("n_removed", F.coalesce("lost", F.lit(0)).cast("long"))
     full = full.withColumn("base_failed", (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    full = full.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed") >= keep * F.col("n_words")))
-    return full.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed", "base_failed", "kept", "source", "digest")
+    return full.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed") >= keep * F.col("n_words")))
+
+
+def judge(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+    """A row per input row: doc_id, the base figures, base_failed, n_removed, kept, and source and digest.
+
+    Takes doc_id, text and source; other columns are ignored. Null, empty and blank texts have no
+    words and fail the base rule. Rows without source form one host. Rows without doc_id and
+    repeated rows are judged by their text like all others. An empty table gives an empty result.
+    """
+    return _judged(docs, least, share, keep).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed", "base_failed", "kept", "source", "digest")
 
 
 def keep_good(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: float = KEEP) -> DataFrame:
-    """The rows of docs, all columns, that the rules keep."""
-    good = judge(docs, least, share, keep).where("kept").select(F.col("source").alias("_source"), F.lower(F.hex("digest")).alias("_digest")).distinct()
+    """The rows of docs, all columns, that the rules keep, their texts without the lines above the limit.
+
+    Where lines go, a column n_chars becomes the length of what is left.
+    """
+    good = _judged(docs, least, share, keep).where("kept").groupBy(F.col("source").alias("_source"), F.lower(F.hex("digest")).alias("_digest")).agg(F.first("gone").alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("host"), F.md5("text").alias("digest"))
-    return rows.join(good, F.col("host").eqNullSafe(F.col("_source")) & (F.col("digest") == F.col("_digest")), "left_semi").select("row.*")
+    rows = rows.join(good, F.col("host").eqNullSafe(F.col("_source")) & (F.col("digest") == F.col("_digest"))).select("row", "gone")
+    # null unless lines go, so that other texts aren't sent to Python
+    cut = F.arrow_udf(without_lines, "string")(F.when(F.col("gone").isNotNull(), F.col("row.text")), F.col("gone"))
+    rows = rows.select("row", cut.alias("cut"))
+    new = {"text": F.coalesce("cut", "row.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("cut").isNotNull(), F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from clearbrook.llm.shared import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line rule keep."""
+    """Documents that the base rules and the line rule keep, without their lines above the limit."""
     return quality.keep_good(docs)
 
 

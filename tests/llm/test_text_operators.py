@@ -147,6 +147,17 @@ def test_boilerplate_depletes_but_copies_do_not(spark):
     assert not any(got[i] for i in range(40)) and all(got[100 + i] for i in range(40))
 
 
+def test_boilerplate_lines_leave_the_kept_texts(spark):
+    own = lambda i: f"own{i} " + " ".join(f"w{i}_{j}é" for j in range(60))
+    rows = [(i, f"Menu  Home\n\n{own(i)}\nmenu home\nlast{i}\nLicence é", "h", 7) for i in range(30)] + [(100 + i, f"menu home\n{own(i)}", None, 7) for i in range(3)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in quality.keep_good(docs).collect())
+    left = [(i, f"\n{own(i)}\nlast{i}") for i in [0, *range(30)]]
+    assert got == [(i, t, len(t)) for i, t in left] + [(i, t, 7) for i, t, _, _ in rows[30:]]
+    judged = {r["doc_id"]: r["n_words"] - r["n_removed"] for r in quality.judge(docs).collect()}
+    assert all(len(split(t)) == judged[i] for i, t, _ in got)
+
+
 def test_masks_find_every_two_substitutions():
     for wrong in itertools.combinations(range(13), 2):
         assert any(all(at + p not in wrong for p in decontaminate.places(m)) for m in decontaminate.MASKS for at in range(13 - len(m) + 1)), wrong
