@@ -24,8 +24,14 @@ from .words import TERMS, U64, span_hashes, words
 BITS, FACTORS, MOST_ROWS = 20, 6, 20_000
 #: Bytes of a word's lead, a term beside the word: inflected forms share it.
 LEAD = 5
-#: A term is known if it stands in FEWEST rows and deviates from the share of toxic rows by SURE standard errors; others would only be learnt by heart.
-FEWEST, SURE = 5, 4.0
+#: A term is known if it stands in FEWEST rows, whatever its own share of toxic rows: a pair can tell the classes apart where its terms don't.
+FEWEST = 5
+#: A term that deviates from the share of toxic rows by SURE standard errors is strong: strong terms are fitted first, then all.
+SURE = 4.0
+#: Of the other terms, the norm that a row's values share at most, and what each step takes off their linear weights.
+NORM, SPARSE = 3.0, 3e-4
+#: Share of the rows whose loss says which pass is kept, if they are MOST_UNCHECKED at least.
+CHECKED, MOST_UNCHECKED = 0.1, 500
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +60,7 @@ class Machine:
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    strong: np.ndarray  # terms that tell the classes apart by themselves
 
     def known(self, code: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of known terms, and the bounds among them."""
@@ -63,9 +70,15 @@ class Machine:
         hit = self.codes[at] == code
         return at[hit], np.append(0, np.cumsum(hit))[bounds]
 
+    def inputs(self, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Values of the terms in their rows; those that aren't strong share a norm of NORM at most, however long the text is."""
+        x, weak = self.value[at], ~self.strong[at]
+        norm = np.sqrt(np.maximum(sums(x * x * weak, bounds), NORM**2))
+        return np.where(weak, x * np.repeat(NORM / norm, np.diff(bounds)), x)
+
     def parts(self, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Margin of each row, and the sums over its terms of value times factors."""
-        x = self.value[at]
+        x = self.inputs(at, bounds)
         vx = self.factors[at] * x[:, None]
         s = sums(vx, bounds)
         return self.bias + sums(self.linear[at] * x, bounds) + 0.5 * (s**2 - sums(vx**2, bounds)).sum(1), s
@@ -75,41 +88,80 @@ class Machine:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, fewest: int = FEWEST, sure: float = SURE, steps: int = 600, batch: int = 256, rate: float = 1.0, decay: float = 1e-5, seed: int = 7) -> Machine:
-    """Adagrad on the logistic loss, ``steps`` steps at least, over the terms that tell the classes apart."""
+    """Adagrad on the logistic loss, ``steps`` steps at least over the strong terms, then as many over all.
+
+    The pass of least loss on rows set aside is kept. Every term in ``fewest`` rows can get a weight and a part in pairs.
+    """
     n = len(rows)
     everything = np.concatenate(rows) if n else np.zeros(0, np.int32)
-    codes, inverse, df = np.unique(everything, return_inverse=True, return_counts=True)
+    df = np.bincount(everything)
     share = (labels.sum() + 0.5) / (n + 1)
-    toxic = np.bincount(inverse, np.repeat(labels, [len(r) for r in rows]), len(codes)) if n else np.zeros(0)
-    keep = (df >= fewest) & (np.abs(toxic - df * share) >= sure * np.sqrt(df * share * (1 - share)))
-    codes, df = codes[keep], df[keep]
+    toxic = np.bincount(everything, np.repeat(labels, [len(r) for r in rows])) if n else np.zeros(0)
+    codes = np.flatnonzero(df >= fewest).astype(np.int32)
+    df = df[codes]
+    strong = np.abs(toxic[codes] - df * share) >= sure * np.sqrt(df * share * (1 - share))
     rng = np.random.default_rng(seed)
-    m = Machine(codes, np.log((n + 1) / np.maximum(df, 1)) / np.log(n + 1) if n else np.zeros(0), float(np.log(share / (1 - share))), np.zeros(len(codes)), rng.normal(0, 0.02, (len(codes), FACTORS)))
+    m = Machine(codes, np.log((n + 1) / np.maximum(df, 1)) / np.log(n + 1) if n else np.zeros(0), float(np.log(share / (1 - share))), np.zeros(len(codes)), rng.normal(0, 0.02, (len(codes), FACTORS)), strong)
     if n == 0 or labels.min() == labels.max():
         return m
     at, bounds = m.known(everything, np.cumsum([0, *map(len, rows)]))
-    seen_w, seen_v, seen_b = np.full(len(codes), 1e-4), np.full((len(codes), FACTORS), 1e-4), 1e-4
-    for _ in range(-(-steps // -(-n // batch))):
-        order = rng.permutation(n)
-        for i in range(0, n, batch):
-            own = order[i : i + batch]
-            length = bounds[own + 1] - bounds[own]
-            b = np.append(0, np.cumsum(length))
-            a = at[np.arange(b[-1]) + np.repeat(bounds[own] - b[:-1], length)]
-            margin, s = m.parts(a, b)
-            g = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[own]) / len(own)
-            seen_b += g.sum() ** 2
-            m.bias -= rate * g.sum() / np.sqrt(seen_b)
-            x = m.value[a]
-            gx = np.repeat(g, length) * x
-            used, inverse = np.unique(a, return_inverse=True)
-            gw = np.bincount(inverse, gx, len(used)) + decay * m.linear[used]
-            gv = gx[:, None] * (np.repeat(s, length, 0) - m.factors[a] * x[:, None])
-            gv = np.stack([np.bincount(inverse, gv[:, f], len(used)) for f in range(FACTORS)], 1) + decay * m.factors[used]
-            seen_w[used] += gw**2
-            seen_v[used] += gv**2
-            m.linear[used] -= rate * gw / np.sqrt(seen_w[used])
-            m.factors[used] -= 0.3 * rate * gv / np.sqrt(seen_v[used])
+    at = at.astype(np.int32)
+    del everything, toxic
+
+    def taken(own: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of the rows (the strong ones or all), their bounds and the rows' numbers of terms."""
+        length = bounds[own + 1] - bounds[own]
+        b = np.append(0, np.cumsum(length))
+        a = at[np.arange(b[-1]) + np.repeat(bounds[own] - b[:-1], length)]
+        if not every:
+            b = np.append(0, np.cumsum(strong[a]))[b]
+            a = a[strong[a]]
+        return a, b, np.diff(b)
+
+    def loss(own: np.ndarray, every: bool) -> float:
+        total = 0.0
+        for i in range(0, len(own), batch):
+            part = own[i : i + batch]
+            total += np.logaddexp(0, (1 - 2 * labels[part]) * m.parts(*taken(part, every)[:2])[0]).sum()
+        return total
+
+    used_rows, checked = np.arange(n), np.zeros(0, np.int64)
+    if n >= MOST_UNCHECKED:
+        mixed = rng.permutation(n)
+        checked, rest = mixed[: int(CHECKED * n)], np.sort(mixed[int(CHECKED * n) :])
+        if labels[checked].min() == labels[checked].max() or labels[rest].min() == labels[rest].max():
+            checked = checked[:0]
+        else:
+            used_rows = rest
+    best = np.inf
+    for every in (False, True):
+        if strong.all() if every else not strong.any():
+            continue
+        seen_w, seen_v, seen_b = np.full(len(codes), 1e-4), np.full((len(codes), FACTORS), 1e-4), 1e-4
+        for _ in range(-(-steps // -(-len(used_rows) // batch))):
+            order = rng.permutation(used_rows)
+            for i in range(0, len(order), batch):
+                own = order[i : i + batch]
+                a, b, length = taken(own, every)
+                margin, s = m.parts(a, b)
+                g = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[own]) / len(own)
+                seen_b += g.sum() ** 2
+                m.bias -= rate * g.sum() / np.sqrt(seen_b)
+                x = m.inputs(a, b)
+                gx = np.repeat(g, length) * x
+                used, inverse = np.unique(a, return_inverse=True)
+                gw = np.bincount(inverse, gx, len(used)) + decay * m.linear[used]
+                gv = gx[:, None] * (np.repeat(s, length, 0) - m.factors[a] * x[:, None])
+                gv = np.stack([np.bincount(inverse, gv[:, f], len(used)) for f in range(FACTORS)], 1) + decay * m.factors[used]
+                seen_w[used] += gw**2
+                seen_v[used] += gv**2
+                w = m.linear[used] - rate * gw / np.sqrt(seen_w[used])
+                m.linear[used] = np.where(strong[used], w, np.sign(w) * np.maximum(np.abs(w) - SPARSE * rate / np.sqrt(seen_w[used]), 0))
+                m.factors[used] -= 0.3 * rate * gv / np.sqrt(seen_v[used])
+            if len(checked) and (now := loss(checked, True)) < best:
+                best, kept = now, (m.bias, m.linear.copy(), m.factors.copy())
+        if best < np.inf:
+            m.bias, m.linear, m.factors = kept[0], kept[1].copy(), kept[2].copy()
     return m
 
 

@@ -282,6 +282,31 @@ def test_toxicity_learns_terms_and_pairs(spark):
     assert toxicity.score(docs, toxicity.train(docs, labelled.limit(0))).count() == len(rows)
 
 
+def test_toxicity_learns_pairs_whose_terms_tell_nothing():
+    """As fitted in production: terms 1 and 2 are toxic together only, and alone as often toxic as the average row."""
+
+    def make(n, seed):
+        rng, rows, y = np.random.default_rng(seed), [], []
+        for _ in range(n):
+            u = rng.random()
+            a, b = u < 0.08, 0.05 < u < 0.13
+            toxic = rng.random() < (0.95 if a and b else 0 if a or b else 0.35625)
+            rows.append(np.unique([1] * int(a) + [2] * int(b) + [3] * int(toxic and not (a or b)) + (10 + rng.integers(0, 500, 25)).tolist()).astype(np.int32))
+            y.append(float(toxic))
+        return rows, np.array(y)
+
+    rows, y = make(16_000, 1)
+    for term in (1, 2):  # too little to be known by a test of one term
+        own = np.array([term in r for r in rows])
+        assert abs(y[own].sum() - own.sum() * y.mean()) < 4 * np.sqrt(own.sum() * y.mean() * (1 - y.mean()))
+    machine = toxicity.fit(rows, y)
+    rows, y = make(3000, 2)
+    right = (machine.score(np.concatenate(rows), np.cumsum([0, *map(len, rows)])) >= 0.5) == y
+    both = np.array([1 in r and 2 in r for r in rows])
+    one = np.array([(1 in r) != (2 in r) for r in rows])
+    assert both.sum() > 50 and right[both].mean() > 0.8 and right[one].mean() > 0.9
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).limit(0)
     benchmark = spark.createDataFrame([], "item_id long, text string")
