@@ -170,8 +170,8 @@ def clean(df: DataFrame, plan, order: str | None = None, count: bool = True) ->
             fixed = 0
             df = seen(df, before)
         else:
-            if op == "replace_values" and a.replacements and len(a.replacements) > MOST_LITERAL_PAIRS:
-                df = _replaced_by_join(df, columns, a.replacements)
+            if op == "replace_values" and (a.replacements_path or (a.replacements and len(a.replacements) > MOST_LITERAL_PAIRS)):
+                df = _replaced_by_join(df, columns, a)
                 df = seen(df, before, F.sum("_changed").alias("changed")).drop("_changed")
             else:
                 new = _projection(df, a, columns)
@@ -187,12 +187,15 @@ def clean(df: DataFrame, plan, order: str | None = None, count: bool = True) ->
     return out
 
 
-def _replaced_by_join(df: DataFrame, columns: list[str], pairs: dict) -> DataFrame:
-    """Replace through a join with the pairs, which come from the plan and are small beside the table."""
-    table = df.sparkSession.createDataFrame([(str(k), None if v is None else str(v)) for k, v in pairs.items()], "_old string, _new string")
+def _replaced_by_join(df: DataFrame, columns: list[str], a: Action) -> DataFrame:
+    """Replace through a join with the pairs: broadcast if the plan lists them; a stored table of them may be as large as the column."""
+    if a.replacements_path:
+        table = df.sparkSession.read.schema("_old string, _new string").parquet(a.replacements_path)
+    else:
+        table = F.broadcast(df.sparkSession.createDataFrame([(str(k), None if v is None else str(v)) for k, v in a.replacements.items()], "_old string, _new string"))
     df = df.withColumn("_changed", F.lit(0))
     for c in columns:
         kind = df.schema[c].dataType
-        found = df.join(F.broadcast(table), text.as_text(_quoted(c), kind) == F.col("_old"), "left")
+        found = df.join(table, text.as_text(_quoted(c), kind) == F.col("_old"), "left")
         df = found.withColumn("_changed", F.col("_changed") + F.when(F.col("_old").isNotNull(), 1).otherwise(0)).withColumn(c, F.when(F.col("_old").isNotNull(), F.col("_new").cast(kind)).otherwise(_quoted(c))).drop("_old", "_new")
     return df

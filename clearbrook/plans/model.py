@@ -34,6 +34,7 @@ class Action:
     decimal_comma: bool = False
     dayfirst: bool = False
     source_columns: tuple[str, ...] = ()
+    replacements_path: str | None = None  # Parquet with _old and _new, in place of replacements, where they are too many to list
 
     def __post_init__(self) -> None:
         if self.operation not in OPERATIONS:
@@ -110,7 +111,7 @@ def merge_replacements(actions: list[Action]) -> list[Action]:
     """One replace_values per column and review flag; later pairs win, confidence is the least."""
     out: dict = {}
     for i, a in enumerate(actions):
-        key = (a.columns, a.requires_review) if a.operation == "replace_values" and len(a.columns) == 1 else i
+        key = (a.columns, a.requires_review) if a.operation == "replace_values" and len(a.columns) == 1 and not a.replacements_path else i
         if key in out:
             b = out[key]
             out[key] = replace(b, replacements={**(b.replacements or {}), **(a.replacements or {})}, confidence=min(a.confidence, b.confidence, key=_RANK.get), reason=b.reason or a.reason)

@@ -26,7 +26,7 @@ NUMBER_WORDS = {
     "soixante": 60, "cent": 100,
 }
 DOMINANT, SURE_RATIO, SURE_TIMES, OPEN_COLUMNS, OPEN_FORMS = 0.6, 0.85, 10, 6, 40
-#: Repairs of one column that a plan may list; beyond, a note points to the repair frame.
+#: Repairs of one column that a plan may list; beyond, they are stored and the action names the path.
 MOST_PAIRS = 10_000
 
 
@@ -58,9 +58,13 @@ def _category_actions(name: str, c: dict) -> tuple[list[Action], list[str]]:
     return out, left if 2 <= len(left) <= OPEN_FORMS else []
 
 
-def _repairs(frame: DataFrame, name: str) -> dict | None:
-    rows = frame.where(F.col("name") == name).limit(MOST_PAIRS + 1).collect()
-    return None if len(rows) > MOST_PAIRS else {r["value"]: r["repaired"] for r in rows}
+def _repairs(frame: DataFrame, name: str) -> dict:
+    """What an action needs to apply all repairs of a column (value, repaired): the pairs, or where they are stored; empty without any."""
+    own = frame.where(F.col("name") == name).select(F.col("value").alias("_old"), F.col("repaired").alias("_new"))
+    rows = own.limit(MOST_PAIRS + 1).collect()
+    if len(rows) <= MOST_PAIRS:
+        return {"replacements": {r["_old"]: r["_new"] for r in rows}} if rows else {}
+    return {"replacements_path": repairs.written(own)}
 
 
 def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer: Callable | None = None) -> Planned:
@@ -92,7 +96,7 @@ def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer:
                 acts.append(Action("normalize_case", (n,), "e-mails in lower case", case_mode="lower"))
             if c["bad_mails"]:
                 pairs = _repairs(repairs.email_repairs(values), n)
-                acts.append(Action("replace_values", (n,), "missing @", "medium", True, replacements=pairs) if pairs else Action("no_change", (n,), "malformed e-mails", "low", True))
+                acts.append(Action("replace_values", (n,), "missing @", "medium", True, **pairs) if pairs else Action("no_change", (n,), "malformed e-mails", "low", True))
         elif kind == "numeric" and not ident:
             odd = [t["value"] for t in c.get("unparseable") or []]
             if words := {t: str(NUMBER_WORDS[t.lower()]) for t in odd if t.lower() in NUMBER_WORDS}:
@@ -106,15 +110,14 @@ def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer:
             elif c["negative"] and not c.get("age_policy"):
                 acts.append(Action("set_negative_to_null", (n,), "negative values", "medium" if NON_NEGATIVE.search(n) else "low", True))
         elif kind == "date":
-            pairs = {r["value"]: r["iso"] for r in repairs.iso_dates(values).where((F.col("name") == n) & F.col("iso").isNotNull() & (F.col("iso") != F.col("value"))).limit(MOST_PAIRS).collect()}
-            if pairs:
-                acts.append(Action("replace_values", (n,), "dates as year-month-day", replacements=pairs))
+            if pairs := _repairs(repairs.iso_dates(values).where("iso is not null and iso <> value").withColumnRenamed("iso", "repaired"), n):
+                acts.append(Action("replace_values", (n,), "dates as year-month-day", **pairs))
             acts.append(Action("to_datetime", (n,), "dates", requires_review=bool(c["bad_dates"])))
         elif kind == "text" and PERSON.search(n) and c["odd_case"]:
             acts.append(Action("normalize_case", (n,), "names in title case", "medium", True, case_mode="title"))
         if ident and len(c.get("format_patterns") or []) > 1:
             pairs = _repairs(repairs.phone_repairs(values), n) if PHONE.search(n) else _repairs(repairs.id_prefixes(values), n) if c.get("key_candidate") else None
-            acts.append(Action("replace_values", (n,), "identifier formats", "medium", True, replacements=pairs) if pairs else Action("no_change", (n,), "several identifier formats", "low", True))
+            acts.append(Action("replace_values", (n,), "identifier formats", "medium", True, **pairs) if pairs else Action("no_change", (n,), "several identifier formats", "low", True))
     acts += [Action("to_numeric", tuple(c), "numbers as text", decimal_comma=comma) for comma, c in numeric.items()]
     for key in f.key_duplicates:
         safe = duplicates.key_summary(df, [key], [c for c in names if c != key]).first()["safe_to_drop_by_key"]

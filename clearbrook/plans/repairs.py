@@ -6,6 +6,9 @@ replacements for review, or joined back where there are too many for a plan.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +81,14 @@ def iso_dates(values: DataFrame) -> DataFrame:
     return u.select("name", "value", real.alias("iso"), kind.alias("certainty"), "n")
 
 
+def written(pairs: DataFrame) -> str:
+    """The pairs as Parquet in ``spark.checkpoint.dir`` (unset: in a local temporary folder); their path."""
+    base = pairs.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="clearbrook-")
+    path = f"{base.rstrip('/')}/repairs-{uuid.uuid4().hex}"
+    pairs.write.parquet(path)
+    return path
+
+
 def decimal_marks(values: DataFrame) -> DataFrame:
     """name, commas, points, decimal_comma: which mark one or two decimals follow more often."""
     u = usable(values)
@@ -85,4 +96,4 @@ def decimal_marks(values: DataFrame) -> DataFrame:
     return u.groupBy("name").agg(n(r"\d,\d{1,2}(?!\d)").alias("commas"), n(r"\d\.\d{1,2}(?!\d)").alias("points")).withColumn("decimal_comma", F.col("commas") > F.col("points"))
 
 
-__all__ = ["email_repairs", "id_prefixes", "phone_repairs", "date_masks", "iso_dates", "decimal_marks", "strip"]
+__all__ = ["email_repairs", "id_prefixes", "phone_repairs", "date_masks", "iso_dates", "written", "decimal_marks", "strip"]

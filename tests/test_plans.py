@@ -97,3 +97,20 @@ def test_scan_plan_validate(spark):
     report = validation.validate(df, done.df, done.log(), "rid")
     assert report.status in ("ok", "warning")
     assert dict(done.df.dtypes)["price"] == "double"
+
+
+def test_repairs_beyond_the_limit_of_a_plan(spark, monkeypatch):
+    """Dates of a day-first notation and e-mails are all repaired, however many a plan may list."""
+    days = [(d, m, y) for y in (2021, 2022) for m in range(1, 13) for d in (3, 5, 25)]
+    rows = [(i, f"{d:02}/{m:02}/{y}", f"user{i}mail.org" if i % 7 == 0 else f"user{i}@mail.org") for i, (d, m, y) in enumerate(days)]
+    df = spark.createDataFrame([*rows, (900, None, None)], "rid long, start_date string, email string")
+    for most in (10_000, 4):
+        monkeypatch.setattr(planner, "MOST_PAIRS", most)
+        found = planner.plan(df, "rid")
+        repair = [a for a in found.actions if a.operation == "replace_values"]
+        assert {a.columns: bool(a.replacements_path) for a in repair} == {("start_date",): most == 4, ("email",): most == 4}
+        done = clean(df, [a for a in found.actions if a.operation in ("replace_values", "to_datetime")], "rid")
+        got = {r["rid"]: (r["start_date"], r["email"]) for r in done.df.collect()}
+        assert {i: (t.day, t.month, t.year) for i, (t, _) in got.items() if t} == dict(enumerate(days)) and got[900] == (None, None)
+        assert all(e == f"user{i}@mail.org" for i, (_, e) in got.items() if e)
+        assert [e.affected for e in done.log() if e.operation == "replace_values"] == [sum(i % 7 == 0 for i in range(len(days))), len(days)][:: 1 if repair[0].columns == ("email",) else -1]
