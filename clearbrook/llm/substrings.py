@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary, bucket_count, by_group, map_arrow, map_groups, packed, unpacked
+from .shared import binary, bucket_count, map_arrow, map_groups, packed, unpacked
 from .words import Words, windows, words
 
 WINDOW, GRAM = 20, 8
-_ENTRIES = "bucket int, doc_id long, hash binary, doc binary, at binary, ref binary, start binary"
-_FOUND = "doc_id long, start binary, ref binary, at binary"
+_ENTRIES = "bucket int, doc_id long, key long, hash binary, doc binary, row binary, at binary, ref binary, start binary"
+_FOUND = "doc_id long, key long, start binary, ref binary, at binary"
 
 
 def _anchors(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,21 +63,25 @@ def _first_last(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np
     return order, first, np.repeat(size, size) > 1
 
 
-def _per_doc(doc: np.ndarray, n_buckets: int | None, **columns: np.ndarray) -> dict[str, pa.Array]:
-    """One row per document with its entries packed; n_buckets: also a bucket to travel in."""
-    keys, bounds, columns_ = by_group(doc, *columns.values())
-    out = {"doc_id": pa.array(keys, pa.int64())} | {k: binary(v, bounds) for k, v in zip(columns, columns_, strict=True)}
-    return out | ({"bucket": pa.array((keys % n_buckets).astype(np.int32), pa.int32())} if n_buckets else {})
+def _per_row(doc: np.ndarray, key: np.ndarray, n_buckets: int | None, **columns: np.ndarray) -> dict[str, pa.Array]:
+    """One row per document (doc_id and key of its text) with its entries packed; n_buckets: also a bucket to travel in."""
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    bounds = np.append(first, len(doc))
+    doc, key = doc[first], key[first]
+    out = {"doc_id": pa.array(doc, pa.int64()), "key": pa.array(key, pa.int64())} | {k: binary(v[order], bounds) for k, v in columns.items()}
+    return out | ({"bucket": pa.array(((doc ^ key) % n_buckets).astype(np.int32), pa.int32())} if n_buckets else {})
 
 
 def find_anchors(docs: DataFrame, buckets: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per document, the starts of its anchors that stand in the corpus more than once: (doc_id, start)."""
+    """Per document, the starts of its anchors that stand in the corpus more than once: (doc_id, key, start)."""
 
     def entries(batch: pa.RecordBatch):
         ids = batch.column(0)
         keep = np.asarray(ids.is_valid())
-        ids = np.asarray(ids.fill_null(0), np.int64)
-        hashes, doc, at = [], [], []
+        ids, keys = np.asarray(ids.fill_null(0), np.int64), np.asarray(batch.column(2), np.int64)
+        hashes, doc, key, at = [], [], [], []
         for w in words(batch.column(1)):
             row, _, anchor, value = _anchors(w, window, gram)
             if not len(row):
@@ -85,41 +89,42 @@ def find_anchors(docs: DataFrame, buckets: int, window: int = WINDOW, gram: int
             new = np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])) & keep[w.first + row]
             hashes.append(value[new])
             doc.append(ids[w.first + row[new]])
+            key.append(keys[w.first + row[new]])
             at.append(anchor[new].astype(np.int32))
         if not hashes:
             return
-        hashes, doc, at = map(np.concatenate, (hashes, doc, at))
+        hashes, doc, key, at = map(np.concatenate, (hashes, doc, key, at))
         order, first, shared = _first_last(hashes, doc, at)
-        hashes, doc, at = hashes[order], doc[order], at[order]
+        hashes, doc, key, at = hashes[order], doc[order], key[order], at[order]
         one = first == np.arange(len(first))
         sent = np.where(shared, -at - 1, at).astype(np.int32)  # below 0: the document has been told
-        yield packed((hashes[one] % np.uint64(buckets)).astype(np.int64), {"hash": hashes[one], "doc": doc[one], "at": sent[one]})
+        yield packed((hashes[one] % np.uint64(buckets)).astype(np.int64), {"hash": hashes[one], "doc": doc[one], "row": key[one], "at": sent[one]})
         if shared.any():
-            yield _per_doc(doc[shared], buckets, start=at[shared])
+            yield _per_row(doc[shared], key[shared], buckets, start=at[shared])
 
     def again(table: pa.Table) -> dict[str, pa.Array]:
         told = table.filter(table["doc_id"].is_valid())
-        hashes, doc, at = unpacked(table["hash"], np.uint64), unpacked(table["doc"], np.int64), unpacked(table["at"], np.int32)
+        hashes, doc, key, at = (unpacked(table[c], kind) for c, kind in (("hash", np.uint64), ("doc", np.int64), ("row", np.int64), ("at", np.int32)))
         order, _, shared = _first_last(hashes, doc, at)
         new = order[shared]
         new = new[at[new] >= 0]
-        more = _per_doc(doc[new], None, start=at[new])
-        return {k: pa.concat_arrays([told[k].combine_chunks() if told.num_rows else pa.nulls(0, more[k].type), more[k]]) for k in ("doc_id", "start")}
+        more = _per_row(doc[new], key[new], None, start=at[new])
+        return {k: pa.concat_arrays([told[k].combine_chunks() if told.num_rows else pa.nulls(0, more[k].type), more[k]]) for k in ("doc_id", "key", "start")}
 
-    sent = map_arrow(docs.select("doc_id", "text"), _ENTRIES, entries)
-    return map_groups(sent, ["bucket"], "doc_id long, start binary", again)
+    sent = map_arrow(docs.select("doc_id", "text", "key"), _ENTRIES, entries)
+    return map_groups(sent, ["bucket"], "doc_id long, key long, start binary", again)
 
 
 def find_references(docs: DataFrame, buckets: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per document, its windows that also start earlier and where: (doc_id, start, ref, at).
+    """Per document, its windows that also start earlier and where: (doc_id, key, start, ref, at).
 
-    ``docs`` has doc_id, text and ``anchors``, a list of packed starts (null: none).
+    ``docs`` has doc_id, text, key and ``anchors``, a list of packed starts (null: none).
     """
 
     def entries(batch: pa.RecordBatch):
         batch = batch.filter(batch.column(2).is_valid())
-        ids, lists = np.asarray(batch.column(0), np.int64), batch.column(2)
-        hashes, doc, at = [], [], []
+        ids, lists, keys = np.asarray(batch.column(0), np.int64), batch.column(2), np.asarray(batch.column(3), np.int64)
+        hashes, doc, key, at = [], [], [], []
         for w in words(batch.column(1)):
             row, start, anchor, _ = _anchors(w, window, gram)
             mark = np.zeros(w.bounds[-1] + 1, bool)  # words at which a repeated anchor starts
@@ -129,29 +134,30 @@ def find_references(docs: DataFrame, buckets: int, window: int = WINDOW, gram: i
             value, _ = windows(w.hashes(), w.bounds, window)
             hashes.append(value[hit])
             doc.append(ids[w.first + row[hit]])
+            key.append(keys[w.first + row[hit]])
             at.append(start[hit].astype(np.int32))
         if not hashes:
             return
-        hashes, doc, at = map(np.concatenate, (hashes, doc, at))
+        hashes, doc, key, at = map(np.concatenate, (hashes, doc, key, at))
         order, first, _ = _first_last(hashes, doc, at)
-        hashes, doc, at = hashes[order], doc[order], at[order]
+        hashes, doc, key, at = hashes[order], doc[order], key[order], at[order]
         one = first == np.arange(len(first))
-        yield packed((hashes[one] % np.uint64(buckets)).astype(np.int64), {"hash": hashes[one], "doc": doc[one], "at": at[one]})
+        yield packed((hashes[one] % np.uint64(buckets)).astype(np.int64), {"hash": hashes[one], "doc": doc[one], "row": key[one], "at": at[one]})
         late = ~one & ((doc != doc[first]) | (at != at[first]))
         if late.any():
-            yield _per_doc(doc[late], buckets, start=at[late], ref=doc[first][late], at=at[first][late])
+            yield _per_row(doc[late], key[late], buckets, start=at[late], ref=doc[first][late], at=at[first][late])
 
     def earliest(table: pa.Table) -> dict[str, pa.Array]:
         told = table.filter(table["doc_id"].is_valid())
         rest = table.filter(table["doc_id"].is_null())
-        hashes, doc, at = unpacked(rest["hash"], np.uint64), unpacked(rest["doc"], np.int64), unpacked(rest["at"], np.int32)
+        hashes, doc, key, at = (unpacked(rest[c], kind) for c, kind in (("hash", np.uint64), ("doc", np.int64), ("row", np.int64), ("at", np.int32)))
         order, first, _ = _first_last(hashes, doc, at)
-        doc, at = doc[order], at[order]
+        doc, key, at = doc[order], key[order], at[order]
         late = (doc != doc[first]) | (at != at[first])
-        more = _per_doc(doc[late], None, start=at[late], ref=doc[first][late], at=at[first][late])
-        return {k: pa.concat_arrays([told[k].combine_chunks() if told.num_rows else pa.nulls(0, more[k].type), more[k]]) for k in ("doc_id", "start", "ref", "at")}
+        more = _per_row(doc[late], key[late], None, start=at[late], ref=doc[first][late], at=at[first][late])
+        return {k: pa.concat_arrays([told[k].combine_chunks() if told.num_rows else pa.nulls(0, more[k].type), more[k]]) for k in ("doc_id", "key", "start", "ref", "at")}
 
-    sent = map_arrow(docs.select("doc_id", "text", "anchors"), _ENTRIES, entries)
+    sent = map_arrow(docs.select("doc_id", "text", "anchors", "key"), _ENTRIES, entries)
     return map_groups(sent, ["bucket"], _FOUND, earliest)
 
 
@@ -170,10 +176,10 @@ def parse(start: np.ndarray, ref: np.ndarray, at: np.ndarray, window: int) -> np
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
-    """Documents whose whole text stands under a smaller doc_id: (doc_id, original)."""
-    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("size"))
+    """Documents whose whole text stands under a smaller doc_id: (doc_id, key, original)."""
+    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "key", F.md5("text").alias("digest"), F.length("text").alias("size"))
     first = keyed.groupBy("digest", "size").agg(F.min("doc_id").alias("original"), F.max("doc_id").alias("last")).where("original < last")
-    return keyed.join(first, ["digest", "size"]).where("doc_id > original").select("doc_id", "original")
+    return keyed.join(first, ["digest", "size"]).where("doc_id > original").select("doc_id", "key", "original")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -183,21 +189,21 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     n_words, n_removed, text (the kept words joined by one space), factors (array of start,
     length, ref_doc_id, ref_start, in words). Null and empty texts have no words and stay
     empty. Rows without doc_id have no place in the order: they stay whole and are no
-    reference. Rows that share a doc_id count as one place, none earlier than the other:
-    a window of both at the same start stays in both. An empty table gives an empty result.
+    reference. Rows that share a doc_id are cut each by its own text, and none is earlier than
+    the other: a window of both at the same start stays in both. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     buckets = bucket_count(docs)
-    whole = docs.select("doc_id", "text")
+    whole = docs.select("doc_id", "key", "text")
     copies = exact_copies(docs)
-    marks = find_anchors(docs, buckets, window, gram).select("doc_id", "start", F.lit(None).cast("long").alias("original"))
-    marks = marks.unionByName(copies.select("doc_id", F.lit(None).cast("binary").alias("start"), "original"))
-    marks = marks.groupBy("doc_id").agg(F.collect_list("start").alias("anchors"), F.max("original").alias("original"))
-    marked = whole.join(marks.hint("shuffle_hash"), "doc_id", "left")
-    found = find_references(marked.select("doc_id", "text", F.when(F.col("original").isNull(), F.col("anchors")).alias("anchors")), buckets, window, gram)
+    marks = find_anchors(docs, buckets, window, gram).select("doc_id", "key", "start", F.lit(None).cast("long").alias("original"))
+    marks = marks.unionByName(copies.select("doc_id", "key", F.lit(None).cast("binary").alias("start"), "original"))
+    marks = marks.groupBy("doc_id", "key").agg(F.collect_list("start").alias("anchors"), F.max("original").alias("original"))
+    marked = whole.join(marks.hint("shuffle_hash"), ["doc_id", "key"], "left")
+    found = find_references(marked.select("doc_id", "text", "key", F.when(F.col("original").isNull(), F.col("anchors")).alias("anchors")), buckets, window, gram)
     found = found.select("*", F.lit(None).cast("long").alias("original"))
     found = found.unionByName(copies, allowMissingColumns=True)
-    spans = found.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("start", "ref", "at")), F.max("original").alias("original"))
+    spans = found.groupBy("doc_id", "key").agg(*(F.collect_list(c).alias(c) for c in ("start", "ref", "at")), F.max("original").alias("original"))
 
     def cut(batch: pa.RecordBatch):
         columns = {c: batch.column(i) for i, c in enumerate(("doc_id", "text", "start", "ref", "at", "original"))}
@@ -230,7 +236,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "length", "ref_doc_id", "ref_start")]))
         yield {"doc_id": columns["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(texts, pa.binary()).cast(pa.string()), "factors": pa.array(factors, kind)}
 
-    cut_from = whole.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "start", "ref", "at", "original")
+    cut_from = whole.join(spans.hint("shuffle_hash"), ["doc_id", "key"], "left").select("doc_id", "text", "start", "ref", "at", "original")
     return map_arrow(cut_from, "doc_id long, n_words long, n_removed long, text string, factors array<struct<start:long,length:long,ref_doc_id:long,ref_start:long>>", cut)
 
 

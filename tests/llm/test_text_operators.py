@@ -116,6 +116,15 @@ def test_substrings_match_brute_force(spark, rows):
             assert f["length"] >= 20 and here[f["start"] : f["start"] + f["length"]] == there[f["ref_start"] : f["ref_start"] + f["length"]]
 
 
+def test_substrings_of_texts_that_share_a_doc_id(spark):
+    make = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    first, passage = make("a", 90), make("p", 30)
+    rows = [(1, first), (2, passage), (7, first), (7, make("b", 40)), (7, f"{make('c', 50)} {passage} {make('d', 9)}"), (7, make("e", 25)), (7, make("b", 40))]
+    found = substrings.dedup_substrings(frame(spark, rows)).collect()
+    want = [(1, first, 0), (2, passage, 0), (7, "", 90), (7, make("b", 40), 0), (7, f"{make('c', 50)} {make('d', 9)}", 30), (7, make("e", 25), 0), (7, make("b", 40), 0)]
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in found) == sorted(want)
+
+
 def test_quality_matches_brute_force(spark, rows):
     docs = [(i, t, ["a", "b", None][i % 3]) for i, t in rows]
     normal = lambda line: " ".join(split(line)).lower()
