@@ -109,14 +109,14 @@ def _sets(batch: pa.RecordBatch, size: int):
 
 
 def identify(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, key) of every row."""
+    """(doc_id, mark, n_shingles, key) of every row; mark is the third column."""
 
     def make(batch):
         rows = [(len(s), key) for _, s, key in _sets(batch, size)]
         n, key = map(list, zip(*rows, strict=True)) if rows else ([], [])
-        yield {"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "key": pa.array(key, pa.int64())}
+        yield {"doc_id": batch.column(0), "mark": batch.column(2), "n_shingles": pa.array(n, pa.int64()), "key": pa.array(key, pa.int64())}
 
-    return map_arrow(docs, "doc_id long, n_shingles long, key long", make)
+    return map_arrow(docs, "doc_id long, mark long, n_shingles long, key long", make)
 
 
 def frequent_tokens(docs: DataFrame, buckets: int, size: int, least: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -288,17 +288,11 @@ def linked_in_blocks(lists: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return map_groups(tiles, ["family", "row", "col"], "a long, b long", compare)
 
 
-def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, short: int = SHORT) -> DataFrame:
-    """A row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
-
-    Takes doc_id and text; other columns are ignored. Null, empty and blank texts have no
-    shingle and link with nothing, each is its own component. Rows without doc_id take part in
-    links; their component_id is null only if no linked row has a doc_id. Repeated rows are
-    equal sets and so link. An empty table gives an empty result.
-    """
+def _linked_keys(docs: DataFrame, size: int, percent: int, frequent: int, short: int) -> tuple[DataFrame, DataFrame]:
+    """Per row its doc_id, mark, n_shingles and key; per key its smallest doc_id and the component, named by one of its keys."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = bucket_count(docs)
-    ids = stored(identify(docs, size), "ids")
+    ids = stored(identify(docs.select("*", F.xxhash64("text").alias("mark")), size), "ids")
     nodes = ids.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     lists = stored(signature_lists(docs, buckets, size, percent, frequent_tokens(docs, buckets, size, frequent)), "lists")
     sets = stored(packed_sets(docs, nodes.join(lists.select("key").distinct(), "key", "left_semi").select("doc_id"), size), "sets")
@@ -317,6 +311,18 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     known = components(links).toDF("key", "component")
 
     named = nodes.join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    return ids, named.select("key", "doc_id", "component")
+
+
+def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, short: int = SHORT) -> DataFrame:
+    """A row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+
+    Takes doc_id and text; other columns are ignored. Null, empty and blank texts have no
+    shingle and link with nothing, each is its own component. Rows without doc_id take part in
+    links; their component_id is null only if no linked row has a doc_id. Repeated rows are
+    equal sets and so link. An empty table gives an empty result.
+    """
+    ids, named = _linked_keys(docs, size, percent, frequent, short)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("key", "component_id")
     full = ids.where("n_shingles > 0").join(named, "key").select("doc_id", "n_shingles", "component_id")
@@ -324,20 +330,26 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 
 
 def keep_first(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The documents without near duplicates: of each component the row of smallest doc_id, with all its columns.
+    """The documents without near duplicates: of each component one row, that of smallest doc_id, with all its columns.
 
-    Of rows that share that doc_id the one with the smallest text digest stays (null texts
-    first); only such rows are shuffled with their texts. Rows without doc_id stay if nothing
-    with a doc_id is linked to them.
+    Rows without doc_id come last, and of rows that share a doc_id that of smallest text hash is
+    first, so each component keeps a row whatever other rows have its doc_id. Of texts without
+    shingles one for each doc_id stays, and all without doc_id. Only rows that repeat both doc_id
+    and text are shuffled with their texts.
     """
-    found = jaccard_components(docs, size, percent).where("component_id is null or doc_id = component_id")
-    found = stored(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "firsts")
+    ids, named = _linked_keys(docs, size, percent, FREQUENT, SHORT)
+    full = ids.where("n_shingles > 0").join(named.select("key", "component"), "key").groupBy("component", "doc_id", "mark").agg(F.count("*").alias("rows"))
+    found = full.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "rows")).alias("first")).select("first.doc_id", "first.mark", "first.rows")
+    blank = ids.where("n_shingles = 0").groupBy("doc_id", "mark").agg(F.count("*").alias("rows"))
+    found = found.union(blank.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("mark", "rows")).alias("first")).select("doc_id", "first.mark", "first.rows"))
+    found = found.union(blank.where("doc_id is null").select("doc_id", "mark", F.lit(1).cast("long")))
+    found = stored(found.toDF("_id", "_mark", "_rows"), "firsts")
     few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("kept"), F.md5("text").alias("digest"))
-    rows = rows.join(F.broadcast(found) if few else found, F.col("kept").eqNullSafe(F.col("_id")))
-    once = Window.partitionBy("kept").orderBy(F.col("digest").asc_nulls_first())
-    several = rows.where("kept is not null and _rows > 1").withColumn("place", F.row_number().over(once)).where("place = 1").select("row")
-    return rows.where("kept is null or _rows = 1").select("row").union(several).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("kept"), F.xxhash64("text").alias("mark"))
+    rows = rows.join(F.broadcast(found) if few else found, F.col("kept").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    once = Window.partitionBy("kept", "mark").orderBy("mark")
+    several = rows.where("_rows > 1").withColumn("place", F.row_number().over(once)).where("place = 1").select("row")
+    return rows.where("_rows = 1").select("row").union(several).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -97,6 +97,17 @@ def test_keep_first_keeps_all_columns(spark, rows):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in brute_components(rows).values()})
 
 
+def test_keep_first_decides_by_text_where_doc_ids_are_missing_or_shared(spark):
+    make = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(None, make("a")), (5, make("a")), (None, make("a") + " more"), (None, make("n")), (None, make("n")), (None, make("n") + " more"), (None, make("alone")), (None, None), (None, "")]
+    rows += [(9, make("x")), (9, make("y")), (9, make("y")), (9, None), (9, ""), (12, make("x") + " more"), (8, make("z")), (9, make("z"))]
+    got = [(r["doc_id"], r["text"]) for r in jaccard.keep_first(frame(spark, rows)).collect()]
+    known = [r for r in got if (r[1] or "").split(" ")[0] not in ("n0", "")]
+    assert sorted(known, key=str) == sorted([(5, make("a")), (None, make("alone")), (9, make("x")), (9, make("y")), (8, make("z"))], key=str)
+    assert len([r for r in got if (r[1] or "").startswith("n0")]) == 1
+    assert sorted(r[0] is None for r in got if not r[1]) == [False, True, True]
+
+
 def test_substrings_match_brute_force(spark, rows):
     seen, want = {}, {}
     for i, t in sorted(rows):
