@@ -29,11 +29,11 @@ from .words import U64, mix, words
 PATH, WORD, FIGURES, HIDDEN, MOST_PAGES = 64, 32, 6, 16, 400
 WIDTH = PATH + WORD + FIGURES
 # Element names of HTML.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mspace mpadded mphantom menclose merror semantics annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = "script|style|noscript|template|svg|math|iframe|object|textarea|title"
-ASIDE = frozenset("nav aside footer header form button select option dialog menu figcaption".split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({DROPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+DROPPED = "script|style|noscript|template|svg|iframe|textarea|title"
+ASIDE = frozenset("nav aside footer header form button select option dialog menu".split())
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<({DROPPED})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ODD = re.compile(r"(?:^|[-_ ])(?:nav|navbar|menu|sidebar|side|ad|ads|advert|advertisement|banner|promo|sponsor|sponsored|cookie|cookies|consent|notice|alert|comment|comments|share|social|related|footer|header|subscribe|newsletter|signup|breadcrumb|breadcrumbs|popup|widget)(?:$|[-_ \d])", re.I)
 _SPACES = re.compile(r"[\s\xa0]+")

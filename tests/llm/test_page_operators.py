@@ -137,3 +137,11 @@ def test_pipeline(spark, tmp_path):
     assert set(kept["mixing"]) <= set(range(30)) and len(kept["mixing"]) > 15
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "mixing", "sharding"]
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == kept["mixing"]
+
+
+def test_dropped_tags_take_no_other_text():
+    page = """<article><p>one</p><svg class="i"/><p>two</p><svg-icon name='a>b'></svg-icon><p>three</p><title-bar>four</title-bar><svg viewBox="0"><text>gone</text></svg >
+    <p>five <math><mi>x</mi><mo>=</mo><mn>2</mn></math> six</p><svg/><figure><img src=a><figcaption>seven</figcaption></figure><object data=a>eight</object></article><p>nine"""
+    got = htmltext.blocks(page)
+    assert [b.text for b in got] == ["one", "two", "three", "four", "five x=2 six", "seven", "eight", "nine"]
+    assert [b.label() for b in got] == [True] * 7 + [False]
