@@ -24,6 +24,8 @@ from .shared import map_arrow, stored
 from .words import combined, words
 
 MASKS = ("11111", "110111", "1011011", "11001101")
+#: With MASKS they find any two substitutions in items of 10 and 11 words; longer and shorter items don't need them.
+SHORT_MASKS, SHORT_WORDS = ("101111", "111101"), 11
 SPAN, PER = 13, 5
 BLOCK_WORDS = 200_000
 
@@ -48,12 +50,14 @@ def build_index(ids: list, texts: list[str]) -> dict:
     n = np.diff(bounds)
     wide = max(map(len, MASKS))
     seeds = []
-    for mask in (*MASKS, *sorted({int(k) for k in n if 0 < k < wide})):
+    for mask in (*MASKS, *SHORT_MASKS, *sorted({int(k) for k in n if 0 < k < wide})):
         size = mask if isinstance(mask, int) else len(mask)
         at = _at(bounds, size)
         item = np.searchsorted(bounds, at, "right") - 1
         short = n[item] < wide
-        at = at[(n[item] == size) & short] if isinstance(mask, int) else at[~short]
+        at = at[(n[item] == size) & short] if isinstance(mask, int) else at[~short & ((n[item] <= SHORT_WORDS) | (mask not in SHORT_MASKS))]
+        if mask in SHORT_MASKS and not len(at):
+            continue
         value = combined(h, at, range(size) if isinstance(mask, int) else places(mask))
         order = np.argsort(value, kind="stable")
         seeds.append((size, list(range(size)) if isinstance(mask, int) else places(mask), value[order], at[order]))

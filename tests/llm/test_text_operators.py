@@ -183,6 +183,13 @@ def test_masks_find_every_two_substitutions():
         assert any(all(at + p not in wrong for p in decontaminate.places(m)) for m in decontaminate.MASKS for at in range(13 - len(m) + 1)), wrong
 
 
+def test_seeds_find_all_allowed_substitutions_in_short_items():
+    for n in range(8, 14):
+        seeds = decontaminate.build_index([1], [" ".join(f"t{i}" for i in range(n))])["seeds"]
+        for wrong in itertools.combinations(range(n), n // decontaminate.PER):
+            assert any(all(a + p not in wrong for p in where) for _, where, _, at in seeds for a in at.tolist()), (n, wrong)
+
+
 def test_decontamination_finds_leaks_and_spares_the_rest(spark):
     rng = random.Random(4)
     word = lambda: f"t{rng.randrange(3000)}"
