@@ -1,6 +1,7 @@
 """Tables from CSV, XLSX and Parquet, with encoding, separator, header row and types found out.
 
-The driver looks at the head of a file only. Rows are numbered in ``_rid`` in file order;
+The driver looks at the head of a file only; tasks check the encoding and the number of
+columns over the whole file. Rows are numbered in ``_rid`` in file order;
 cells that are missing by convention become null; rows and columns without any value go.
 """
 
@@ -115,13 +116,53 @@ def _finish(spark: SparkSession, rows: DataFrame, width: int, head: list[list],
     return Loaded(typed(data, names), raw, meta | {"header_row": at, "header_issues": issues})
 
 
+def _encoding(spark: SparkSession, path: str, head: bytes) -> str:
+    """The encoding that detect_encoding would give for the whole file, checked line by line: line ends are no part of a character."""
+
+    def check(batches):
+        import pyarrow as pa
+
+        fits = {"utf-8": True, "cp1252": True}
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                for name in [k for k, v in fits.items() if v and not line.isascii()]:
+                    try:
+                        line.decode(name)
+                    except UnicodeDecodeError:
+                        fits[name] = False
+        yield pa.RecordBatch.from_pydict({"utf8": [fits["utf-8"]], "cp1252": [fits["cp1252"]]})
+
+    lines = spark.read.text(path).select(F.col("value").cast("binary"))
+    row = lines.mapInArrow(check, "utf8 boolean, cp1252 boolean").agg(F.bool_and("utf8").alias("utf8"), F.bool_and("cp1252").alias("cp1252")).first()
+    if row["utf8"] is not False:
+        return detect_encoding(head)
+    return "cp1252" if row["cp1252"] else "latin1"
+
+
+def _widest(rows: DataFrame, sep: str, width: int) -> int:
+    """The most fields of a row, where ``rows`` has _bad, the text of each row that doesn't have ``width`` fields, and c0."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        most = 0
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                most = max(most, max((len(r) for r in csv.reader(io.StringIO(line, newline=""), delimiter=sep)), default=0))
+        yield pa.RecordBatch.from_pydict({"most": pa.array([most], pa.int64())})
+
+    # c0 is read too, since Spark refuses to read the column of bad rows alone
+    found = rows.where("_bad is not null").select("_bad", "c0").mapInArrow(count, "most long").agg(F.max("most").alias("most")).first()["most"]
+    return max(width, found or 0)
+
+
 def read_csv(spark: SparkSession, path: str) -> Loaded:
     """A CSV file, quoted fields with line breaks included; such a file is read by one task.
 
     Many files, or files too large for one task, should be loaded as one table per file or as Parquet.
     """
     data = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD)).first()[0])
-    encoding = detect_encoding(data)
+    encoding = _encoding(spark, path, data)
     text = data.decode(encoding, errors="ignore")
     sep = detect_separator(text)
     head = list(csv.reader(io.StringIO(text), delimiter=sep))
@@ -129,8 +170,13 @@ def read_csv(spark: SparkSession, path: str) -> Loaded:
     name = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin1": "ISO-8859-1"}[encoding]
     if name == "windows-1252":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    rows = spark.read.schema(schema).csv(path, header=False, multiLine=True, sep=sep, encoding=name, quote='"', escape='"', mode="PERMISSIVE")
+
+    def read(width: int, more: str = "", **options) -> DataFrame:
+        schema = ", ".join(f"c{i} string" for i in range(width)) + more
+        return spark.read.schema(schema).csv(path, header=False, multiLine=True, sep=sep, encoding=name, quote='"', escape='"', mode="PERMISSIVE", **options)
+
+    width = _widest(read(width, ", _bad string", columnNameOfCorruptRecord="_bad"), sep, width)
+    rows = read(width)
     rows = rows.withColumn("_rid", F.monotonically_increasing_id())  # one file, one task: 0, 1, 2...
     return _finish(spark, rows, width, head, {"file_type": "csv", "encoding": encoding, "separator": sep})
 

@@ -3,7 +3,7 @@ import pytest
 from clearbrook.operators.inspect import run_tool
 from clearbrook.operators.cleaning import clean
 from clearbrook.plans.model import Action, PlanError
-from clearbrook.sources import sinks, xlsx
+from clearbrook.sources import sinks, tabular, xlsx
 from clearbrook.sources.tabular import detect_encoding, detect_header_row, detect_separator, read_table
 from clearbrook.streaming.cleaning import clean_stream
 
@@ -67,3 +67,15 @@ def test_tools(spark):
     assert run_tool("verify_external_reference", df, "rid", column="a", values=["yes", "x"])["present"] == ["yes"]
     with pytest.raises(PlanError):
         run_tool("nothing", df, "rid")
+
+
+def test_csv_is_judged_beyond_its_head(spark, tmp_path):
+    """The first accent, and the widest row with a quoted line break, come after the first megabyte."""
+    rows = "".join(f"{i},plain text without any accent at all\n" for i in range(30_000))
+    path = tmp_path / "late.csv"
+    path.write_bytes(("id,name\n" + rows + 'x,café,"more\nlines",é\ny\n').encode("cp1252"))
+    assert path.stat().st_size > tabular.HEAD + 100_000
+    loaded = tabular.read_csv(spark, f"file://{path}")
+    assert loaded.meta["encoding"] == "cp1252" and loaded.raw.columns == ["_rid", *(f"column_{i}" for i in range(1, 5))]
+    last = loaded.df.where("id in ('x', 'y')").orderBy("_rid").collect()
+    assert [tuple(r)[1:] for r in last] == [("x", "café", "more\nlines", "é"), ("y", None, None, None)] and loaded.df.count() == 30_002
