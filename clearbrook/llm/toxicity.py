@@ -22,6 +22,7 @@ from .shared import binary, map_arrow
 from .words import TERMS, U64, span_hashes, words
 
 BITS, FACTORS, MOST_ROWS = 20, 6, 20_000
+MOST_TERMS = 1 << 16
 #: Bytes of a word's lead, a term beside the word: inflected forms share it.
 LEAD = 5
 #: A term is known if it stands in FEWEST rows, whatever its own share of toxic rows: a pair can tell the classes apart where its terms don't.
@@ -84,7 +85,14 @@ class Machine:
         return self.bias + sums(self.linear[at] * x, bounds) + 0.5 * (s**2 - sums(vx**2, bounds)).sum(1), s
 
     def score(self, code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.parts(*self.known(code, bounds))[0], -30, 30)))
+        """Scores of the rows, by blocks of whole rows of about MOST_TERMS terms, which bounds the temporary arrays."""
+        out, n, i = [np.zeros(0)], len(bounds) - 1, 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + MOST_TERMS, "right")) - 1)
+            margin, _ = self.parts(*self.known(code[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]))
+            out.append(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+            i = j
+        return np.concatenate(out)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, fewest: int = FEWEST, sure: float = SURE, steps: int = 600, batch: int = 256, rate: float = 1.0, decay: float = 1e-5, seed: int = 7) -> Machine:
