@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import set_apart, stored
 
 LIMIT = 3
-#: Sources whose rates may be broadcast; beyond, they are joined by a shuffle.
-MOST_BROADCAST = 100_000
+#: Bytes of rates that may be broadcast; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 16 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -28,37 +28,53 @@ def draw(seed: str | Column, *of: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", seed, *of)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with the running sums in the given order, each row's own value included; the order has no ties.
+
+    Range partitions are summed by themselves and start from the sums of those before them, so no
+    task sees all rows. The partitions are stored first: a repeated sampling can't move a row.
+    """
+    parts = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
+    base = parts.groupBy("_part").agg(*(F.sum(v).alias(f"_all_{k}") for k, v in sums.items()))
+    base = base.select("_part", *(F.coalesce(F.sum(f"_all_{k}").over(earlier), F.lit(0)).alias(f"_all_{k}") for k in sums))
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parts.join(base, "_part").select(*rows.columns, *((F.col(f"_all_{k}") + F.sum(v).over(upto)).alias(k) for k, v in sums.items()))
+    return out
+
+
 def targets(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(source, source_size, target) from source and size.
 
     Sources by code point, null last, weigh 1, 2, 3 and so on in turn and share the total of all
     sizes. No target exceeds ``limit`` times its source; what is cut off goes to the others by
     weight. Ordered by limit over weight, the sources at their limit come first, so running sums
-    find the level at which the rest stand; the window is over one row per source.
+    find the level at which the rest stand.
     """
+    by_name = F.col("source").asc_nulls_last()
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    per = per.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
+    per = running(per, [by_name], {"number": F.lit(1)}).withColumn("weight", (F.col("number") - 1) % 3 + 1)
     per = per.withColumn("most", limit * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("weight"))
-    everything = Window.partitionBy()
-    by = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumn("total", F.sum("source_size").over(everything)).withColumn("weights", F.sum("weight").over(everything))
-    per = per.withColumn("level", (F.col("total") - F.sum("most").over(by) + F.col("most")) / (F.col("weights") - F.sum("weight").over(by) + F.col("weight")))
-    level = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "level"))).over(everything)["level"]
-    return per.withColumn("stand", F.coalesce(level, F.lit(0.0))).select("source", "source_size", F.least(F.col("most").cast("double"), F.col("stand") * F.col("weight")).alias("target"))
+    per = running(per, [F.col("ratio").asc(), by_name], {"mosts": F.col("most"), "weights": F.col("weight")})
+    all_ = per.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    per = per.withColumn("level", (F.lit(all_["size"]) - F.col("mosts") + F.col("most")) / (F.lit(all_["weight"]) - F.col("weights") + F.col("weight")))
+    least = per.where("ratio > level").agg(F.min(F.struct("ratio", "level"))["level"].alias("level")).first()["level"]
+    return per.select("source", "source_size", F.least(F.col("most").cast("double"), F.lit(least or 0.0) * F.col("weight")).alias("target"))
 
 
 def plan_mix(docs: DataFrame, limit: int = LIMIT, seed: str = "mix") -> DataFrame:
-    """docs with size, source_size, target, copies and taken added (existing columns of these names are replaced).
+    """docs with size, source_size, target, copies and taken added; input columns of these names, in any case, are called input_ and their name.
 
-    Takes doc_id, text and source. Null, empty and blank texts have size 0. A source of size 0 has
-    target 0 and its documents no copy. Rows without doc_id draw by their text; repeated rows draw
-    alike. An empty table gives an empty result.
+    Takes doc_id, text and source. Null, empty and blank texts have size 0; very long texts are
+    only counted. A source of size 0 has target 0 and its documents no copy. Rows without doc_id
+    draw by their text; repeated rows draw alike. Rows without source are a source of their own.
+    An empty table gives an empty result.
     """
-    new = ("size", "source_size", "target", "copies", "taken")
-    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in new)).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).alias("key"), "source", word_count(F.col("text")).alias("size"))
-    rates = stored(targets(docs.select("source", "size"), limit), "targets").withColumnRenamed("source", "_source")
-    few = rates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    docs = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("_source")))
+    kept = set_apart(docs.columns, ("size", "source_size", "target", "copies", "taken"))
+    docs = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).alias("key"), F.col("source").alias("_of"), word_count(F.col("text")).alias("size"))
+    rates = stored(targets(docs.select(F.col("_of").alias("source"), "size"), limit), "targets").withColumnRenamed("source", "_source")
+    few = (rates.agg(F.sum(F.coalesce(F.octet_length("_source"), F.lit(0)) + 32).alias("n")).first()["n"] or 0) <= MOST_BROADCAST
+    docs = docs.join(F.broadcast(rates) if few else rates, F.col("_of").eqNullSafe(F.col("_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     docs = docs.withColumn("copies", (F.floor(rate) + F.when(draw(seed, F.col("key")) < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
     return docs.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

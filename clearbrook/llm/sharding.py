@@ -1,10 +1,19 @@
 """Sharding by a hierarchical weighted hash tree, in DataFrame functions alone.
 
-A row descends from region to rack to shard. At each node every child draws
--ln(u) / weight, with u from a hash of the child's name and the row's key, and the least
-draw wins; a child's weight is the number of shards below it. A child that gains weight
-can only win rows, one that loses weight only lose them, so movement is confined to
-subtrees whose weights change. A further shard is a new region: rows move into it alone.
+Shards fill racks of ``RACK`` and racks fill regions of ``RACKS``, in the order of their
+numbers, so a shard's place in the tree never moves. A row descends from region to rack to
+shard. At each level every child draws u in (0, 1] from a hash of its name and the row's
+key. With ``before`` shards added before the child's first, the child needs a weight of
+ceil(before / u - before), at least 1, to take the row: that is the number of its own shards
+from which on its share of all shards outweighs the draw. Of the children that weigh what
+they need the last takes the row, and it takes it first with its need-th shard, so within
+that child only later racks and shards can still draw for it.
+
+So each shard gets an equal share of the keys, and a subtree wins rows only by gaining
+weight. A further shard changes no draw and no need: the rows that its region, its rack or
+the shard itself newly can take are exactly those whose need it meets, and they go into the
+new shard. No row moves between old shards. A row costs a draw per region, per rack of its
+region and per shard of its rack, not one per shard.
 """
 
 from __future__ import annotations
@@ -13,81 +22,91 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mixing import draw
+from .shared import set_apart
 
-#: Blocks that number the rows of a shard independently of each other; fixed, so that runs agree.
-BLOCKS = 4096
+#: Shards of a rack and racks of a region: part of the law, so fixed.
+RACK, RACKS = 5, 4
+#: Blocks that number the rows of a shard independently of each other: of all shards so many at most, which bounds what is broadcast.
+MOST_BLOCKS = 1 << 16
 
 
-def tree(shards: int, regions: int = 2, racks: int = 4) -> list[list[list[int]]]:
-    """Shards 0 to shards - 1 dealt evenly over racks of regions; empty racks and regions are left out."""
-    width = [[[] for _ in range(racks)] for _ in range(regions)]
-    per = -(-shards // (regions * racks))
-    for shard in range(shards):
-        place = shard // per
-        width[place // racks][place % racks].append(shard)
-    return [[rack for rack in region if rack] for region in width if any(region)]
+def _last(docs: DataFrame, level: str, before: list[Column], own: list[Column], key: str, otherwise: Column, to: str) -> DataFrame:
+    """The shard with which the last child that can takes the row; a child of weight null can't."""
+    needs = {f"_need{i}": F.greatest(F.lit(1), F.ceil(b / (draw(F.concat(F.lit(level), b.cast("string")), F.col(key)) + 2.0**-52) - b)) for i, b in enumerate(before)}
+    docs = docs.withColumns(needs)  # a projection of its own, so that each child draws once
+    taken = [F.when(F.col(f"_need{i}") <= w, b + F.col(f"_need{i}") - 1) for i, (b, w) in enumerate(zip(before, own, strict=True))]
+    return docs.withColumn(to, F.coalesce(*reversed(taken), otherwise).cast("int")).drop(*needs)
 
 
-def grown(layout: list[list[list[int]]]) -> list[list[list[int]]]:
-    """The layout with one more shard, in a region of its own."""
-    return [*layout, [[1 + max(s for region in layout for rack in region for s in rack)]]]
-
-
-def pick(names: list[Column], weights: list[Column], key: Column) -> Column:
-    """Index of the child with the least draw; a child without weight draws nothing."""
-    least = [F.when(weight > 0, F.struct((-F.log(draw(name, key) + 2.0**-54) / weight).alias("draw"), F.lit(i).alias("child"))) for i, (name, weight) in enumerate(zip(names, weights, strict=True))]
-    return (F.least(*least) if len(least) > 1 else least[0])["child"]
-
-
-def descend(docs: DataFrame, layout: list[list[list[int]]], key: str, to: str) -> DataFrame:
-    """docs with the shard of each row's key in column ``to``.
-
-    The tree is three array literals (weights of regions, weights of racks, shards); a level's
-    draws depend on the path so far through names, so each level is drawn once, not once a branch.
-    """
-    racks, shards = max(map(len, layout)), max(len(rack) for region in layout for rack in region)
-    rack_weight = [len(region[j]) if j < len(region) else 0 for region in layout for j in range(racks)]
-    leaf = [rack[k] if k < len(rack) else -1 for region in layout for rack in [*region, *[[]] * (racks - len(region))] for k in range(shards)]
-    rack_weight, leaf = (F.array(*map(F.lit, x)) for x in (rack_weight, leaf))
-    k = F.col(key)
-    region = pick([F.lit(f"r{i}") for i in range(len(layout))], [F.lit(float(sum(map(len, r)))) for r in layout], k)
-    docs = docs.withColumn("_region", region)
-    docs = docs.withColumn("_rack", pick([F.concat(F.lit("r"), F.col("_region"), F.lit(f".{j}")) for j in range(racks)], [F.element_at(rack_weight, F.col("_region") * racks + j + 1).cast("double") for j in range(racks)], k))
-    own = [F.element_at(leaf, (F.col("_region") * racks + F.col("_rack")) * shards + i + 1) for i in range(shards)]
-    docs = docs.withColumn("_leaf", pick([F.concat(F.lit("s"), c) for c in own], [F.when(c >= 0, 1.0) for c in own], k))
-    return docs.withColumn(to, F.element_at(leaf, (F.col("_region") * racks + F.col("_rack")) * shards + F.col("_leaf") + 1)).drop("_region", "_rack", "_leaf")
+def descend(docs: DataFrame, shards: int, key: str, to: str) -> DataFrame:
+    """docs with the shard, of 0 to shards - 1, of each row's key in column ``to``."""
+    width = RACK * RACKS
+    starts = range(width, shards, width)  # the first region takes what no other takes
+    docs = _last(docs, "region", [F.lit(s) for s in starts], [F.lit(min(width, shards - s)) for s in starts], key, F.lit(0), "_entry")
+    docs = docs.withColumn("_base", F.col("_entry") - F.col("_entry") % width)
+    racks = [F.col("_base") + RACK * k for k in range(1, RACKS)]
+    docs = _last(docs, "rack", racks, [F.when(b > F.col("_entry"), F.least(F.lit(RACK), shards - b)) for b in racks], key, F.col("_entry"), "_entered")
+    docs = docs.withColumn("_base", F.col("_entered") - F.col("_entered") % RACK)
+    leaves = [F.col("_base") + k for k in range(1, RACK)]
+    docs = _last(docs, "shard", leaves, [F.when((s > F.col("_entered")) & (s < shards), 1) for s in leaves], key, F.col("_entered"), to)
+    return docs.drop("_entry", "_entered", "_base")
 
 
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """docs with size, text_crc32, law, shard, slot, grown_shard added (existing columns of these names are replaced).
+    """docs with size, text_crc32, law, shard, slot, grown_shard added; input columns of these names, in any case, are called input_ and their name.
 
     Takes doc_id and text. size is the text's UTF-8 bytes (null: none) plus 16; law is ``key``:
-    doc_id and the number of shards decide. Slots of a shard run from 0 without gaps: its rows
-    are numbered within blocks by hash of doc_id and text, after all rows of the blocks before,
-    so no task holds a whole shard. Rows without doc_id share one key and so one shard, and so
-    do rows that repeat a doc_id; their texts deal them over the blocks. Repeated rows get slots
-    of their own. An empty table gives an empty result.
+    doc_id and the number of shards decide. ``assign(docs, n + 1)`` gives each row the shard
+    that is its grown_shard under ``assign(docs, n)``. Slots of a shard run from 0 without gaps:
+    its rows are numbered within blocks by hash of doc_id and text, after all rows of the blocks
+    before, so no task holds a whole shard. Rows without doc_id share one key and so one shard,
+    and so do rows that repeat a doc_id; their texts deal them over the blocks. Repeated rows
+    get slots of their own, in any order among them. Very long texts are only measured. An empty
+    table gives an empty result.
     """
-    layout, new = tree(shards), ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
+    blocks = max(1, MOST_BLOCKS // shards)
 
     def placed(rows: DataFrame) -> DataFrame:
         # the text takes part, so that a doc_id which many rows share, or lack, isn't one block
-        return descend(rows, layout, "key", "shard").withColumn("block", F.floor(draw("slot", F.col("key"), F.col("text_crc32"), F.col("size")) * BLOCKS).cast("int"))
+        return descend(rows, shards, "key", "shard").withColumn("block", F.floor(draw("slot", F.col("key"), F.col("text_crc32"), F.col("size")) * blocks).cast("int"))
 
     facts = (key, (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in new)).alias("row"), *facts)
-    rows = descend(placed(rows), grown(layout), "key", "grown_shard")
+    rows = docs.select(F.struct(*set_apart(docs.columns, ("size", "text_crc32", "law", "shard", "slot", "grown_shard"))).alias("row"), *facts)
+    rows = descend(placed(rows), shards + 1, "key", "grown_shard")
     counts = placed(docs.select(*facts)).groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("shard", "block").orderBy("key", "text_crc32", "size")
     rows = rows.withColumn("place", F.row_number().over(within) - 1)
-    rows = rows.join(F.broadcast(counts), ["shard", "block"])  # at most shards * BLOCKS rows
+    rows = rows.join(F.broadcast(counts) if shards <= MOST_BLOCKS else counts, ["shard", "block"])
     return rows.select("row.*", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), "grown_shard")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return assign(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def _descent(shards: int) -> str:
+    """The descent in SQL, from (doc_id, size, text_crc32, key) rows ``d``."""
+    need = "greatest(1, CAST(ceil({b} / ((CAST(CAST('0x' || substr(md5('{level}' || {b} || ':' || key), 1, 13) AS BIGINT) AS DOUBLE) + 1) / 4503599627370496.0) - {b}) AS BIGINT))"
+    region = f"coalesce((SELECT arg_max(b + need - 1, b) FROM (SELECT b, {need.format(b='b', level='region')} AS need FROM (SELECT unnest(range({RACK * RACKS}, {shards}, {RACK * RACKS})) AS b)) WHERE need <= least({RACK * RACKS}, {shards} - b)), 0)"
+    rack = f"coalesce((SELECT arg_max(b + need - 1, b) FROM (SELECT b, {need.format(b='b', level='rack')} AS need FROM (SELECT unnest(range(e - e % {RACK * RACKS}, least(e - e % {RACK * RACKS} + {RACK * RACKS}, {shards}), {RACK})) AS b)) WHERE b > e AND need <= least({RACK}, {shards} - b)), e)"
+    leaf = f"coalesce((SELECT max(b) FROM (SELECT b, {need.format(b='b', level='shard')} AS need FROM (SELECT unnest(range(e - e % {RACK}, least(e - e % {RACK} + {RACK}, {shards}))) AS b)) WHERE b > e AND need <= 1), e)"
+    return f"(SELECT id, {leaf} AS shard FROM (SELECT id, key, {rack} AS e FROM (SELECT id, key, {region} AS e FROM d)))"
+
+
+#: CRC-32 is folded over the bytes with its table of 256; the descent follows the rules of the module's docstring.
+SQL = rf"""
+WITH t AS (SELECT list(c ORDER BY n) AS crc FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS n))),
+b AS (SELECT row_number() OVER () AS id, doc_id, encode(coalesce(text, '')) AS x, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
+d AS (SELECT id, doc_id, key, octet_length(x) + 16 AS size,
+  xor(list_reduce(list_prepend(4294967295, [CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(x), '..')]), lambda c, v: xor(c // 256, crc[xor(c % 256, v) + 1])), 4294967295) AS text_crc32 FROM b, t),
+a AS (SELECT d.*, s.shard, g.shard AS grown_shard,
+  CAST(floor(CAST(CAST('0x' || substr(md5('slot:' || key || ':' || text_crc32 || ':' || size), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 * {MOST_BLOCKS // 40}) AS BIGINT) AS block
+  FROM d JOIN {_descent(40)} s USING (id) JOIN {_descent(41)} g USING (id))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY block, key, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM a
+"""

@@ -20,19 +20,38 @@ from pyspark.sql import functions as F
 
 #: Bytes of text per bucket of an inverted index: about as many bytes of entries.
 BUCKET_BYTES = 16 << 20
+#: Most frequent keys that a join may broadcast, and the bytes of a key's values where those vary: 16 MB together at most.
+MOST_HOT, MOST_HOT_BYTES = 1000, 16 << 10
+
+
+_local: list[str] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; where that is unset (tests), in a local temporary folder."""
+    """A new path in ``spark.checkpoint.dir``. Where that is unset, a session on one machine gets a temporary folder; a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="clearbrook-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="clearbrook-"))
+        base = _local[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def set_apart(columns: list[str], new: tuple[str, ...]) -> list[Column]:
+    """The columns under names that don't clash with ``new``, whatever the case: those that would are called input_ and their name."""
+    taken, out = {c.lower() for c in (*columns, *new)}, []
+    for c in columns:
+        name = c
+        if c.lower() in new:
+            while name.lower() in taken:
+                name = f"input_{name}"
+            taken.add(name.lower())
+        out.append(F.col("`" + c.replace("`", "``") + "`").alias(name))
+    return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: lineage ends here."""
     path = shared_folder(df.sparkSession, name)
@@ -87,23 +106,27 @@ def by_group(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key[first], np.append(first, len(key)), [c[order] for c in columns]
 
 
-def map_arrow(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], Iterator[dict[str, pa.Array]]]) -> DataFrame:
-    """mapInArrow with ``make`` giving dicts of columns; columns that it leaves out are null."""
+def map_batches(df: DataFrame, schema: str, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, pa.Array]]]) -> DataFrame:
+    """mapInArrow with ``make`` giving dicts of columns for the batches of a partition; columns that it leaves out are null."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     fields = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for batch in batches:
-            for columns in make(batch):
-                n = len(next(iter(columns.values())))
-                if n:
-                    yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields], names=[f.name for f in fields])
+        for columns in make(batches):
+            n = len(next(iter(columns.values())))
+            if n:
+                yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields], names=[f.name for f in fields])
 
     return df.mapInArrow(run, schema)
 
 
+def map_arrow(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], Iterator[dict[str, pa.Array]]]) -> DataFrame:
+    """map_batches where each batch stands for itself."""
+    return map_batches(df, schema, lambda batches: (columns for batch in batches for columns in make(batch)))
+
+
 def map_groups(df: DataFrame, keys: list[str], schema: str, make: Callable[[pa.Table], dict[str, pa.Array]]) -> DataFrame:
     """groupBy(keys).applyInArrow with ``make`` giving a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -119,6 +142,25 @@ def map_groups(df: DataFrame, keys: list[str], schema: str, make: Callable[[pa.T
     return df.groupBy(*keys).applyInArrow(run, schema)
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, on: str, spread: Column, size: Column | None = None) -> DataFrame:
+    """rows left-joined with ``keyed`` on a text column; ``keyed`` has a row per key and in ``n`` the rows that have it.
+
+    Keys that hold a MOST_HOT-th of those rows are MOST_HOT at most, so they can be broadcast; with
+    ``size``, the bytes of a key's values, only those of MOST_HOT_BYTES. A row that is served so goes
+    on under a key of its own, ``spread``, so no task of the shuffled join gets a frequent key.
+    """
+    keyed = stored(keyed, "keyed")
+    least = max(2, keyed.agg(F.ceil(F.sum("n") / MOST_HOT).alias("n")).first()["n"] or 0)
+    hot = F.col("n") >= least if size is None else (F.col("n") >= least) & (size <= MOST_HOT_BYTES)
+    values = [c for c in keyed.columns if c not in (on, "n")]
+    first = keyed.where(hot).select(F.col(on).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in values))
+    rest = keyed.where(~hot).select(F.col(on).alias("_cold"), *(F.col(c).alias(f"_cold_{c}") for c in values))
+    rows = rows.join(F.broadcast(first), F.col(on) == F.col("_hot"), "left")
+    rows = rows.withColumn("_key", F.when(F.col("_hot").isNull() & F.col(on).isNotNull(), F.col(on)).otherwise(F.concat(F.lit("\0"), F.coalesce(spread.cast("string"), F.lit("")))))
+    out = rows.join(rest, F.col("_key") == F.col("_cold"), "left")
+    return out.select(*(F.col(c) for c in rows.columns if not c.startswith("_hot") and c != "_key"), *(F.when(F.col("_hot").isNotNull(), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in values))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of an undirected graph with columns a, b: component is the smallest node reached.
 

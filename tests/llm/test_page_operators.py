@@ -75,6 +75,41 @@ def test_url_filter_matches_every_rule_on_every_url(spark):
     assert urlfilter.filter_urls(df.limit(0)).count() == 0
 
 
+def fits(rule, host, path):
+    return (host == rule.host or host.endswith("." + rule.host)) and path.startswith(rule.path)
+
+
+@pytest.mark.parametrize("block", [1, 3, 200_000])
+def test_url_verdicts_do_not_depend_on_blocks_or_batches(spark, monkeypatch, block):
+    monkeypatch.setattr(urlfilter, "BLOCK", block)
+    rules = (urlfilter.Rule("a.net", "/x", "block"), urlfilter.Rule("net", "/xyz", "allow"), urlfilter.Rule("net", "/xyz", "block"), urlfilter.Rule("c.net", "/é", "allow"), urlfilter.Rule("net", "/", "allow"), urlfilter.Rule("a.net", "/xy", "allow"), urlfilter.Rule("b.a.net", "", "block"))
+    urls = [f"http://{h}{p}" for h in ("a.net", "b.a.net", "net", "c.net", "x.c.net", "nett") for p in ("/xyz", "/xy", "/x", "/", "", "/éa")] * 3
+    df = pages(spark, [(i, u, None) for i, u in enumerate(urls)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = urlfilter.filter_urls(df, rules).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(urls)
+    for r in got:
+        best = max((x for x in rules if fits(x, r["host"], r["path"])), key=lambda x: x.rank, default=None)
+        assert (r["rule"], r["verdict"]) == (best and best.name, best.verdict if best else "allow")
+
+
+def test_many_paths_of_one_host_and_sweeps_that_start_midway():
+    rules = [urlfilter.Rule("h.net", f"/{i}/{'x' * (i % 4)}", "block" if i % 2 else "allow") for i in range(5000)] + [urlfilter.Rule("net", "/", "allow"), urlfilter.Rule("b.h.net", "/1", "allow")]
+    known = urlfilter.hosts(rules)
+    urls = sorted((f"net.h.{s}", f"/{i}/xx/y") for s in ("", "a.", "b.", "b.c.") for i in range(0, 5000, 7))
+    want = []
+    for key, path in urls:
+        host = ".".join(reversed(key[:-1].split(".")))
+        want.append(max((r for r in rules if fits(r, host, path)), key=lambda r: r.rank, default=None) if path < "/14" else None)
+    for first in (0, 900, 2000):
+        step = urlfilter.sweep(known)
+        got = [step(*u) for u in urls[first:]]
+        assert all(g == w for g, w, u in zip(got, want[first:], urls[first:], strict=True) if u[1] < "/14")
+
+
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href='/a'>menu {i}</a></li></ul></nav><div class=\"ad\">buy {i} now</div>{body}<footer>&copy; site</footer></body></html>"
 
 

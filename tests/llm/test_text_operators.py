@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -136,6 +137,39 @@ def test_substrings_of_texts_that_share_a_doc_id(spark):
     assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in found) == sorted(want)
 
 
+def test_substrings_compare_words_whatever_the_hashes_say(spark, monkeypatch):
+    """All windows have one hash: the only place that is known is the first, and only true repeats of it go."""
+    make = lambda c, n: [f"{c}{i}" for i in range(n)]
+    passage = make("p", 30)
+    rows = [(1, passage + make("a", 40)), (2, make("b", 30) + passage), (3, make("c", 60)), (4, passage[:25] + make("d", 60))]
+    monkeypatch.setattr(substrings, "PIECE", 7)
+    want = {1: 0, 2: 30, 3: 0, 4: 25}
+    docs = frame(spark, [(i, " ".join(w)) for i, w in rows])
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.dedup_substrings(docs).collect()} == want
+    pieces = [(0, 1, 0, 0, " ".join(passage).encode()), (30, 1, 0, 30, b"q " * 9 + b"q")]
+    assert substrings.factor([x.encode() for x in passage + make("b", 10)], pieces, 20).tolist() == [[0, 30, 1, 0]]
+    assert substrings.factor([x.encode() for x in make("b", 30)], pieces[:1], 20).tolist() == []
+    # two halves of one block, the second with a word that differs in its middle
+    halves = [(0, 1, 0, 5, " ".join(passage[:15]).encode()), (15, 1, 0, 20, " ".join([*passage[15:22], "other", *passage[23:]]).encode())]
+    assert substrings.factor([x.encode() for x in passage], halves, 20).tolist() == [[0, 22, 1, 5]]
+    def weak(h, at, window):
+        return np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint32)
+
+    # every indexed window is taken for the one at the start of document 1; what isn't equal to it stays
+    monkeypatch.setattr(substrings, "window_hashes", weak)
+    got = {r["doc_id"]: (r["n_removed"], r["text"].split()) for r in substrings.dedup_substrings(docs).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {1: 0, 2: 20, 3: 0, 4: 20}
+    assert got[2][1] == rows[1][1][:30] + passage[20:] and got[4][1] == rows[3][1][20:]
+
+
+def test_hot_groups_and_repeats_within_a_document(spark):
+    make = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    passage = make("p", 24)
+    rows = [(i, f"{make(f'u{i}x', 12)}  {passage}\n{make(f'v{i}x', 9)}") for i in range(60)] + [(100 + i, make("copy", 50)) for i in range(40)] + [(200, f"{make('r', 21)} {make('r', 21)}")]
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.dedup_substrings(frame(spark, rows)).collect()}
+    assert got == {**{i: 24 * (i > 0) for i in range(60)}, **{100 + i: 50 * (i > 0) for i in range(40)}, 200: 21}
+
+
 def test_quality_matches_brute_force(spark, rows):
     docs = [(i, t, ["a", "b", None][i % 3]) for i, t in rows]
     normal = lambda line: " ".join(split(line)).lower()
@@ -266,18 +300,59 @@ def test_sharding_of_a_frequent_doc_id(spark):
         assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
 
 
-def test_hash_tree_is_even_and_confines_movement(spark):
-    keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
-    small = [[[0, 1], [2]], [[3], [4, 5]]]
-    wide = [[[0, 1], [2]], [[3], [4, 5, 6]]]
-    both = sharding.descend(sharding.descend(keys, small, "k", "a"), wide, "k", "b")
-    n = {r["a"]: r["count"] for r in both.groupBy("a").count().collect()}
-    assert all(abs(v - 20_000 / 6) < 300 for v in n.values())
-    # rows move only into the region, and within it the rack, that gained weight
-    assert both.where("a < 3 and b < 3 and a <> b").count() == 0
-    assert both.where("a >= 3 and b < 3").count() == 0
-    assert both.where("a in (4, 5) and b = 3").count() == 0
-    assert sharding.tree(3) == [[[0], [1], [2]]] and sum(len(k) for r in sharding.tree(41) for k in r) == 41
+def brute_shard(key, shards):
+    """The descent as the module's docstring tells it."""
+
+    def need(level, before):
+        u = (int(hashlib.md5(f"{level}{before}:{key}".encode()).hexdigest()[:13], 16) + 1) / 2**52
+        return max(1, math.ceil(before / u - before))
+
+    at = 0
+    for level, size, inside in (("region", 20, None), ("rack", 5, 20), ("shard", 1, 5)):
+        low = 0 if inside is None else at - at % inside
+        high = shards if inside is None else min(low + inside, shards)
+        for before in range(low, high, size):
+            if before > at and need(level, before) <= min(size, high - before):
+                at = before + need(level, before) - 1
+    return at
+
+
+def test_hash_tree_matches_brute_force_and_a_further_shard_takes_rows_only_into_itself(spark):
+    keys = [str(k) for k in range(300)]
+    now = {k: 0 for k in keys}
+    for n in range(1, 102):
+        then = {k: brute_shard(k, n) for k in keys}
+        assert all(then[k] in (now[k], n - 1) for k in keys)
+        now = then
+    rows = spark.createDataFrame([(k,) for k in keys], "k string")
+    sizes = (1, 2, 5, 6, 20, 21, 39, 40, 41, 61, 100)
+    for n in sizes:
+        rows = sharding.descend(rows, n, "k", f"s{n}")
+    for r in rows.collect():
+        assert [r[f"s{n}"] for n in sizes] == [brute_shard(r["k"], n) for n in sizes]
+
+
+@pytest.mark.parametrize("shards", [1, 4, 5, 20, 40, 60])
+def test_grown_shard_is_what_one_more_shard_gives(spark, shards):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    now, then = ({r["doc_id"]: r for r in sharding.assign(docs, n).collect()} for n in (shards, shards + 1))
+    assert all(now[i]["grown_shard"] == then[i]["shard"] and then[i]["shard"] in (now[i]["shard"], shards) for i in now)
+
+
+def test_hash_tree_is_even(spark):
+    n = {r["s"]: r["count"] for r in sharding.descend(spark.range(40_000).select(F.col("id").cast("string").alias("k")), 44, "k", "s").groupBy("s").count().collect()}
+    assert len(n) == 44 and all(abs(v - 40_000 / 44) < 160 for v in n.values())
+
+
+def test_clashing_names_of_the_input_are_set_apart(spark, tmp_path):
+    names = ("Size", "SHARD", "slot", "Copies", "Taken", "Target", "key", "Row", "source_Size")
+    docs = frame(spark, [(1, "a b"), (2, "c")]).select("doc_id", "text", "source", *(F.lit(7).alias(n) for n in names))
+    for f, new in ((sharding.assign, ("Size", "SHARD", "slot")), (mixing.plan_mix, ("Size", "Copies", "Taken", "Target", "source_Size"))):
+        got = f(docs)
+        got.write.parquet(f"{tmp_path}/{f.__name__}")
+        assert len({c.lower() for c in got.columns}) == len(got.columns)
+        assert all(r[f"input_{n}" if n in new else n] == 7 for r in got.collect() for n in names)
+    assert mixing.emit(docs).columns == docs.columns
 
 
 def test_toxicity_learns_terms_and_pairs(spark):
