@@ -19,9 +19,11 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_warc": warc.SQL,
+    "op2_decontamination": decontaminate.SQL,
     "op3_url_filter": urlfilter.SQL,
     "op4_jaccard_join": jaccard.SQL,
     "op5_quality_rules": quality.SQL,
+    "op6_sharding": sharding.SQL,
     "op8_mixing": mixing.SQL,
     "op10_substring_dedup": substrings.SQL,
 }

@@ -7,9 +7,13 @@ plain size. An index maps each record to bundle, frame, offset within the plain
 length, so that one record costs one frame.
 
 Bundles are written by the tasks into the folder given, which all executors must share
-(a Hadoop path). A task writes under a name of its own and renames the finished file, and
-returns the index rows of the files it has finished; files of failed or repeated attempts
-are in no index. Memory per task is one batch of rows and one bundle.
+(a Hadoop path). A bundle stays open over all batches of its task. A task writes under a name
+of its own and renames the finished file, and returns the index rows of the files it has
+finished; files of failed or repeated attempts are in no index. Memory per task is one batch of
+rows and one bundle.
+
+Record ids follow from page_id, url and digest, so that a rerun writes the same records and a
+revisit names the response that it refers to.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, shared_folder, stored
+from .shared import join_counted, map_arrow, map_batches, shared_folder, stored
 
 FRAME, BUNDLE, LEVEL = 256 << 10, 16 << 20, 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -37,13 +41,18 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, n: int) -> bytes:
-    """One WARC/1.1 record; a revisit has no block and names the record whose payload it shares."""
+def record_name(page_id: int | None, url: str | None, digest: str) -> str:
+    """A record's id; rows without page_id are told apart by url. Rows that repeat both are the same record again."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id if page_id is not None else url}:{digest}')}"
+
+
+def record(kind: str, record_id: str, url: str | None, payload: bytes, digest: str, refers_to: tuple[int, str] | None, n: int) -> bytes:
+    """One WARC/1.1 record; a revisit has no block and names the page and the record whose payload it shares."""
     url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     block = payload if kind == "response" else b""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {n}"]
     if refers_to:
-        head += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <{refers_to[1]}>", f"X-Refers-To-Page: {refers_to[0]}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -100,54 +109,55 @@ def seek_table(data: bytes | memoryview) -> list[tuple[int, int]]:
 def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages with payload_digest (base32), payload_bytes, and first_id: the smallest page_id of the same payload.
 
-    Payloads smaller than ``least`` bytes are not compared. The rows of a payload are found by a
-    join with one row per payload, which Spark splits where a payload is frequent.
+    Payloads smaller than ``least`` bytes are not compared. Frequent payloads, such as the empty
+    one, are looked up without a shuffle, so none fills a task.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha1(F.encode(payload, "UTF-8")).alias("sha1"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    first = pages.where(F.col("payload_bytes") >= least).groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return pages.join(first, ["sha1", "payload_bytes"], "left")
+    first = pages.where(F.col("payload_bytes") >= least).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    return join_counted(pages, first, "sha1", F.concat_ws(":", "page_id", "url"))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write the bundles; returns the index: record_id, page_id, bundle, frame, offset, length.
 
     Takes page_id, url and html; other columns are ignored. Null html is an empty payload, null url
-    an empty target. Rows without page_id are responses. Repeated rows give records of their own;
-    of rows that share the smallest page_id of a payload, all are responses.
+    an empty target. Rows without page_id are responses. Repeated rows give records of their own,
+    under one id where page_id and payload are equal; of rows that share the smallest page_id of a
+    payload, all are responses. A very long page is a frame of its own. An empty table writes no bundle.
     """
 
-    def write(batch: pa.RecordBatch):
+    def write(batches: Iterator[pa.RecordBatch]):
         where, path = fs.FileSystem.from_uri(folder)
         where.create_dir(path)
         rows, bundle = [], Bundle()
 
         def finish():
-            if bundle.size or bundle.open:
-                name = uuid.uuid4().hex
-                with where.open_output_stream(f"{path}/.{name}") as out:
-                    out.write(bundle.bytes())
-                where.move(f"{path}/.{name}", f"{path}/{name}.warc.zst")
-                for r in rows:
-                    r["bundle"] = f"{name}.warc.zst"
-                return rows
-            return []
-
-        for page, url, html, sha1, size, first in zip(*(batch.column(i) for i in range(6)), strict=True):
-            page, first, payload = page.as_py(), first.as_py(), html.as_buffer().to_pybytes()
-            again = page is not None and first is not None and page != first
-            digest = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
-            record_id = f"urn:uuid:{uuid.uuid4()}"
-            data = record("revisit" if again else "response", record_id, url.as_py(), payload, digest, f"urn:page:{first}" if again else None, size.as_py())
-            frame, offset, length = bundle.add(data)
-            rows.append({"record_id": record_id, "page_id": page, "frame": frame, "offset": offset, "length": length})
-            if bundle.size >= BUNDLE:
-                yield from _columns(finish())
-                rows, bundle = [], Bundle()
-        yield from _columns(finish())
+            name = uuid.uuid4().hex
+            with where.open_output_stream(f"{path}/.{name}") as out:
+                out.write(bundle.bytes())
+            where.move(f"{path}/.{name}", f"{path}/{name}.warc.zst")
+            for r in rows:
+                r["bundle"] = f"{name}.warc.zst"
+            return _columns(rows)
+
+        for batch in batches:
+            for page, url, html, sha1, size, first in zip(*(batch.column(i) for i in range(6)), strict=True):
+                page, url, first, payload = page.as_py(), url.as_py(), first.as_py(), html.as_buffer().to_pybytes()
+                again = page is not None and first is not None and page != first
+                digest = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
+                record_id = record_name(page, url, digest)
+                data = record("revisit" if again else "response", record_id, url, payload, digest, (first, record_name(first, None, digest)) if again else None, size.as_py())
+                frame, offset, length = bundle.add(data)
+                rows.append({"record_id": record_id, "page_id": page, "frame": frame, "offset": offset, "length": length})
+                if bundle.size >= BUNDLE:
+                    yield from finish()
+                    rows, bundle = [], Bundle()
+        if rows:
+            yield from finish()
 
     planned = plan_records(pages, least).select("page_id", "url", "html", "sha1", "payload_bytes", "first_id")
-    return stored(map_arrow(planned, _INDEX, write), "warc-index")
+    return stored(map_batches(planned, _INDEX, write), "warc-index")
 
 
 def _columns(rows: list[dict]) -> Iterator[dict[str, pa.Array]]:
@@ -159,7 +169,8 @@ def _columns(rows: list[dict]) -> Iterator[dict[str, pa.Array]]:
 def read_records(index: DataFrame, folder: str, bundles: DataFrame | None = None) -> DataFrame:
     """The records that the index rows name: page_id, record_id, record_type, payload_digest, payload_bytes, refers_to, block.
 
-    Index rows are gathered by bundle and frame, so that a frame is read and unpacked once, and a
+    A response's digest and size are taken from its block, and a record that says otherwise is an
+    error; those of a revisit are what its header says. Index rows are gathered by bundle and frame, so that a frame is read and unpacked once, and a
     lookup of few records reads few frames.
     """
     frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("page_id", "record_id", "offset", "length")).alias("records"))
@@ -180,7 +191,10 @@ def read_records(index: DataFrame, folder: str, bundles: DataFrame | None = None
             plain = unpack.decompress(source.read_at(length, start))
             for r in records:
                 fields, block = parse_record(plain[r["offset"] : r["offset"] + r["length"]])
-                out.append((r["page_id"], r["record_id"], fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"]), int(fields["WARC-Refers-To"][len("<urn:page:") : -1]) if "WARC-Refers-To" in fields else None, block))
+                digest, size_ = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
+                if fields["WARC-Type"] == "response" and (base32_sha1(block), len(block)) != (digest, size_):
+                    raise ValueError(f"payload of {r['record_id']} is damaged")
+                out.append((r["page_id"], r["record_id"], fields["WARC-Type"], digest, size_, int(fields["X-Refers-To-Page"]) if "X-Refers-To-Page" in fields else None, block))
                 size += len(block)
             if size > 8 << 20:
                 yield from rows(out)
@@ -203,10 +217,9 @@ def archived(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """What the archives give back; the digest of a response is checked against its block."""
+    """What the archives give back; the digest of each response is recomputed from its block."""
     got = archived(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    true = (F.col("record_type") == "revisit") | (F.length("block") == F.col("payload_bytes"))
-    return got.select("page_id", F.when(true, F.col("payload_bytes")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

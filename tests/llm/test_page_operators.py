@@ -35,11 +35,41 @@ def test_archives_give_back_every_payload(spark):
         again = r["page_id"] is not None and first[h] != r["page_id"]
         assert (r["payload_bytes"], r["record_type"], r["refers_to"]) == (len(h.encode()), "revisit" if again else "response", first[h] if again else None)
         assert bytes(r["block"]) == (b"" if again else h.encode())
+    named = {r["record_id"]: r["page_id"] for r in got if r["record_type"] == "response"}
+    where, path = warc.fs.FileSystem.from_uri(folder)
+    heads = [warc.parse_record(zstandard.ZstdDecompressor().stream_reader(where.open_input_file(f"{path}/{r['bundle']}").read(), read_across_frames=True).read()) for r in index.select("bundle").distinct().collect()]
+    assert all(h[0]["WARC-Record-ID"][1:-1] in {r["record_id"] for r in got} for h in heads)
+    assert {r["record_id"] for r in index.collect()} == {r["record_id"] for r in warc.write_archives(df, shared_folder(spark, "warc")).collect()}
+    for r in got:
+        if r["record_type"] == "revisit":
+            digest = r["payload_digest"]
+            assert named[warc.record_name(r["refers_to"], None, digest)] == r["refers_to"]
     one = warc.read_records(index.where("page_id = 52"), folder).collect()
     assert len(one) == 1 and len(one[0]["block"]) == 1_000_000
     assert warc.archived(spark, df.limit(0)).count() == 0
 
 
+def test_a_task_fills_one_bundle_over_its_batches_and_damage_is_found(spark):
+    df = pages(spark, [(i, "u", f"<p>{i}</p>") for i in range(60)] + [(100 + i, "u", "") for i in range(60)]).coalesce(1)
+    folder = shared_folder(spark, "warc")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index = warc.write_archives(df, folder)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert index.count() == 120 and index.select("bundle").distinct().count() <= spark.sparkContext.defaultParallelism
+    assert {r["refers_to"] for r in warc.read_records(index.where("page_id > 100"), folder).collect()} == {100}
+    data = warc.record("response", "urn:1", "u", b"abc", warc.base32_sha1(b"abd"), None, 3)
+    where, path = warc.fs.FileSystem.from_uri(folder)
+    bundle = warc.Bundle()
+    frame, offset, length = bundle.add(data)
+    with where.open_output_stream(f"{path}/bad") as out:
+        out.write(bundle.bytes())
+    wrong = spark.createDataFrame([("urn:1", 1, "bad", frame, offset, length)], warc._INDEX)
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_records(wrong, folder).collect()
+
+
 def test_bundle_is_seekable_and_plain_zstandard():
     b = warc.Bundle()
     data = [warc.record("response", f"urn:{i}", "u", bytes([65 + i]) * 100_000, "D", None, 100_000) for i in range(8)]

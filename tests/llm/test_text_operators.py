@@ -221,7 +221,68 @@ def test_seeds_find_all_allowed_substitutions_in_short_items():
     for n in range(8, 14):
         seeds = decontaminate.build_index([1], [" ".join(f"t{i}" for i in range(n))])["seeds"]
         for wrong in itertools.combinations(range(n), n // decontaminate.PER):
-            assert any(all(a + p not in wrong for p in where) for _, where, _, at in seeds for a in at.tolist()), (n, wrong)
+            assert any(all(a + p not in wrong for p in where) for _, where, *_, at in seeds for a in at.tolist()), (n, wrong)
+
+
+def brute_overlap(doc, item, span=13, per=5):
+    """Most aligned words of a clean enough run over all alignments, 0 without any."""
+    size, best = min(span, len(item)), 0
+    for shift in range(size - len(item), len(doc) - size + 1):
+        a, b = max(0, -shift), min(len(item), len(doc) - shift)
+        wrong = [item[j] != doc[j + shift] for j in range(a, b)]
+        ok = [k for k in range(len(wrong) - size + 1) if sum(wrong[k : k + size]) <= (size // per if size >= 8 else 0)]
+        while ok:
+            run = [ok.pop(0)]
+            while ok and ok[0] - run[-1] <= size:
+                run.append(ok.pop(0))
+            best = max(best, run[-1] - run[0] + size)
+    return best
+
+
+def test_decontamination_finds_every_allowed_substitution_in_items_of_any_length(spark):
+    items, docs = {}, []
+    for n in range(1, 41):
+        items[n] = [f"i{n}x{k}" for k in range(n)]
+        size = min(13, n)
+        for at in range(n - size + 1):
+            for wrong in itertools.combinations(range(at, at + size), size // 5 if size >= 8 else 0):
+                docs.append((n, " ".join(["lead"] + [w if at <= k < at + size and k not in wrong else f"o{k}" for k, w in enumerate(items[n])] + ["tail"])))
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(table, benchmark).collect()}
+    assert len(docs) > 30_000 and all(got[i]["contaminated"] and n in got[i]["items"] for i, (n, _) in enumerate(docs))
+
+
+def test_decontamination_matches_brute_force_and_sql(spark, monkeypatch):
+    import duckdb
+
+    rng = random.Random(8)
+    word = lambda: f"t{rng.randrange(6)}"
+    items = [(i, [word() for _ in range(n)]) for i, n in enumerate((1, 2, 5, 7, 8, 9, 10, 12, 13, 14, 20, 30, 10, 11))] + [(20, ["same"] * 15), (21, ["a", "b"] * 9)]
+    docs = [(i, [word() for _ in range(rng.randrange(0, 60))]) for i in range(60)] + [(70, ["same"] * 400), (71, ["same"] * 12), (72, ["a", "b"] * 100), (73, ["b", "a", "c"] * 30)]
+    for i, item in items:
+        copy = list(item)
+        for k in range(2, len(copy), 6):
+            copy[k] = "other"
+        docs.append((100 + i, [word() for _ in range(7)] + copy + [word() for _ in range(7)]))
+    text = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string")
+    monkeypatch.setattr(decontaminate, "MOST_PAIRS", 50)
+    got = {r["doc_id"]: (r["items"], r["matched_words"]) for r in decontaminate.contaminated(text(docs, "doc_id"), text(items, "item_id")).collect()}
+    for i, d in docs:
+        found = {k: n for k, item in items if (n := brute_overlap(d, item))}
+        assert got[i] == (sorted(found), max(found.values(), default=0)), i
+    db = duckdb.connect()
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        db.execute(f"create table {name} ({key} bigint, text varchar)")
+        db.executemany(f"insert into {name} values (?, ?)", [(i, " ".join(w)) for i, w in rows])
+    said = {i: (x, m) for i, _, _, x, m in db.execute(decontaminate.SQL).fetchall()}
+    assert said == {i: (",".join(map(str, x)), m) for i, (x, m) in got.items()}
+
+
+def test_repeated_words_do_not_multiply():
+    index = decontaminate.build_index([1], [" ".join(["w"] * 2000)])
+    h = next(words(pa.array([" ".join(["w"] * 200_000)]))).hashes()
+    assert decontaminate.probe(h, np.array([0, len(h)]), index, 13, 5) == {(0, 0): 2000}
 
 
 def test_decontamination_finds_leaks_and_spares_the_rest(spark):
