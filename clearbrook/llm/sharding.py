@@ -12,8 +12,8 @@ that child only later racks and shards can still draw for it.
 So each shard gets an equal share of the keys, and a subtree wins rows only by gaining
 weight. A further shard changes no draw and no need: the rows that its region, its rack or
 the shard itself newly can take are exactly those whose need it meets, and they go into the
-new shard. No row moves between old shards. A row costs a draw per region, per rack of its
-region and per shard of its rack, not one per shard.
+new shard. No row moves between old shards, and the same draws give the shard with one more. A row costs a
+draw per region, per rack of its region and per shard of its rack, not one per shard.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mixing import draw
-from .shared import set_apart
+from .shared import set_apart, stored
 
 #: Shards of a rack and racks of a region: part of the law, so fixed.
 RACK, RACKS = 5, 4
@@ -30,26 +30,42 @@ RACK, RACKS = 5, 4
 MOST_BLOCKS = 1 << 16
 
 
-def _last(docs: DataFrame, level: str, before: list[Column], own: list[Column], key: str, otherwise: Column, to: str) -> DataFrame:
-    """The shard with which the last child that can takes the row; a child of weight null can't."""
-    needs = {f"_need{i}": F.greatest(F.lit(1), F.ceil(b / (draw(F.concat(F.lit(level), b.cast("string")), F.col(key)) + 2.0**-52) - b)) for i, b in enumerate(before)}
+def _level(docs: DataFrame, name: Column, before: list[Column], own: list[tuple[Column, Column]], key: str, otherwise: Column, to: str) -> DataFrame:
+    """The shard with which the last child that can takes the row, in column ``to``; a child of weight null or 0 can't.
+
+    Each child has two weights, now and with one more shard; _new becomes true where they give
+    different shards. An MD5 of the level's name and the key serves four children.
+    """
+    digests = {f"_md5{i}": F.md5(F.concat_ws(":", F.concat(name, F.lit(f".{i}")), F.col(key))) for i in range(-(-len(before) // 4))}
+    docs = docs.withColumns(digests)
+    needs = {}
+    for i, b in enumerate(before):
+        u = (F.conv(F.substring(f"_md5{i // 4}", i % 4 * 8 + 1, 8), 16, 10).cast("double") + 1) / 2.0**32
+        needs[f"_need{i}"] = F.greatest(F.lit(1), F.ceil(b / u - b))
     docs = docs.withColumns(needs)  # a projection of its own, so that each child draws once
-    taken = [F.when(F.col(f"_need{i}") <= w, b + F.col(f"_need{i}") - 1) for i, (b, w) in enumerate(zip(before, own, strict=True))]
-    return docs.withColumn(to, F.coalesce(*reversed(taken), otherwise).cast("int")).drop(*needs)
+    now, then = (F.coalesce(*(F.when(F.col(f"_need{i}") <= w[k], b + F.col(f"_need{i}") - 1) for i, (b, w) in reversed(list(enumerate(zip(before, own, strict=True))))), otherwise).cast("int") for k in range(2))
+    kept = [c for c in docs.columns if c not in digests and c not in needs and c not in (to, "_new")]
+    return docs.select(*kept, now.alias(to), (F.col("_new") | (now != then)).alias("_new"))
 
 
-def descend(docs: DataFrame, shards: int, key: str, to: str) -> DataFrame:
-    """docs with the shard, of 0 to shards - 1, of each row's key in column ``to``."""
+def descend(docs: DataFrame, shards: int, key: str, to: str, grown: str | None = None) -> DataFrame:
+    """docs with the shard, of 0 to shards - 1, of each row's key in column ``to``, and in ``grown`` the shard with one more."""
     width = RACK * RACKS
-    starts = range(width, shards, width)  # the first region takes what no other takes
-    docs = _last(docs, "region", [F.lit(s) for s in starts], [F.lit(min(width, shards - s)) for s in starts], key, F.lit(0), "_entry")
-    docs = docs.withColumn("_base", F.col("_entry") - F.col("_entry") % width)
-    racks = [F.col("_base") + RACK * k for k in range(1, RACKS)]
-    docs = _last(docs, "rack", racks, [F.when(b > F.col("_entry"), F.least(F.lit(RACK), shards - b)) for b in racks], key, F.col("_entry"), "_entered")
-    docs = docs.withColumn("_base", F.col("_entered") - F.col("_entered") % RACK)
-    leaves = [F.col("_base") + k for k in range(1, RACK)]
-    docs = _last(docs, "shard", leaves, [F.when((s > F.col("_entered")) & (s < shards), 1) for s in leaves], key, F.col("_entered"), to)
-    return docs.drop("_entry", "_entered", "_base")
+    docs = docs.withColumn("_new", F.lit(False))
+    starts = range(width, shards + 1, width)  # the first region takes what no other takes
+    if starts:
+        docs = _level(docs, F.lit("region"), [F.lit(s) for s in starts], [(F.lit(min(width, shards - s)), F.lit(min(width, shards + 1 - s))) for s in starts], key, F.lit(0), "_entry")
+    else:
+        docs = docs.withColumn("_entry", F.lit(0))
+    base = F.col("_entry") - F.col("_entry") % width
+    racks = [base + RACK * k for k in range(1, RACKS)]
+    docs = _level(docs, F.concat(F.lit("rack"), base), racks, [tuple(F.when(b > F.col("_entry"), F.least(F.lit(RACK), n - b)) for n in (shards, shards + 1)) for b in racks], key, F.col("_entry"), "_entered")
+    base = F.col("_entered") - F.col("_entered") % RACK
+    leaves = [base + k for k in range(1, RACK)]
+    docs = _level(docs, F.concat(F.lit("shard"), base), leaves, [tuple(F.when((s > F.col("_entered")) & (s < n), 1) for n in (shards, shards + 1)) for s in leaves], key, F.col("_entered"), to)
+    if grown:
+        docs = docs.withColumn(grown, F.when(F.col("_new"), shards).otherwise(F.col(to)).cast("int"))
+    return docs.drop("_entry", "_entered", "_new")
 
 
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -70,17 +86,19 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
 
     def placed(rows: DataFrame) -> DataFrame:
         # the text takes part, so that a doc_id which many rows share, or lack, isn't one block
-        return descend(rows, shards, "key", "shard").withColumn("block", F.floor(draw("slot", F.col("key"), F.col("text_crc32"), F.col("size")) * blocks).cast("int"))
+        return descend(rows, shards, "key", "shard", "grown_shard").withColumn("block", F.floor(draw("slot", F.col("key"), F.col("text_crc32"), F.col("size")) * blocks).cast("int"))
 
     facts = (key, (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
     rows = docs.select(F.struct(*set_apart(docs.columns, ("size", "text_crc32", "law", "shard", "slot", "grown_shard"))).alias("row"), *facts)
-    rows = descend(placed(rows), shards + 1, "key", "grown_shard")
+    rows = placed(rows)
     counts = placed(docs.select(*facts)).groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("shard", "block").orderBy("key", "text_crc32", "size")
     rows = rows.withColumn("place", F.row_number().over(within) - 1)
-    rows = rows.join(F.broadcast(counts) if shards <= MOST_BLOCKS else counts, ["shard", "block"])
+    # an outer join with a stored table: for an inner one the optimizer traces the keys through all levels of the descent, which takes it long
+    counts = stored(counts.toDF("_shard", "_block", "before"), "slots")
+    rows = rows.join(F.broadcast(counts) if shards <= MOST_BLOCKS else counts, (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block")), "left")
     return rows.select("row.*", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), "grown_shard")
 
 
@@ -90,11 +108,16 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _descent(shards: int) -> str:
-    """The descent in SQL, from (doc_id, size, text_crc32, key) rows ``d``."""
-    need = "greatest(1, CAST(ceil({b} / ((CAST(CAST('0x' || substr(md5('{level}' || {b} || ':' || key), 1, 13) AS BIGINT) AS DOUBLE) + 1) / 4503599627370496.0) - {b}) AS BIGINT))"
-    region = f"coalesce((SELECT arg_max(b + need - 1, b) FROM (SELECT b, {need.format(b='b', level='region')} AS need FROM (SELECT unnest(range({RACK * RACKS}, {shards}, {RACK * RACKS})) AS b)) WHERE need <= least({RACK * RACKS}, {shards} - b)), 0)"
-    rack = f"coalesce((SELECT arg_max(b + need - 1, b) FROM (SELECT b, {need.format(b='b', level='rack')} AS need FROM (SELECT unnest(range(e - e % {RACK * RACKS}, least(e - e % {RACK * RACKS} + {RACK * RACKS}, {shards}), {RACK})) AS b)) WHERE b > e AND need <= least({RACK}, {shards} - b)), e)"
-    leaf = f"coalesce((SELECT max(b) FROM (SELECT b, {need.format(b='b', level='shard')} AS need FROM (SELECT unnest(range(e - e % {RACK}, least(e - e % {RACK} + {RACK}, {shards}))) AS b)) WHERE b > e AND need <= 1), e)"
+    """The descent in SQL, from (id, key) rows ``d``: b is a child's first shard, i its place among those that draw."""
+    need = "greatest(1, CAST(ceil(b / ((CAST(CAST('0x' || substr(md5({name} || '.' || (i // 4) || ':' || key), i % 4 * 8 + 1, 8) AS BIGINT) AS DOUBLE) + 1) / 4294967296.0) - b) AS BIGINT))"
+
+    def level(name: str, base: str, size: int, n: str, own: str, otherwise: str) -> str:
+        return f"coalesce((SELECT arg_max(b + need - 1, b) FROM (SELECT b, {need.format(name=name)} AS need FROM (SELECT i, {base} + {size} * (i + 1) AS b FROM (SELECT unnest(range({n})) AS i))) WHERE b > {otherwise} AND need <= {own}), {otherwise})"
+
+    width = RACK * RACKS
+    region = level("'region'", "0", width, f"{max(0, (shards - 1) // width)}", f"least({width}, {shards} - b)", "0")
+    rack = level(f"'rack' || (e - e % {width})", f"e - e % {width}", RACK, f"{RACKS - 1}", f"least({RACK}, {shards} - b)", "e")
+    leaf = level(f"'shard' || (e - e % {RACK})", f"e - e % {RACK}", 1, f"{RACK - 1}", f"CASE WHEN b < {shards} THEN 1 ELSE 0 END", "e")
     return f"(SELECT id, {leaf} AS shard FROM (SELECT id, key, {rack} AS e FROM (SELECT id, key, {region} AS e FROM d)))"
 
 

@@ -363,18 +363,17 @@ def test_sharding_of_a_frequent_doc_id(spark):
 
 def brute_shard(key, shards):
     """The descent as the module's docstring tells it."""
-
-    def need(level, before):
-        u = (int(hashlib.md5(f"{level}{before}:{key}".encode()).hexdigest()[:13], 16) + 1) / 2**52
-        return max(1, math.ceil(before / u - before))
-
     at = 0
-    for level, size, inside in (("region", 20, None), ("rack", 5, 20), ("shard", 1, 5)):
-        low = 0 if inside is None else at - at % inside
-        high = shards if inside is None else min(low + inside, shards)
-        for before in range(low, high, size):
-            if before > at and need(level, before) <= min(size, high - before):
-                at = before + need(level, before) - 1
+    for level, size, inside in (("region", 20, 0), ("rack", 5, 20), ("shard", 1, 5)):
+        base = at - at % inside if inside else 0
+        name = level + (str(base) if inside else "")
+        high = min(base + inside, shards) if inside else shards
+        for i, before in enumerate(range(base + size, high, size)):
+            digest = hashlib.md5(f"{name}.{i // 4}:{key}".encode()).hexdigest()
+            u = (int(digest[i % 4 * 8 :][:8], 16) + 1) / 2**32
+            need = max(1, math.ceil(before / u - before))
+            if before > at and need <= min(size, high - before):
+                at = before + need - 1
     return at
 
 
