@@ -13,7 +13,7 @@ from ..operators import scan as scanning
 from ..operators.cleaning import clean
 from ..operators.values import value_table
 from ..sources import sinks
-from . import planner, repairs, validation
+from . import repairs, validation
 from .model import Action
 from .views import VIEWS
 
@@ -175,12 +175,6 @@ query("scan_variants", "dirty_customer", counted("dirty_customer", ["segment"])
 query("scan_variants_part", "dirty_part", counted("dirty_part", ["part_type"]) + _VARIANTS)(lambda df: scanning.variants(value_table(df, ["part_type"], "rid")))
 
 
-@query("scan_typos", "dirty_part")
-def _(df):
-    found = scanning.scan(df, "rid").columns["part_type"]["typos"]
-    return df.sparkSession.createDataFrame(sorted(found.items()), "form string, stands_for string")
-
-
 query("dup_key_groups", "lineitem", "SELECT l_orderkey, count(*) AS n, count(DISTINCT (l_partkey, l_suppkey, l_quantity)) AS payloads, count(DISTINCT (l_partkey, l_suppkey, l_quantity)) > 1 AS conflict FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")(lambda df: duplicates.key_groups(df, ["l_orderkey"], ["l_partkey", "l_suppkey", "l_quantity"]).select("l_orderkey", "n", "payloads", "conflict"))
 query("dup_key_conflicts", "dirty_customer", "WITH g AS (SELECT cust_id, count(*) AS n, count(DISTINCT (full_name, email, segment, balance_text, customer_age, phone)) AS p FROM dirty_customer WHERE trim(cust_id) <> '' GROUP BY cust_id HAVING count(*) > 1) SELECT count(*) AS groups, count(*) FILTER (p = 1) AS exact_groups, count(*) FILTER (p > 1) AS conflict_groups, sum(n)::BIGINT AS involved, sum(n - 1)::BIGINT AS removable, count(*) > 0 AND count(*) FILTER (p > 1) = 0 AS safe_to_drop_by_key FROM g")(lambda df: duplicates.key_summary(df, ["cust_id"], [c for c in TEXT if c != "cust_id"]))
 query("dup_by_key", "dirty_customer", "SELECT count(*) AS groups, sum(n)::BIGINT AS involved, sum(n - 1)::BIGINT AS removable FROM (SELECT count(*) AS n FROM dirty_customer WHERE cust_id IS NOT NULL GROUP BY cust_id HAVING count(*) > 1)")(lambda df: duplicates.by_key(df, ["cust_id"], blanks=True))
@@ -241,22 +235,13 @@ SELECT m.name, coalesce(sum(n) FILTER (m.mask <> u.mask), 0)::BIGINT AS n FROM m
 query("export_display", "customer", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, replace(regexp_replace(printf('%.10f', c_acctbal), '\\.?0+$', ''), '.', ',') AS c_acctbal FROM customer")(lambda df: sinks.display(df.select("c_custkey", "c_name", "c_acctbal")))
 
 
-@query("plan_customer", "dirty_customer")
-def _(df):
-    actions = planner.plan(df, "rid").actions
-    return df.sparkSession.createDataFrame([(i, a.operation, ", ".join(a.columns), a.confidence, a.requires_review) for i, a in enumerate(actions)], "step long, operation string, columns string, confidence string, requires_review boolean")
-
-
-@query("quality_report", "dirty_customer")
-def _(df):
-    done = clean(df, [Action("strip_whitespace", tuple(TEXT)), Action("replace_null_like", tuple(TEXT)), Action("drop_duplicate_rows")], "rid").df
-    counts = [validation.issue_counts(x, scanning.scan(x, "rid"), "rid") for x in (df, done)]
-    return df.sparkSession.createDataFrame([(r["key"], r["before"], r["after"], r["manual"]) for r in validation.quality_report(*counts)["rows"]], "key string, before long, after long, manual boolean")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import flow_catalog  # noqa: F401  registers its queries
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import flow_catalog  # noqa: F401
+
     return dict(_SQL)

@@ -121,18 +121,21 @@ def merge_replacements(actions: list[Action]) -> list[Action]:
 
 
 def resolve_chains(actions: list[Action]) -> list[Action]:
-    """a to b and b to c becomes a to c, in automatic actions; cycles stop at the first repeat."""
+    """a to b and b to c becomes a to c, in automatic actions; a cycle is followed once round and stays. What maps to itself goes."""
     out = []
     for a in actions:
         if a.operation == "replace_values" and not a.requires_review and a.replacements:
             mapped = {}
             for old, new in a.replacements.items():
-                seen = {old}
+                seen: set = set()
                 while new in a.replacements and new not in seen and a.replacements[new] != new:
                     seen.add(new)
                     new = a.replacements[new]
-                mapped[old] = new
-            a = replace(a, replacements={k: v for k, v in mapped.items() if k != v} or mapped)
+                if new != old:
+                    mapped[old] = new
+            if not mapped:
+                continue
+            a = replace(a, replacements=mapped)
         out.append(a)
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -9,6 +10,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import CLEAN_NULLS
 from ..operators import duplicates, relations
 from ..operators.scan import NON_NEGATIVE, PERSON, PHONE, Findings, scan
 from ..operators.values import value_table
@@ -38,6 +40,10 @@ class Planned:
     open_decisions: dict[str, list[str]] = field(default_factory=dict)
 
 
+def key_of(form: str) -> str:
+    return re.sub(r"[^a-z0-9]", "", form.lower())
+
+
 def _category_actions(name: str, c: dict) -> tuple[list[Action], list[str]]:
     out, forms = [], dict(c.get("values") or {})
     groups: dict[str, list[dict]] = {}
@@ -51,10 +57,13 @@ def _category_actions(name: str, c: dict) -> tuple[list[Action], list[str]]:
     if pairs:
         sure = share >= DOMINANT
         out.append(Action("replace_values", (name,), "variants of one category", "high" if sure else "medium", not sure, replacements=pairs))
+    wrong: set[str] = set()
     for source, target in (c.get("typos") or {}).items():
         sure = SequenceMatcher(None, source.lower(), target.lower()).ratio() >= SURE_RATIO and forms.get(target, 0) >= SURE_TIMES * forms.get(source, 1)
-        out.append(Action("replace_values", (name,), "probable typo", "high" if sure else "medium", not sure, replacements={source: target}))
-    left = [f for f in forms if f not in pairs and f not in (c.get("typos") or {})]
+        group = {v["form"] for v in groups.get(key_of(source), [])} | {source}  # the whole group of the source, not its commonest form alone
+        wrong |= group
+        out.append(Action("replace_values", (name,), "probable typo", "high" if sure else "medium", not sure, replacements=dict.fromkeys(sorted(group), target)))
+    left = [f for f in forms if f not in pairs and f not in wrong]
     return out, left if 2 <= len(left) <= OPEN_FORMS else []
 
 
@@ -134,7 +143,7 @@ def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer:
             acts.append(Action("recalculate_from_columns", (r["target"],), "product of two columns", "medium", True, source_columns=(r["left"], r["right"])))
     values.unpersist()
     needs = requirements(f)
-    extra = reviewed(reviewer(opened) if reviewer else [], lambda v: v.strip().lower() in ("", "na", "n/a", "null", "none", "nan", "unknown"))
+    extra = reviewed(reviewer(opened) if reviewer else [], lambda v: v.strip().lower() in CLEAN_NULLS)
     return Planned(finalise(acts, extra, needs), f, needs, opened)
 
 

@@ -56,4 +56,11 @@ SELECT p_partkey AS rid, p_brand,
        WHEN p_partkey % 10 = 0 THEN substr(p_type, 1, 3) || ' ' || substr(p_type, 4) ELSE p_type END AS part_type
 FROM part
 """
-VIEWS = {"dirty_customer": ("customer", DIRTY_CUSTOMER), "dirty_orders": ("orders", DIRTY_ORDERS), "dirty_lineitem": ("lineitem", DIRTY_LINEITEM), "dirty_part": ("part", DIRTY_PART)}
+DIRTY_SUPPLIER = """
+SELECT s_suppkey AS rid, CASE WHEN s_suppkey % 7 = 0 THEN lower(s_name) ELSE s_name END AS supplier_name,
+  CASE s_suppkey % 5 WHEN 0 THEN 'FR' WHEN 1 THEN 'France' WHEN 2 THEN 'Morocco' WHEN 3 THEN 'MA' ELSE 'Spain' END AS country,
+  CASE s_suppkey % 4 WHEN 0 THEN 'north' WHEN 1 THEN 'North' WHEN 2 THEN 'South' ELSE 'NORTH' END AS region_label,
+  s_acctbal AS list_price, CASE WHEN s_suppkey % 9 = 0 THEN -1.5 ELSE CAST(s_nationkey AS DOUBLE) END AS score
+FROM supplier
+"""
+VIEWS = {"dirty_customer": ("customer", DIRTY_CUSTOMER), "dirty_orders": ("orders", DIRTY_ORDERS), "dirty_lineitem": ("lineitem", DIRTY_LINEITEM), "dirty_part": ("part", DIRTY_PART), "dirty_supplier": ("supplier", DIRTY_SUPPLIER)}
