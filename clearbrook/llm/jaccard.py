@@ -1,7 +1,8 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A document is the set of its distinct shingles of ``size`` lower-cased words. Two sets
-link when 100 * |x & y| >= ``percent`` * |x | y|. Equal sets are one node from the start.
+link when 100 * |x & y| >= ``percent`` * |x | y|. Equal sets are one node from the start, named
+by 64 bits; where sets share a name but not 64 further bits, all but one are renamed.
 
 Prefixes. At least c = ceil(percent * n / 100) of the n tokens of a set must be in a set
 that it links to, so d = n - c may be missing. All sets order their tokens the same way,
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import binary, bucket_count, components, map_arrow, map_groups, packed, stored, unpacked
+from .shared import binary, bucket_count, components, join_counted, map_arrow, map_groups, packed, stored, unpacked
 from .words import U64, Words, combined, mix, windows, words
 
 SIZE, PERCENT = 5, 75
@@ -38,8 +39,8 @@ SIZE, PERCENT = 5, 75
 FREQUENT, MOST_FREQUENT = 4, 1 << 20
 #: Lists up to this length are finished pair by pair, longer ones in blocks of about so many tokens.
 SHORT, BLOCK_TOKENS = 32, 1 << 20
-#: Document ids that may be broadcast to pick the texts to verify; beyond, they are joined by a shuffle.
-MOST_BROADCAST = 2_000_000
+#: Bytes of ids that may be broadcast to pick rows; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 32 << 20
 
 
 def shingle_sets(w: Words, size: int = SIZE) -> list[np.ndarray]:
@@ -59,9 +60,15 @@ def shingle_sets(w: Words, size: int = SIZE) -> list[np.ndarray]:
     return out
 
 
-def set_key(s: np.ndarray) -> int:
-    """64 bits that stand for a whole set (two of 10**9 sets collide with a chance of 3 %)."""
-    return int(mix(np.array([np.add.reduce(mix(s ^ U64(0x5851F42D4C957F2D)), dtype=U64) + U64(len(s))]))[0].astype(np.int64))
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """Twice 64 bits that stand for a whole set: its name, and what tells sets of one name apart."""
+    return tuple(int(mix(np.array([np.add.reduce(mix(s ^ U64(salt)), dtype=U64) + U64(len(s))]))[0].astype(np.int64)) for salt in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D))
+
+
+def few(df: DataFrame, row_bytes: int) -> bool:
+    """Whether a table of rows of fixed size may be broadcast."""
+    most = MOST_BROADCAST // row_bytes
+    return df.limit(most + 1).count() <= most
 
 
 def must_share(n, percent: int):
@@ -101,25 +108,37 @@ def signatures(s: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(batch: pa.RecordBatch, size: int):
+def _sets(batch: pa.RecordBatch, size: int, renamed: dict[tuple[int, int], int]):
     """(row, set, key) of each row of a batch whose second column is the text."""
     for w in words(batch.column(1)):
         for i, s in enumerate(shingle_sets(w, size)):
-            yield w.first + i, s, set_key(s)
+            key = set_key(s)
+            yield w.first + i, s, renamed.get(key, key[0])
 
 
-def identify(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, mark, n_shingles, key) of every row; mark is the third column."""
-
-    def make(batch):
-        rows = [(len(s), key) for _, s, key in _sets(batch, size)]
-        n, key = map(list, zip(*rows, strict=True)) if rows else ([], [])
-        yield {"doc_id": batch.column(0), "mark": batch.column(2), "n_shingles": pa.array(n, pa.int64()), "key": pa.array(key, pa.int64())}
-
-    return map_arrow(docs, "doc_id long, mark long, n_shingles long, key long", make)
+def identify(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, dict[tuple[int, int], int]]:
+    """(doc_id, mark, n_shingles, key) of every row, where mark is the third column; (key, doc_id) of every set, its smallest; and new names.
 
+    Names that different sets share are few, a pair in 2**64 of sets; only those reach the driver.
+    """
 
-def frequent_tokens(docs: DataFrame, buckets: int, size: int, least: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    def make(batch):
+        rows = [(len(s), *set_key(s)) for w in words(batch.column(1)) for s in shingle_sets(w, size)]
+        n, key, check = map(list, zip(*rows, strict=True)) if rows else ([], [], [])
+        yield {"doc_id": batch.column(0), "mark": batch.column(2), "n_shingles": pa.array(n, pa.int64()), "key": pa.array(key, pa.int64()), "check": pa.array(check, pa.int64())}
+
+    ids = stored(map_arrow(docs, "doc_id long, mark long, n_shingles long, key long, check long", make), "ids")
+    nodes = stored(ids.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("low"), F.max("check").alias("high")), "nodes")
+    shared = nodes.where("low <> high").select("key", "low")
+    renamed = {(r["key"], r["check"]): int(mix(np.array([r["key"] ^ r["check"]], np.int64).view(U64))[0].astype(np.int64)) for r in ids.where("n_shingles > 0").join(shared, "key").where("check <> low").select("key", "check").distinct().collect()}
+    if renamed:
+        names = ids.sparkSession.createDataFrame([(k, c, new) for (k, c), new in renamed.items()], "key long, check long, new long")
+        ids = stored(ids.join(F.broadcast(names), ["key", "check"], "left").select("doc_id", "mark", "n_shingles", F.coalesce("new", "key").alias("key")), "ids")
+        nodes = stored(ids.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    return ids.select("doc_id", "mark", "n_shingles", "key"), nodes.select("key", "doc_id"), renamed
+
+
+def frequent_tokens(docs: DataFrame, buckets: int, size: int, renamed: dict, least: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Codes (sorted) and classes of the frequent tokens, at most ``most`` of them.
 
     Counted over all documents, in the half of each set that has the smaller hashes; that is
@@ -129,7 +148,7 @@ def frequent_tokens(docs: DataFrame, buckets: int, size: int, least: int = FREQU
 
     def entries(batch):
         seen, parts = set(), []
-        for _, s, key in _sets(batch, size):
+        for _, s, key in _sets(batch, size, renamed):
             if len(s) > 1 and key not in seen:
                 seen.add(key)
                 parts.append(s[: (len(s) + 1) // 2])
@@ -159,7 +178,7 @@ def frequent_tokens(docs: DataFrame, buckets: int, size: int, least: int = FREQU
     return found["code"].to_numpy(np.int64)[order], found["class"].to_numpy(np.int32)[order]
 
 
-def signature_lists(docs: DataFrame, buckets: int, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def signature_lists(docs: DataFrame, buckets: int, size: int, percent: int, renamed: dict, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Members of all lists of two sets or more: (list, length, key, n, pivot, pivot_n).
 
     Lists with the same members have the same name, and stand here once.
@@ -169,7 +188,7 @@ def signature_lists(docs: DataFrame, buckets: int, size: int, percent: int, freq
     def entries(batch):
         code, level = known.value
         seen, sig, own, size_ = set(), [], [], []
-        for _, s, key in _sets(batch, size):
+        for _, s, key in _sets(batch, size, renamed):
             if len(s) < 2 or key in seen:
                 continue
             seen.add(key)
@@ -208,14 +227,13 @@ def signature_lists(docs: DataFrame, buckets: int, size: int, percent: int, freq
     return map_groups(sent, ["bucket"], "list long, length long, key long, n long, pivot long, pivot_n long", lists).dropDuplicates(["list", "key"])
 
 
-def packed_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+def packed_sets(docs: DataFrame, chosen: DataFrame, size: int, renamed: dict) -> DataFrame:
     """(key, tokens) of the documents whose ids are in ``chosen``, null included; rows that share an id can repeat a key."""
     chosen = chosen.select(F.col("doc_id").alias("_id")).distinct()
-    few = chosen.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    docs = docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    docs = docs.join(F.broadcast(chosen) if few(chosen, 16) else chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def make(batch):
-        rows = [(key, s) for _, s, key in _sets(batch, size)]
+        rows = [(key, s) for _, s, key in _sets(batch, size, renamed)]
         if rows:
             bounds = np.cumsum([0, *(len(s) for _, s in rows)])
             yield {"key": pa.array([k for k, _ in rows], pa.int64()), "tokens": binary(np.concatenate([s for _, s in rows]), bounds)}
@@ -253,10 +271,12 @@ def linked_in_blocks(lists: DataFrame, sets: DataFrame, percent: int) -> DataFra
     family = components(lists.select(F.col("key").alias("a"), F.col("pivot").alias("b"))).toDF("key", "family")
     member = lists.select("key", "n", "component").distinct().join(family, "key")
     size = member.groupBy("family", "component").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
-    largest = size.groupBy("family").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.sum("tokens").alias("tokens"))
+    largest = size.groupBy("family").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.sum("tokens").alias("tokens"), F.sum("members").alias("members"))
     apart = size.join(largest.select("family", "largest"), "family").groupBy("family").agg(F.sum(F.when(F.col("component") != F.col("largest"), F.col("tokens")).otherwise(0)).alias("apart"))
-    blocks = largest.join(apart, "family").select("family", "largest", *(F.ceil(F.col(c) / BLOCK_TOKENS).alias(f"{c}_blocks") for c in ("tokens", "apart")))
-    member = member.join(blocks, "family").where("apart_blocks > 0")
+    blocks = largest.join(apart, "family").select("family", "members", "largest", *(F.ceil(F.col(c) / BLOCK_TOKENS).alias(f"{c}_blocks") for c in ("tokens", "apart")))
+    # a family can hold a large share of the members, so its figures come to them, not they to it
+    blocks = blocks.select(F.col("family").cast("string").alias("name"), F.col("members").alias("n"), "largest", "tokens_blocks", "apart_blocks")
+    member = join_counted(member.withColumn("name", F.col("family").cast("string")), blocks, "name", F.col("key")).where("apart_blocks > 0")
     own = F.pmod(F.xxhash64("key"), F.col("tokens_blocks"))
     all_ = member.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("apart_blocks") - 1)).alias("row"), own.alias("col"), "key", "component", F.lit(False).alias("asks"))
     asks = member.where("component <> largest").select("family", F.pmod(F.xxhash64("key"), F.col("apart_blocks")).alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens_blocks") - 1)).alias("col"), "key", "component", F.lit(True).alias("asks"))
@@ -292,10 +312,9 @@ def _linked_keys(docs: DataFrame, size: int, percent: int, frequent: int, short:
     """Per row its doc_id, mark, n_shingles and key; per key its smallest doc_id and the component, named by one of its keys."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = bucket_count(docs)
-    ids = stored(identify(docs.select("*", F.xxhash64("text").alias("mark")), size), "ids")
-    nodes = ids.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    lists = stored(signature_lists(docs, buckets, size, percent, frequent_tokens(docs, buckets, size, frequent)), "lists")
-    sets = stored(packed_sets(docs, nodes.join(lists.select("key").distinct(), "key", "left_semi").select("doc_id"), size), "sets")
+    ids, nodes, renamed = identify(docs.select("*", F.xxhash64("text").alias("mark")), size)
+    lists = stored(signature_lists(docs, buckets, size, percent, renamed, frequent_tokens(docs, buckets, size, renamed, frequent)), "lists")
+    sets = stored(packed_sets(docs, nodes.join(lists.select("key").distinct(), "key", "left_semi").select("doc_id"), size, renamed), "sets")
     if sets.groupBy("key").count().where("count > 1").limit(1).count():
         sets = stored(sets.dropDuplicates(["key"]), "sets")
 
@@ -320,7 +339,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     Takes doc_id and text; other columns are ignored. Null, empty and blank texts have no
     shingle and link with nothing, each is its own component. Rows without doc_id take part in
     links; their component_id is null only if no linked row has a doc_id. Repeated rows are
-    equal sets and so link. An empty table gives an empty result.
+    equal sets and so link. Very long texts are taken whole. An empty table gives an empty result.
     """
     ids, named = _linked_keys(docs, size, percent, frequent, short)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -344,9 +363,8 @@ def keep_first(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     found = found.union(blank.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("mark", "rows")).alias("first")).select("doc_id", "first.mark", "first.rows"))
     found = found.union(blank.where("doc_id is null").select("doc_id", "mark", F.lit(1).cast("long")))
     found = stored(found.toDF("_id", "_mark", "_rows"), "firsts")
-    few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("kept"), F.xxhash64("text").alias("mark"))
-    rows = rows.join(F.broadcast(found) if few else found, F.col("kept").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    rows = rows.join(F.broadcast(found) if few(found, 100) else found, F.col("kept").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     once = Window.partitionBy("kept", "mark").orderBy("mark")
     several = rows.where("_rows > 1").withColumn("place", F.row_number().over(once)).where("place = 1").select("row")
     return rows.where("_rows = 1").select("row").union(several).select("row.*")

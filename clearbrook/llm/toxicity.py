@@ -4,8 +4,8 @@ A text is the set of its hashed terms; a term's value falls with the share of te
 hold it. The score is the logistic of w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j:
 a pair such as an insult and a group's name can weigh more, or less, than its two terms.
 
-The machine is fitted on the driver to a bounded sample of labelled rows (``most_rows``,
-those of smallest hash), of which tasks send the hashed terms only. Every whole text is
+The machine is fitted on the driver to a bounded sample of labelled rows (``MOST_ROWS`` and
+``MOST_BYTES`` of text, those of smallest hash), of which tasks send the hashed terms only. Every whole text is
 scored. Only terms are inputs: not doc_id, lang, source or labels.
 """
 
@@ -22,6 +22,8 @@ from .shared import binary, map_arrow
 from .words import TERMS, U64, span_hashes, words
 
 BITS, FACTORS, MOST_ROWS = 20, 6, 20_000
+#: Bytes of text that the rows of a fit have together at most.
+MOST_BYTES = 64 << 20
 MOST_TERMS = 1 << 16
 #: Bytes of a word's lead, a term beside the word: inflected forms share it.
 LEAD = 5
@@ -177,24 +179,34 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Machine:
-    """Fit to the labelled rows that aren't held out; of repeated labels of a doc_id the largest counts."""
-    chosen = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Machine:
+    """Fit to labelled rows that have a document and aren't held out.
+
+    Of repeated labels of a doc_id the largest counts, of its different texts that of smallest hash.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    first = texts.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("mark", "size")).alias("text"), F.max("toxic").alias("toxic"))
+    chosen = first.select("doc_id", "text.mark", "text.size", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).collect()
+    upto = np.cumsum([r["size"] for r in chosen])
+    chosen = [(r["doc_id"], r["mark"], r["toxic"]) for r, n in zip(chosen, upto, strict=True) if n <= most_bytes]
+    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, mark long, toxic int")
 
     def send(batch):
         code, bounds = terms(batch.column(1))
         yield {"doc_id": batch.column(0), "toxic": batch.column(2), "terms": binary(code, bounds)}
 
-    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "doc_id long, toxic int, terms binary", send)
-    rows = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")  # most_rows rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).join(F.broadcast(picked), ["doc_id", "mark"])
+    rows = map_arrow(rows.dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"), "doc_id long, toxic int, terms binary", send).toPandas().sort_values("doc_id")
     return fit([np.frombuffer(t, np.int32) for t in rows["terms"]], rows["toxic"].to_numpy(float))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """A row per input row: doc_id, held_out, score, predicted.
 
-    Null and empty texts get the score of a text without known terms. Rows without doc_id are
+    Null and empty texts get the score of a text without known terms; very long ones are scored
+    whole, by blocks. An empty table gives an empty result. Rows without doc_id are
     scored like all others and are not held out. Repeated rows score alike.
     """
     held = docs.sparkSession.sparkContext.broadcast(machine)

@@ -209,4 +209,59 @@ def test_dropped_tags_take_no_other_text():
     <p>five <math><mi>x</mi><mo>=</mo><mn>2</mn></math> six</p><svg/><figure><img src=a><figcaption>seven</figcaption></figure><object data=a>eight</object></article><p>nine"""
     got = htmltext.blocks(page)
     assert [b.text for b in got] == ["one", "two", "three", "four", "five x=2 six", "seven", "eight", "nine"]
-    assert [b.label() for b in got] == [True] * 7 + [False]
+    assert htmltext.teacher(got) == [True] * 7 + [False]
+
+
+@pytest.mark.parametrize(("page", "texts"), [
+    ('<p><a href="foo>bar</a></p><p>next</p>', ["bar", "next"]),
+    ('<p><a href="foo>bar</a> <a href="x">y</a></p><p title="a > b">z</p>', ["bar y", "z"]),
+    ("<p><img alt='it>is'>a<p>b<span class=c\nd", ["a", "b<span class=c d"]),
+    ("<div>one<p>two<b><i>three</div>four<!-- open", ["one", "twothree", "four"]),
+    ("<p>x<p y <p>z</p><title>gone", ["x", "z"]),
+    ("a<!DOCTYPE b>c<?php d ?>e<", ["ace<"]),
+])
+def test_malformed_markup(page, texts):
+    assert [b.text for b in htmltext.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("piece", ['<a href="x ', "<div>a", "<b>", "<p>a<b>", '<a "x>" ', "<!-- ", "</div>", "<svg ", '<i class="', "<li>x<li", "<b><div></div>", "<script>"])
+def test_odd_pages_are_read_in_linear_time(piece):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        htmltext.blocks(piece * n + ">")
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_long_pages_are_labelled_by_windows(monkeypatch):
+    rng, model = np.random.default_rng(1), htmltext.Labeller()
+    page = [htmltext.Block(bytes(rng.integers(0, 2, htmltext.PATH).astype(np.uint8)), None, False, f"block {i} " * (i % 5 + 1), i % 7) for i in range(90)]
+    whole = htmltext.label_pages(model, [page[:20], [], page])
+    monkeypatch.setattr(htmltext, "WINDOW", 25)
+    parts = htmltext.label_pages(model, [page[:20], [], page])
+    assert len(whole[1]) == 0 and all(np.allclose(a, b) for a, b in zip(whole, parts, strict=True))
+
+
+def test_labeller_is_right_on_pages_without_semantic_tags(spark):
+    """Learned from tagged pages; read on others of the same make whose tags, classes and ids are plain."""
+    import re
+
+    body = lambda i: f"<article><h1>Head {i} of it</h1><p>Text number {i} goes on here, with many words in it, and so on.</p><p>Second part {i} is no less long than the first one was.</p></article>"
+    rows = [(i, "u", PAGE.replace("{i}", str(i)).replace("{body}", body(i))) for i in range(160)]
+    model = htmltext.train(pages(spark, rows[:120]))
+    plain = [(i, u, re.sub(r"<(/?)(?:article|nav|footer|ul|li|section)\b", r"<\1div", h).replace('class="ad"', "")) for i, u, h in rows[120:]]
+    texts = {r["page_id"]: r["text"] for r in htmltext.extract(pages(spark, plain), model).collect()}
+    want = {i: "\n".join(b.text for b, y in zip(f, htmltext.teacher(f), strict=True) if y) for i, _, h in rows[120:] if (f := htmltext.blocks(h))}
+    assert sum(texts[i] == want[i] for i in want) >= 0.9 * len(want)
+
+
+def test_labeller_without_any_semantic_tag_and_its_bounds(spark):
+    rows = [(i, "u", f"<div class='menu'><a href=x>home {i}</a></div><div><p>Words of text {i}, a sentence.</p><p>And another {i}.</p></div>") for i in range(60)]
+    df = pages(spark, rows + [rows[0]] * 50)
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()}
+    assert all(got[i] == f"Words of text {i}, a sentence.\nAnd another {i}." for i in range(60))
+    assert htmltext.train(pages(spark, [(1, "u", ""), (2, "u", None)])) is None
+    assert htmltext.train(df, most_pages=5, most_bytes=200) is not None

@@ -75,6 +75,22 @@ def test_jaccard_matches_all_pairs(spark, rows, frequent, short):
     assert got == brute_components(rows)
 
 
+def test_sets_that_share_a_name_are_told_apart(spark, rows, monkeypatch):
+    own = jaccard.set_key
+    weak = lambda s: (len(s) % 5, own(s)[1])
+
+    def sets(batch, size, renamed):
+        for w in words(batch.column(1)):
+            for i, s in enumerate(jaccard.shingle_sets(w, size)):
+                yield w.first + i, s, renamed.get(weak(s), weak(s)[0])
+
+    # both, since tasks look functions of the module up by name, but get those of a test by value
+    monkeypatch.setattr(jaccard, "set_key", weak)
+    monkeypatch.setattr(jaccard, "_sets", sets)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_signatures_meet_at_the_threshold():
     """Two sets with the least allowed overlap share a signature, whatever tokens are frequent."""
     rng = np.random.default_rng(0)
@@ -435,6 +451,9 @@ def test_toxicity_learns_terms_and_pairs(spark):
     assert len(held) > 100 and sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
     assert all(0 <= r["score"] <= 1 for r in got) and len(got) == len(rows)
     assert next(r for r in got if r["doc_id"] is None)["predicted"] == 1
+    again = toxicity.train(frame(spark, [*rows, (7, "another text of the same doc_id"), (7, rows[7][1])]).repartition(3), labelled.union(labelled))
+    assert toxicity.train(frame(spark, [(7, rows[7][1]), (7, "another text of the same doc_id"), *rows]), labelled).bias == again.bias
+    assert len(toxicity.train(docs, labelled, most_bytes=1000).codes) < len(machine.codes)
     # a pair that is toxic while its terms alone aren't
     data = [np.unique([1 if i % 4 in (1, 3) else 9, 2 if i % 4 in (2, 3) else 8, 20 + i % 7]).astype(np.int32) for i in range(800)]
     y = np.array([float(i % 4 == 3) for i in range(800)])
