@@ -11,13 +11,23 @@ _MONTH_FIRST = ("M/d/y", "M-d-y", "M.d.y")
 _DAY_FIRST = ("d/M/y", "d-M-y", "d.M.y")
 
 
+_NAMED = ("MMM d y", "MMMM d y", "d MMM y", "d MMMM y", "y MMM d", "y MMMM d")
+
+
 def mixed(c: Column, dayfirst: bool = False) -> Column:
-    """Timestamp without zone of a date in mixed notation; impossible readings in one order fall back to the other."""
-    short = c.rlike(r"\A\d{1,2}[-/.]\d{1,2}[-/.]\d{4}\z")
-    first = ("y-M-d H:m:s", "y-M-d'T'H:m:s", "y-M-d", "y/M/d", "y.M.d")
-    lead = c.rlike(r"\A\d{4}[-/.]")
+    """Timestamp without zone of a date in mixed notation; impossible readings in one order fall back to the other.
+
+    Years of two digits are of this century; months may be English names, with or without points
+    and commas; a time's fraction is read, its zone is dropped.
+    """
+    lead, short, two = c.rlike(r"\A\d{4}[-/.]"), c.rlike(r"\A\d{1,2}[-/.]\d{1,2}[-/.]\d{4}\z"), c.rlike(r"\A\d{1,2}[-/.]\d{1,2}[-/.]\d{2}\z")
     orders = (*_DAY_FIRST, *_MONTH_FIRST) if dayfirst else (*_MONTH_FIRST, *_DAY_FIRST)
-    tries = [F.when(lead, F.try_to_timestamp(c, F.lit(p))) for p in first] + [F.when(short, F.try_to_timestamp(c, F.lit(p))) for p in orders]
+    clock = F.regexp_replace(c, r"(?<=:\d\d)(?:\.\d+)?\s*(?:Z|UTC|[+-]\d\d:?\d\d)?\z", "")
+    named = F.initcap(F.lower(F.trim(F.regexp_replace(c, r"[\s,./-]+", " "))))
+    tries = [F.when(lead, F.try_to_timestamp(clock, F.lit(p))) for p in ("y-M-d H:m:s", "y-M-d'T'H:m:s", "y-M-d", "y/M/d", "y.M.d", "y-M-d H:m")]
+    tries += [F.when(short, F.try_to_timestamp(c, F.lit(p))) for p in orders]
+    tries += [F.when(two, F.try_to_timestamp(c, F.lit(p + "y"))) for p in orders]
+    tries += [F.when(c.rlike(r"\A(?=.*\d)[\w\s,./-]*[A-Za-z]{3}[\w\s,./-]*\z"), F.try_to_timestamp(named, F.lit(p))) for p in _NAMED]
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 

@@ -50,8 +50,17 @@ def date_issues(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     return out.withColumn("recommend_dayfirst", F.col("day_first") > F.col("month_first"))
 
 
+def invalid_numbers(df: DataFrame, column: str, order: str, k: int = 15) -> list[str]:
+    """The first k distinct texts of a column that aren't numbers."""
+    v = value_table(df, [column], order).where("value is not null").withColumn("value", strip(F.col("value")))
+    v = v.where(numbers.inspected(F.col("value")).isNull()).groupBy("value").agg(F.min("first").alias("first"))
+    return [r["value"] for r in v.orderBy("first", "value").limit(k).collect()]
+
+
 def text_anomalies(df: DataFrame, order: str, columns: list[str]) -> dict:
-    out = {}
+    for c in columns:
+        _known(df, c)
+    out = {c: {"name": c, "whitespace": 0, "null_like": 0, "forms": 0, "case_variants": [], "typos": {}} for c in columns}
     v = value_table(df, columns, order).persist()
     n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
     held = v.where("value is not null")
@@ -74,7 +83,10 @@ def find_duplicates(df: DataFrame, order: str, columns: list[str] | None = None)
         return duplicates.full(df, data).first().asDict()
     for c in columns:
         _known(df, c)
-    return duplicates.key_summary(df, columns, [c for c in data if c not in columns]).first().asDict()
+    payload = [c for c in data if c not in columns]
+    groups = duplicates.key_groups(df, columns, payload).where("conflict").orderBy(F.desc("n"), *(F.col(f"`{c}`") for c in columns)).limit(10).collect()
+    conflicts = [{"key": [r[c] for c in columns], "rows": r["n"], "differing_columns": r["differing_columns"]} for r in groups]
+    return duplicates.key_summary(df, columns, payload).first().asDict() | {"conflicts": conflicts}
 
 
 def verify_external_reference(df: DataFrame, order: str, column: str, values: list[str], verifier=None) -> dict:
@@ -89,7 +101,7 @@ def verify_external_reference(df: DataFrame, order: str, column: str, values: li
 TOOLS = {
     "profile_dataset": lambda df, order: {r["name"]: r.asDict() for r in profile.column_profile(df, [c for c in df.columns if c != order], order).collect()},
     "inspect_column": inspect_column,
-    "detect_numeric_issues": lambda df, order, column: (_known(df, column), numeric_issues(df, [column], order).first().asDict())[1],
+    "detect_numeric_issues": lambda df, order, column: (_known(df, column), numeric_issues(df, [column], order).first().asDict() | {"invalid_examples": invalid_numbers(df, column, order)})[1],
     "detect_date_issues": lambda df, order, column: (_known(df, column), date_issues(df, [column], order).first().asDict())[1],
     "detect_text_anomalies": text_anomalies,
     "find_duplicates": find_duplicates,

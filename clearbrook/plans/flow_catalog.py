@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..operators import inspect as tools
 from ..operators import scan as scanning
 from ..operators.cleaning import clean
+from ..operators.values import value_table
 from . import planner, validation
 from .catalog import _SCAN, TEXT, _NULLS, cells, query
 from .model import OPERATIONS, Action, Requirement, default_selection, finalise, merge_replacements, ordered, resolve_chains, reviewed, uncovered, without_repeats
@@ -261,6 +263,30 @@ def _(df):
     return _rows(df, [("find_duplicates", twice["involved"], twice["removable"]), ("inspect_column", column["missing"], column["unique"]), ("detect_text_anomalies", text["full_name"]["whitespace"], 0), ("verify_external_reference", len(present), 0)], "tool string, a long, b long")
 
 
+@query("scan_examples", "dirty_customer", f"""WITH {facts('dirty_customer')},
+e AS (SELECT name, 'whitespace' AS what, value, count(*) AS n, min(rid) AS first FROM v WHERE value <> trim(value) GROUP BY name, value
+  UNION ALL SELECT name, 'bad_mails', value, n, first FROM s WHERE NOT regexp_matches(value, '{_MAIL}') AND name = 'email'
+  UNION ALL SELECT name, 'odd_case', value, n, first FROM s WHERE regexp_matches(value, '[A-Za-z]') AND (value = lower(value) OR value = upper(value)) AND name = 'full_name')
+SELECT * FROM (SELECT name, what, row_number() OVER (PARTITION BY name, what ORDER BY first, value) AS rank, value, n FROM e) WHERE rank <= CASE what WHEN 'whitespace' THEN 5 ELSE 8 END""")
+def _(df):
+    found = scanning.examples(value_table(df, TEXT, "rid"))
+    return found.where("what = 'whitespace' or (what = 'bad_mails' and name = 'email') or (what = 'odd_case' and name = 'full_name')")
+
+
+@query("scan_invalid_dates", "dirty_orders", f"WITH {facts('dirty_orders')} SELECT name, rank, value, n FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, first) AS rank FROM real WHERE NOT real AND name = 'order_date') WHERE rank <= 10")
+def _(df):
+    return scanning.examples(value_table(df, ["order_date"], "rid")).where("what = 'bad_dates'").select("name", "rank", "value", "n")
+
+
+@query("clean_mixed_dates", "region", """SELECT * FROM (VALUES ('05/03/24', '2024-05-03', '2024-03-05'), ('25-12-99', '2099-12-25', '2099-12-25'), ('Jan 5 2024', '2024-01-05', '2024-01-05'), ('5 january, 2024', '2024-01-05', '2024-01-05'),
+  ('05-MAR-2021', '2021-03-05', '2021-03-05'), ('2024-01-05T10:20:30.5Z', '2024-01-05', '2024-01-05'), ('2024-01-05 10:20', '2024-01-05', '2024-01-05'), ('32/13/2020', NULL, NULL), ('maybe 3', NULL, NULL)) v(value, month_first, day_first)""")
+def _(df):
+    """Notations beyond year-first and four-digit years."""
+    values = ["05/03/24", "25-12-99", "Jan 5 2024", "5 january, 2024", "05-MAR-2021", "2024-01-05T10:20:30.5Z", "2024-01-05 10:20", "32/13/2020", "maybe 3"]
+    read = lambda first: F.date_format(dates.mixed(F.col("value"), first), "yyyy-MM-dd")
+    return _rows(df, [(v,) for v in values], "value string").select("value", read(False).alias("month_first"), read(True).alias("day_first"))
+
+
 _RANKED = " ".join(f"WHEN '{o}' THEN {i}" for i, o in enumerate(OPERATIONS))
 _PLACE = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(TEXT))
 

@@ -22,7 +22,9 @@ HEAD = 1 << 20
 # Cell texts that mean missing, and words that hint at a header.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 HINTS = ("id", "date", "name", "country", "pays", "nation", "city", "population", "sales", "price", "amount", "quantity", "category", "product", "customer", "client", "email", "phone", "currency", "rate", "salary", "department", "status", "observation")
-_NUMERIC = re.compile(r"[-+]?[$€£¥]?\s*\d[\d\s.,]*%?")
+_NUMERIC = re.compile(r"-?\d+(?:[.,]\d+)?")
+#: Characters of Latin-1 that the same byte isn't in cp1252.
+_CP1252 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
 @dataclass
@@ -59,18 +61,19 @@ def detect_separator(text: str) -> str:
 def detect_header_row(rows: list[list]) -> int:
     """Index of the row that most looks like column names: full, textual, with familiar words, early."""
     width = max(map(len, rows), default=0)
-    full = [sum(_held(c) for c in r) / width if width else 0 for r in rows]
-    if len(rows) > 1 and full[0] < 0.5 and full[1] >= 0.65:
-        return 1
-    scores = []
-    for i, r in enumerate(rows[:10]):
-        held = [str(c).strip() for c in r if _held(c)]
-        if not held:
-            scores.append(-100.0)
-            continue
-        numeric = sum(bool(_NUMERIC.fullmatch(c)) for c in held) / len(held)
-        hints = sum(any(w in c.lower() for w in HINTS) for c in held)
-        scores.append(5 * full[i] + 2.5 * (1 - numeric) + 0.9 * hints - 2 * numeric - 0.05 * i)
+    held = [[str(c).strip() for c in r if _held(c)] for r in rows]
+    if len(rows) > 1 and width > 1 and len(held[0]) < 0.5 * width and len(held[1]) >= 0.65 * width:
+        return 1  # a title above the names
+
+    def score(cells: list[str], at: int) -> float:
+        if not cells:
+            return -100.0
+        words = [w for c in cells for w in re.findall("[A-Za-zÀ-ÿ]+", c.casefold())]
+        share = lambda test: sum(map(bool, map(test, cells))) / len(cells)
+        likely = 2.5 * share(lambda c: re.search(r"[^\W\d_]", c)) - 2 * share(lambda c: _NUMERIC.fullmatch(c.replace(" ", "")))
+        return 5 * len(cells) / width + likely + 0.9 * sum(w in HINTS for w in words) - 0.05 * at
+
+    scores = [score(cells, at) for at, cells in enumerate(held[:10])]
     return max(range(len(scores)), key=scores.__getitem__, default=0)
 
 
@@ -167,16 +170,15 @@ def read_csv(spark: SparkSession, path: str) -> Loaded:
     sep = detect_separator(text)
     head = list(csv.reader(io.StringIO(text), delimiter=sep))
     head, width = [r for r in head if any(_held(c) for c in r)][:10], max(map(len, head), default=1)
-    name = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin1": "ISO-8859-1"}[encoding]
-    if name == "windows-1252":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-
+    name = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin1": "ISO-8859-1"}[encoding]
     def read(width: int, more: str = "", **options) -> DataFrame:
         schema = ", ".join(f"c{i} string" for i in range(width)) + more
         return spark.read.schema(schema).csv(path, header=False, multiLine=True, sep=sep, encoding=name, quote='"', escape='"', mode="PERMISSIVE", **options)
 
     width = _widest(read(width, ", _bad string", columnNameOfCorruptRecord="_bad"), sep, width)
     rows = read(width)
+    if encoding == "cp1252":  # read as Latin-1, which differs in these characters alone; Spark's own reader refuses cp1252 by default
+        rows = rows.select(*(F.translate(c, "".join(_CP1252), "".join(_CP1252.values())).alias(c) for c in rows.columns))
     rows = rows.withColumn("_rid", F.monotonically_increasing_id())  # one file, one task: 0, 1, 2...
     return _finish(spark, rows, width, head, {"file_type": "csv", "encoding": encoding, "separator": sep})
 
@@ -186,8 +188,17 @@ def read_xlsx(spark: SparkSession, path: str) -> Loaded:
     from .xlsx import sheet_rows
 
     content = spark.read.format("binaryFile").load(path).select("content")
-    names, head = content.rdd.map(lambda r: (lambda s: (s[0], [x for _, x in zip(range(12), s[1], strict=False)]))(sheet_rows(bytes(r[0])))).first()
-    width = content.rdd.map(lambda r: max((len(x) for x in sheet_rows(bytes(r[0]))[1]), default=1)).first()
+
+    def look(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for blob in batch.column(0):
+                names, rows = sheet_rows(blob.as_py())
+                yield pa.RecordBatch.from_pydict({"names": [names], "head": pa.array([rows[:12]], pa.list_(pa.list_(pa.string()))), "width": pa.array([max(map(len, rows), default=1)], pa.int32())})
+
+    found = content.mapInArrow(look, "names array<string>, head array<array<string>>, width int").first()
+    names, head, width = found["names"], found["head"], found["width"]
 
     def parse(batches):
         import pyarrow as pa

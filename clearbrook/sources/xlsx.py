@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterable
+from datetime import datetime, time, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -20,6 +21,31 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+# Number formats of the file format that show dates or times.
+_DATES = frozenset((*range(14, 23), *range(45, 48)))
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    plain = lambda code: re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code)
+    own = {int(f.get("numFmtId")) for f in root.iter(f"{_NS}numFmt") if re.search("[dmyhs]", plain(f.get("formatCode") or ""), re.I)}
+    used = root.find(f"{_NS}cellXfs")
+    return {i for i, x in enumerate(used if used is not None else ()) if int(x.get("numFmtId") or 0) in _DATES | own}
+
+
+def _date(serial: str, early: bool) -> str:
+    """A day number of a workbook as text; ``early``: days count from 1904."""
+    days = float(serial)
+    if days < 0 or days > 2_958_465:
+        return serial
+    start = datetime(1904, 1, 1) if early else datetime(1899, 12, 30 if days >= 61 else 31)
+    moment = start + timedelta(seconds=round(days * 86400))
+    return moment.strftime("%Y-%m-%d" if moment.time() == time() else "%Y-%m-%d %H:%M:%S")
+
+
 def sheet_rows(data: bytes) -> tuple[list[str], list[list[str | None]]]:
     """Sheet names, and the rows of the first sheet as text."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -29,6 +55,9 @@ def sheet_rows(data: bytes) -> tuple[list[str], list[list[str | None]]]:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_NS}si")]
+        dated = _date_styles(z)
+        settings = book.find(f"{_NS}workbookPr")
+        early = settings is not None and settings.get("date1904") in ("1", "true")
         rows: list[list[str | None]] = []
         with z.open("xl/" + targets[sheets[0].get(_REL)].lstrip("/").removeprefix("xl/")) as f:
             for _, row in ElementTree.iterparse(f):
@@ -46,6 +75,8 @@ def sheet_rows(data: bytes) -> tuple[list[str], list[list[str | None]]]:
                         v = shared[int(v)]
                     elif kind == "b":
                         v = {"1": "True", "0": "False"}.get(v, v)
+                    elif kind in (None, "n") and v and int(c.get("s") or 0) in dated:
+                        v = _date(v, early)
                     cells[at] = v
                 rows.append(cells)
                 row.clear()

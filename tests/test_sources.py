@@ -35,6 +35,29 @@ def test_detection():
     assert detect_encoding("é".encode()) == "utf-8-sig" and detect_encoding("é".encode("cp1252")) == "cp1252" and detect_encoding(b"\x81\xff") == "latin1"
     assert detect_separator("a;b;c\n1;2;3\n") == ";" and detect_separator("a\tb\n1\t2\n") == "\t" and detect_separator("abc") == ","
     assert detect_header_row([["Report", None, None], ["id", "name", "price"], ["1", "x", "2"]]) == 1
+    # hints are words, each counts; amounts with a currency aren't numbers, spaced ones are
+    assert detect_header_row([["paid amid", "renamed"], ["customer name", "sales date"]]) == 1
+    assert detect_header_row([["1 200", "3,5"], ["$5", "a1"]]) == 1 and detect_header_row([]) == 0
+
+
+def test_excel_dates(spark, tmp_path):
+    import io
+    import zipfile
+
+    plain = xlsx.write_sheet(["id", "date", "amount"], [(1, 45296.0, 45296.0), (2, 45296.5, 1.5), (3, 59.0, 2.5)])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(plain)) as a, zipfile.ZipFile(out, "w") as b:
+        for name in a.namelist():
+            data = a.read(name).decode()
+            if name.endswith("sheet1.xml"):
+                for v in ("45296.0", "45296.5", "59.0"):
+                    data = data.replace(f"<c><v>{v}</v></c>", f'<c s="1"><v>{v}</v></c>', 1)
+            b.writestr(name, data)
+        b.writestr("xl/styles.xml", '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>')
+    path = tmp_path / "dates.xlsx"
+    path.write_bytes(out.getvalue())
+    got = read_table(spark, f"file://{path}").df.orderBy("_rid").collect()
+    assert [(r["date"], r["amount"]) for r in got] == [("2024-01-05", 45296.0), ("2024-01-05 12:00:00", 1.5), ("1900-02-28", 2.5)]
 
 
 def test_csv_sinks(spark, tmp_path):
@@ -62,7 +85,11 @@ def test_tools(spark):
     assert run_tool("detect_numeric_issues", df, "rid", column="n")["suggest_decimal_comma"]
     assert run_tool("detect_text_anomalies", df, "rid", columns=["a"])["a"]["case_variants"] == [["Yes", "yes"]]
     assert run_tool("inspect_column", df, "rid", column="a")["unique"] == 3
-    assert run_tool("find_duplicates", df, "rid", columns=["a"])["conflict_groups"] == 3
+    twice = run_tool("find_duplicates", df, "rid", columns=["a"])
+    assert twice["conflict_groups"] == 3 and twice["conflicts"][0] == {"key": ["Yes"], "rows": 10, "differing_columns": ["n"]}
+    assert run_tool("detect_numeric_issues", df, "rid", column="a")["invalid_examples"] == ["yes", "Yes", "no"]
+    with pytest.raises(PlanError):
+        run_tool("detect_text_anomalies", df, "rid", columns=["nowhere"])
     assert not run_tool("detect_date_issues", df, "rid", column="d")["recommend_dayfirst"]
     assert run_tool("verify_external_reference", df, "rid", column="a", values=["yes", "x"])["present"] == ["yes"]
     with pytest.raises(PlanError):
