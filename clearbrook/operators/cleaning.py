@@ -21,6 +21,8 @@ from ..plans.model import Action, LogEntry, PlanError, actions_of, header, resol
 TOLERANCE = 0.02
 #: Replacement pairs beyond which a map is joined instead of being a literal.
 MOST_LITERAL_PAIRS = 1000
+#: Characters of listed pairs that may be broadcast; beyond, Spark chooses.
+MOST_BROADCAST = 8 << 20
 
 
 def _quoted(name: str) -> Column:
@@ -192,7 +194,9 @@ def _replaced_by_join(df: DataFrame, columns: list[str], a: Action) -> DataFrame
     if a.replacements_path:
         table = df.sparkSession.read.schema("_old string, _new string").parquet(a.replacements_path)
     else:
-        table = F.broadcast(df.sparkSession.createDataFrame([(str(k), None if v is None else str(v)) for k, v in a.replacements.items()], "_old string, _new string"))
+        pairs = [(str(k), None if v is None else str(v)) for k, v in a.replacements.items()]
+        table = df.sparkSession.createDataFrame(pairs, "_old string, _new string")
+        table = F.broadcast(table) if sum(len(k) + len(v or "") for k, v in pairs) <= MOST_BROADCAST else table
     df = df.withColumn("_changed", F.lit(0))
     for c in columns:
         kind = df.schema[c].dataType

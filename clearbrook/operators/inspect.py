@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date
+from decimal import Decimal
+from math import isfinite
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +74,12 @@ def text_anomalies(df: DataFrame, order: str, columns: list[str]) -> dict:
     cases = u.groupBy("name", F.lower("value").alias("low")).agg(F.collect_list("value").alias("forms"), F.min("first").alias("first"), F.count("*").alias("k")).where("k > 1")
     for r in top(cases.withColumn("value", F.col("low")).withColumn("n", F.lit(0)), 12).collect():
         out[r["name"]]["case_variants"].append(sorted(r["forms"]))
-    for name in (c for c in out if out[c]["forms"] <= CATEGORIES):
-        forms = [(r["value"], r["n"]) for r in u.where((F.col("name") == name) & (F.length("value") >= 3)).orderBy(F.desc("n"), "first").limit(CATEGORIES).collect()]
-        out[name]["typos"] = typos(forms, 0.84, digits=False)
+    few = [c for c in out if out[c]["forms"] <= CATEGORIES]
+    forms: dict[str, list[tuple[str, int]]] = {}
+    for r in u.where(F.col("name").isin(*few) & (F.length("value") >= 3)).orderBy("name", F.desc("n"), "first").collect() if few else []:
+        forms.setdefault(r["name"], []).append((r["value"], r["n"]))
+    for name, own in forms.items():
+        out[name]["typos"] = typos(own, 0.84, digits=False)
     v.unpersist()
     return out
 
@@ -110,7 +117,21 @@ TOOLS = {
 }
 
 
+def plain(value):
+    """A result as JSON can hold it: dates as ISO text, numbers that aren't finite as nothing."""
+    if isinstance(value, dict):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, list | tuple):
+        return [plain(v) for v in value]
+    if isinstance(value, date):
+        return value.isoformat()
+    if isinstance(value, Decimal):
+        value = float(value)
+    return None if isinstance(value, float) and not isfinite(value) else value
+
+
 def run_tool(name: str, df: DataFrame, order: str, **arguments) -> dict:
+    """An inspection by name; its result as plain objects."""
     if name not in TOOLS:
         raise PlanError(f"unknown tool: {name}")
-    return TOOLS[name](df, order, **arguments)
+    return plain(TOOLS[name](df, order, **arguments))

@@ -64,10 +64,10 @@ def date_ratio(df: DataFrame, column: str, order: str, n: int = DATE_SAMPLE) ->
     return first.agg(F.coalesce(numbers.round_even(F.avg(dates.mixed(strip(F.col("value"))).isNotNull().cast("double")), 4), F.lit(0.0)).alias("date_ratio"))
 
 
-def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """involved: rows that have an equal; removable: rows beyond the first of their kind."""
+def duplicate_rows(df: DataFrame, columns: list[str], rows: bool = False) -> DataFrame:
+    """involved: rows that have an equal; removable: rows beyond the first of their kind; rows, if asked for: all."""
     groups = df.groupBy(*(F.col(f"`{c}`") for c in columns)).agg(F.count("*").alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).cast("long").alias("involved"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("removable"))
+    return groups.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).cast("long").alias("involved"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("removable"), *([F.coalesce(F.sum("n"), F.lit(0)).alias("rows")] if rows else []))
 
 
 def header_issues(columns: list[str]) -> list[dict]:

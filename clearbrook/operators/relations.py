@@ -57,6 +57,10 @@ def triple_counts(df: DataFrame, triples: list[tuple[str, str, str]]) -> list[di
 def discover(df: DataFrame, columns: list[str], skip: set[str] = frozenset()) -> list[dict]:
     """The best product relations: left, right, target, rate, rows, mismatch_rows."""
     names = sorted(candidates(df, columns, skip))
+    if len(names) < 3:
+        return []
+    # texts are parsed once, not once a batch
+    df = df.select(*(as_number(df, n).alias(n) for n in names)).persist()
     triples = [(a, b, c) for c in names for a, b in combinations([n for n in names if n != c], 2)]
     found = []
     for t in triple_counts(df, triples):
@@ -66,6 +70,7 @@ def discover(df: DataFrame, columns: list[str], skip: set[str] = frozenset()) ->
     best: dict[str, dict] = {}
     for f in sorted(found, key=lambda f: (-f["rate"], f["mismatch_rows"], f["left"], f["right"])):
         best.setdefault(f["target"], f)
+    df.unpersist()
     return list(best.values())[:BEST]
 
 

@@ -167,7 +167,7 @@ query("scan_null_tokens", "dirty_customer", f"WITH v AS ({cells('dirty_customer'
 query("scan_masks", "dirty_customer", counted("dirty_customer", ["cust_id", "phone", "balance_text"]) + r", c AS (SELECT name, regexp_replace(regexp_replace(value, '\d', '9', 'g'), '[A-Za-zÀ-ÿ]+', 'A', 'g') AS mask, sum(n)::BIGINT AS n, min(first) AS first, arg_min(value, first) AS example FROM s GROUP BY 1, 2) " + _RANKED.format("mask, example", 8))(lambda df: scanning.masks(value_table(df, ["cust_id", "phone", "balance_text"], "rid")))
 query("scan_date_masks", "dirty_orders", counted("dirty_orders", ["order_date"]) + r", c AS (SELECT name, regexp_replace(value, '\d', '9', 'g') AS mask, sum(n)::BIGINT AS n, min(first) AS first FROM s WHERE regexp_matches(value, '^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$') GROUP BY 1, 2) " + _RANKED.format("mask", 8))(lambda df: scanning.date_masks(value_table(df, ["order_date"], "rid")))
 query("scan_unparseable", "dirty_customer", counted("dirty_customer", ["balance_text", "customer_age"]) + r", c AS (SELECT * FROM s WHERE NOT regexp_matches(replace(regexp_replace(value, '(?i)[$€£¥]|\b(?:USD|EUR|GBP|MAD|DHS?)\b', '', 'g'), ' ', ''), '^[-+]?(?:\d[\d.,]*|[.,]\d+)$')) " + _RANKED.format("value", 12))(lambda df: scanning.unparseable(value_table(df, ["balance_text", "customer_age"], "rid")))
-query("scan_ages", "dirty_customer", counted("dirty_customer", ["customer_age"]) + " SELECT name, value, n FROM s WHERE TRY_CAST(value AS DOUBLE) < 0 OR TRY_CAST(value AS DOUBLE) > 120")(lambda df: scanning.implausible_ages(value_table(df, ["customer_age"], "rid"), {"customer_age": scanning.age_policy("customer_age")}))
+query("scan_ages", "dirty_customer", counted("dirty_customer", ["customer_age"]) + " SELECT name, value, n FROM s WHERE TRY_CAST(value AS DOUBLE) < 0 OR TRY_CAST(value AS DOUBLE) > 120")(lambda df: scanning.implausible_ages(value_table(df, ["customer_age"], "rid"), {"customer_age": scanning.age_policy("customer_age")}).drop("first"))
 _VARIANTS = """, k AS (SELECT *, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS key FROM s),
 g AS (SELECT name, key, count(DISTINCT lower(value)) AS lowered, arg_max(value, n * 10000000 - first) AS dominant FROM k GROUP BY name, key HAVING count(*) > 1)
 SELECT k.name, k.key, k.value AS form, k.n, g.lowered, g.dominant FROM k JOIN g ON k.name = g.name AND k.key = g.key"""
@@ -231,7 +231,7 @@ WITH c AS (SELECT regexp_matches(balance_text, '^\s*-\s*[\d.,]') AS b, regexp_ma
 SELECT 'balance_text' AS name, count(*) FILTER (b) AS negative, count(*) FILTER (b) AS kept, 0 AS lost FROM c UNION ALL SELECT 'customer_age', count(*) FILTER (a), 0, count(*) FILTER (a) FROM c""")(lambda df: validation.negatives(*_before_after(df), "rid"))
 query("quality_format_rows", "dirty_customer", counted("dirty_customer", ["cust_id"]) + r""",
 m AS (SELECT *, regexp_replace(regexp_replace(value, '\d+', '9', 'g'), '[A-Za-z]+', 'A', 'g') AS mask FROM s), u AS (SELECT arg_max(mask, k) AS mask FROM (SELECT mask, sum(n) AS k FROM m GROUP BY mask))
-SELECT m.name, coalesce(sum(n) FILTER (m.mask <> u.mask), 0)::BIGINT AS n FROM m, u GROUP BY m.name""")(lambda df: validation.format_rows(df, ["cust_id"], "rid"))
+SELECT m.name, coalesce(sum(n) FILTER (m.mask <> u.mask), 0)::BIGINT AS n FROM m, u GROUP BY m.name""")(lambda df: validation.format_rows(value_table(df, ["cust_id"], "rid"), ["cust_id"]))
 query("export_display", "customer", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, replace(regexp_replace(printf('%.10f', c_acctbal), '\\.?0+$', ''), '.', ',') AS c_acctbal FROM customer")(lambda df: sinks.display(df.select("c_custkey", "c_name", "c_acctbal")))
 
 

@@ -172,7 +172,11 @@ for _of in TABLES:
 
     @query(f"quality_counts_{_short}", _of, issues_sql(_of))
     def _(df, of=_of):
-        return _rows(df, sorted(validation.issue_counts(df, _scanned(of)(df), TABLES[of][1]).items()), "key string, n long")
+        columns, order = TABLES[of]
+        values = value_table(df, columns, order).persist()
+        counts = validation.issue_counts(df, scanning.scan(df, order, columns, values=values), order, values)
+        values.unpersist()
+        return _rows(df, sorted(counts.items()), "key string, n long")
 
 
 @query("plan_pairs_customer", "dirty_customer", f"WITH {facts('dirty_customer')}" + r"""

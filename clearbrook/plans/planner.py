@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CLEAN_NULLS
 from ..operators import duplicates, relations
-from ..operators.scan import NON_NEGATIVE, PERSON, PHONE, Findings, scan
+from ..operators.scan import MOST_AGES, NON_NEGATIVE, PERSON, PHONE, Findings, implausible_ages, scan
 from ..operators.values import value_table
 from . import repairs
 from .model import Action, Requirement, finalise, reviewed
@@ -78,9 +78,9 @@ def _repairs(frame: DataFrame, name: str) -> dict:
 
 def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer: Callable | None = None) -> Planned:
     """Scan (unless findings are given), propose, let a reviewer add replacements, finalise."""
-    f = findings or scan(df, order)
-    names = list(f.columns)
+    names = list(findings.columns) if findings else [c for c in df.columns if c != order]
     values = value_table(df, names, order).persist()
+    f = findings or scan(df, order, names, values=values)
     acts: list[Action] = []
     opened: dict[str, list[str]] = {}
     if blanks := tuple(n for n in names if f.columns[n]["whitespace"]):
@@ -114,7 +114,11 @@ def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer:
                 acts.append(Action("replace_null_like", (n,), "not a number", null_tokens=rest))
             if text:
                 numeric.setdefault(bool(marks[n]["decimal_comma"]) if n in marks else False, []).append(n)
-            if ages := tuple(t["value"] for t in c.get("implausible_ages") or []):
+            ages = tuple(t["value"] for t in c.get("implausible_ages") or [])
+            if len(ages) >= MOST_AGES:  # too many to list
+                rest = implausible_ages(values, {n: c["age_policy"]}).select(F.col("value").alias("_old"), F.lit(None).cast("string").alias("_new"))
+                acts.append(Action("replace_values", (n,), "implausible ages", "medium", True, replacements_path=repairs.written(rest)))
+            elif ages:
                 acts.append(Action("replace_null_like", (n,), "implausible ages", "medium", True, null_tokens=ages))
             elif c["negative"] and not c.get("age_policy"):
                 acts.append(Action("set_negative_to_null", (n,), "negative values", "medium" if NON_NEGATIVE.search(n) else "low", True))

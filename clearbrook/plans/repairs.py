@@ -69,7 +69,7 @@ def iso_dates(values: DataFrame) -> DataFrame:
     Two-digit years and impossible dates are left alone (certainty left).
     """
     u = usable(values).where(F.col("value").rlike(DATE_SHAPE)).withColumn("mask", digit_mask(F.col("value")))
-    u = u.join(F.broadcast(date_masks(values).drop("n")), ["name", "mask"])
+    u = u.join(F.broadcast(date_masks(values).drop("n")), ["name", "mask"])  # a date's shape allows 288 masks a column
     a, b, c = dates.parts(F.col("value"))
     year_first = F.length(F.get(F.split("value", "[-/.]"), F.lit(0))) == 4
     four = F.length(F.get(F.split("value", "[-/.]"), F.lit(2))) == 4
@@ -82,8 +82,13 @@ def iso_dates(values: DataFrame) -> DataFrame:
 
 
 def written(pairs: DataFrame) -> str:
-    """The pairs as Parquet in ``spark.checkpoint.dir`` (unset: in a local temporary folder); their path."""
-    base = pairs.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="clearbrook-")
+    """The pairs as Parquet in ``spark.checkpoint.dir``; their path. Where that is unset, a session on one machine uses a temporary folder."""
+    spark = pairs.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="clearbrook-")
     path = f"{base.rstrip('/')}/repairs-{uuid.uuid4().hex}"
     pairs.write.parquet(path)
     return path

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.scan import NON_NEGATIVE, PERSON, Findings
+from ..operators.scan import MOST_AGES, NON_NEGATIVE, PERSON, Findings
 from .model import Requirement
 
 
@@ -28,7 +28,8 @@ def requirements(f: Findings) -> list[Requirement]:
             if not ident and (c.get("unparseable") or c["currency"] or c["thousands_sep"] or c["decimal_comma"]):
                 need(name, "text_numbers", "to_numeric")
             if c.get("implausible_ages"):
-                need(name, "implausible_age", "replace_null_like", review=True, tokens=[t["value"] for t in c["implausible_ages"]])
+                ages = [t["value"] for t in c["implausible_ages"]]
+                need(name, "implausible_age", *(("replace_null_like",) if len(ages) < MOST_AGES else ("replace_null_like", "replace_values")), review=True, tokens=ages if len(ages) < MOST_AGES else ())
             elif c["negative"] and not ident and not c.get("age_policy"):
                 need(name, "negative", "set_negative_to_null", review=not NON_NEGATIVE.search(name))
         elif kind == "date" and (len(c.get("date_formats") or []) > 1 or c["bad_dates"]):

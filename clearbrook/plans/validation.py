@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers
@@ -34,20 +34,30 @@ def surviving(before: DataFrame, after: DataFrame, order: str) -> DataFrame:
     return b.join(a, "_o")
 
 
+def _minus(c: Column) -> Column:
+    """A text with a leading minus."""
+    return c.rlike(r"\A\s*-\s*[\d.,]")
+
+
+def _cell_counts(before: DataFrame, after: DataFrame, order: str) -> DataFrame:
+    """A row per column of both tables, from one join and one aggregation: name, new_missing, negative, kept."""
+    pairs = [p for p in paired(before, after) if p[0] != order]
+    counts = []
+    for i in range(len(pairs)):
+        b, a = F.col(f"b{i}"), F.col(f"a{i}")
+        counts += [F.count_if(b.isNotNull() & a.isNull()).alias(f"m{i}"), F.count_if(_minus(b)).alias(f"n{i}"), F.count_if(_minus(b) & _minus(a)).alias(f"k{i}")]
+    wide = surviving(before, after, order).agg(*counts)
+    return wide.select(F.inline(F.array(*(F.struct(F.lit(y).alias("name"), F.col(f"m{i}").alias("new_missing"), F.col(f"n{i}").alias("negative"), F.col(f"k{i}").alias("kept")) for i, (_, y) in enumerate(pairs)))))
+
+
 def new_missing(before: DataFrame, after: DataFrame, order: str) -> DataFrame:
     """name, new_missing: cells of surviving rows that had a value and have none now."""
-    pairs = [p for p in paired(before, after) if p[0] != order]
-    wide = surviving(before, after, order).agg(*(F.count_if(F.col(f"b{i}").isNotNull() & F.col(f"a{i}").isNull()).alias(f"n{i}") for i in range(len(pairs))))
-    return wide.select(F.inline(F.array(*(F.struct(F.lit(y).alias("name"), F.col(f"n{i}").alias("new_missing")) for i, (_, y) in enumerate(pairs)))))
+    return _cell_counts(before, after, order).select("name", "new_missing")
 
 
 def negatives(before: DataFrame, after: DataFrame, order: str) -> DataFrame:
     """name, negative, kept, lost: texts with a leading minus, and whether the sign survived."""
-    pairs = [p for p in paired(before, after) if p[0] != order]
-    minus = lambda c: c.rlike(r"\A\s*-\s*[\d.,]")
-    aggs = [(F.count_if(minus(F.col(f"b{i}"))).alias(f"n{i}"), F.count_if(minus(F.col(f"b{i}")) & minus(F.col(f"a{i}"))).alias(f"k{i}")) for i in range(len(pairs))]
-    wide = surviving(before, after, order).agg(*(x for pair in aggs for x in pair))
-    return wide.select(F.inline(F.array(*(F.struct(F.lit(y).alias("name"), F.col(f"n{i}").alias("negative"), F.col(f"k{i}").alias("kept"), (F.col(f"n{i}") - F.col(f"k{i}")).alias("lost")) for i, (_, y) in enumerate(pairs))))).where("negative > 0")
+    return _cell_counts(before, after, order).where("negative > 0").select("name", "negative", "kept", (F.col("negative") - F.col("kept")).alias("lost"))
 
 
 @dataclass
@@ -62,38 +72,41 @@ def validate(before: DataFrame, after: DataFrame, log: list[LogEntry], order: st
     def check(name: str, status: str, **facts) -> None:
         checks.append({"name": name, "status": status} | facts)
 
-    n, m = before.count(), after.count()
+    twice = duplicates.full(after, [c for c in after.columns if c != order], rows=True).first()
+    n, m, left = before.count(), twice["rows"], twice["removable"]
     check("rows", "error" if m > n else "ok", before=n, after=m)
     logged = sum(e.rows_before - e.rows_after for e in log)
     check("removed_rows_logged", "ok" if logged == n - m else "warning", logged=logged, removed=n - m)
     check("columns", "error" if len(after.columns) > len(before.columns) else "ok", before=len(before.columns), after=len(after.columns))
-    left = duplicates.full(after, [c for c in after.columns if c != order]).first()["removable"]
     deduped = any(e.operation.startswith("drop_duplicate") for e in log)
     check("duplicates", "ok" if not left else "warning", left=left, flavour=None if not left else "revealed" if deduped else "not_run")
     expected = {c for e in log if e.operation in _EXPECTED for c in e.columns}
-    for r in new_missing(before, after, order).where("new_missing > 0").collect():
+    cells = _cell_counts(before, after, order).collect()
+    for r in (r for r in cells if r["new_missing"]):
         check("new_missing", "warning" if r["name"] in expected else "error", column=r["name"], cells=r["new_missing"])
-    for r in negatives(before, after, order).collect():
-        check("negative_ages" if AGE.search(r["name"]) else "negatives", "warning" if r["lost"] else "ok", column=r["name"], kept=r["kept"], lost=r["lost"])
+    for r in (r for r in cells if r["negative"]):
+        lost = r["negative"] - r["kept"]
+        check("negative_ages" if AGE.search(r["name"]) else "negatives", "warning" if lost else "ok", column=r["name"], kept=r["kept"], lost=lost)
     kinds = {y: (before.schema[x].dataType.simpleString(), after.schema[y].dataType.simpleString()) for x, y in paired(before, after)}
     check("types", "ok", changed=[(c, *k) for c, k in kinds.items() if k[0] != k[1]][:10])
     return Report(max((c["status"] for c in checks), key=_WORST.get), checks)
 
 
-def format_rows(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+def format_rows(values: DataFrame, columns: list[str]) -> DataFrame:
     """name, n: identifiers whose format, or for phones whose number of digits, isn't the usual one."""
-    u = usable(value_table(df, columns, order)).withColumn("mask", run_mask(F.col("value"))).withColumn("digits", F.length(F.regexp_replace("value", r"\D", "")))
+    u = usable(values.where(F.col("name").isin(*columns))).withColumn("mask", run_mask(F.col("value"))).withColumn("digits", F.length(F.regexp_replace("value", r"\D", "")))
     usual = {}
     for c in ("mask", "digits"):
         g = u.groupBy("name", c).agg(F.sum("n").alias("k"), F.min("first").alias("first"))
         usual[c] = g.groupBy("name").agg(F.max_by(c, F.struct("k", -F.col("first"))).alias(f"usual_{c}"))
     phones = [c for c in columns if PHONE.search(c)]
     odd = (F.col("mask") != F.col("usual_mask")) | ((F.col("name").isin(*phones) if phones else F.lit(False)) & (F.col("digits") != F.col("usual_digits")))
+    # what is broadcast has a row per column
     return u.join(F.broadcast(usual["mask"]), "name").join(F.broadcast(usual["digits"]), "name").groupBy("name").agg(F.coalesce(F.sum(F.when(odd, F.col("n"))), F.lit(0)).cast("long").alias("n"))
 
 
-def issue_counts(df: DataFrame, f: Findings, order: str) -> dict[str, int]:
-    """Rows or cells per category. Counters cut by a cap (null markers, texts) are those of the findings."""
+def issue_counts(df: DataFrame, f: Findings, order: str, values: DataFrame | None = None) -> dict[str, int]:
+    """Rows or cells per category. Counters cut by a cap (null markers, texts) are those of the findings. ``values``: a value table to use."""
     out = dict.fromkeys(CATEGORIES, 0)
     for c in f.columns.values():
         kind, ident = c["kind"], c["identifier_like"]
@@ -104,7 +117,7 @@ def issue_counts(df: DataFrame, f: Findings, order: str) -> dict[str, int]:
             out["unparseable"] += 0 if ident else sum(t["n"] for t in c.get("unparseable") or [])
             if not ident:
                 out["negatives"] += 0 if c.get("age_policy") else c["negative"]
-                out["ages"] += sum(t["n"] for t in c.get("implausible_ages") or [])
+                out["ages"] += c.get("implausible", 0)
         if kind == "date":
             shapes = [d["n"] for d in c.get("date_formats") or []]
             out["date_formats"] += sum(shapes) - max(shapes) if len(shapes) > 1 else 0
@@ -116,7 +129,7 @@ def issue_counts(df: DataFrame, f: Findings, order: str) -> dict[str, int]:
         if kind == "text":
             out["names"] += c["odd_case"] if "name" in c["name"].lower() else 0
     if ids := [n for n, c in f.columns.items() if c["identifier_like"]]:
-        out["id_formats"] = sum(r["n"] for r in format_rows(df, ids, order).collect())
+        out["id_formats"] = sum(r["n"] for r in format_rows(value_table(df, ids, order) if values is None else values, ids).collect())
     out["duplicates"] = f.full_duplicates.get("removable", 0)
     out["key_conflicts"] = sum(d["involved"] for d in f.key_duplicates.values())
     out["relations"] = sum(r["mismatch_rows"] for r in f.relationships)

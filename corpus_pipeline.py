@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's docs. All but the last return the columns of documents.
-Null, empty and long texts, repeated rows and empty tables are as the operators define them.
+An empty table gives an empty result in every stage, other columns are carried along, and very
+long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -14,27 +15,44 @@ from clearbrook.llm.shared import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line rule keep, without their lines above the limit."""
+    """Documents that the base rules and the line rule keep, without their lines above the limit.
+
+    Null, empty and blank texts go. Repeated rows stay repeated; rows without source are one host.
+    """
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of smallest doc_id."""
+    """One document of each group of near duplicates, that of smallest doc_id.
+
+    Rows without doc_id come last; of repeated rows one stays. Texts without words are no group:
+    one stays for each doc_id, and all without doc_id.
+    """
     return jaccard.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified overlap with the benchmark."""
+    """Documents without a verified overlap with the benchmark.
+
+    Null and empty texts are clean, and so are all with an empty benchmark. Repeated rows are judged alike.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate and its draw say."""
+    """Each document as often as its source's rate and its draw say.
+
+    Texts without words are never taken. Rows without source are a source; rows without doc_id draw by their text.
+    """
     return mixing.emit(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix with shard, slot and the other columns of the assignment."""
+    """The mix with shard, slot and the other columns of the assignment.
+
+    Copies share a shard and have slots of their own; so do rows without doc_id. Columns of the
+    input with the names of new ones are called input_ and their name.
+    """
     return sharding.assign(docs)
 
 

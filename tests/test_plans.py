@@ -112,6 +112,20 @@ def test_scan_plan_validate(spark):
     assert dict(done.df.dtypes)["price"] == "double"
 
 
+def test_ages_beyond_the_limit_of_a_plan(spark, monkeypatch):
+    from clearbrook.operators import scan as scanning
+    from clearbrook.plans import requirements as needs
+
+    df = spark.createDataFrame([(i, str(200 + i) if i < 20 else str(i)) for i in range(60)], "rid long, customer_age string")
+    for module in (scanning, planner, needs):
+        monkeypatch.setattr(module, "MOST_AGES", 5)
+    found = planner.plan(df, "rid")
+    assert found.findings.columns["customer_age"]["implausible"] == 20 and len(found.findings.columns["customer_age"]["implausible_ages"]) == 5
+    assert not [a for a in found.actions if a.operation == "no_change"]
+    done = clean(df, [a for a in found.actions if a.replacements_path], "rid").df
+    assert done.where("customer_age is null").count() == 20 and done.count() == 60
+
+
 def test_repairs_beyond_the_limit_of_a_plan(spark, monkeypatch):
     """Dates of a day-first notation and e-mails are all repaired, however many a plan may list."""
     days = [(d, m, y) for y in (2021, 2022) for m in range(1, 13) for d in (3, 5, 25)]
