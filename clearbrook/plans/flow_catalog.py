@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import inspect as tools
+from ..operators import profile
 from ..operators import scan as scanning
 from ..operators.cleaning import clean
 from ..operators.values import value_table
-from . import planner, validation
+from ..sources import sinks, tabular
+from ..sources.xlsx import sheet_rows
+from . import planner, repairs, validation
 from .catalog import _SCAN, TEXT, _NULLS, cells, query
-from .model import OPERATIONS, Action, Requirement, default_selection, finalise, merge_replacements, ordered, resolve_chains, reviewed, uncovered, without_repeats
+from .model import OPERATIONS, Action, PlanError, Requirement, default_selection, finalise, merge_replacements, ordered, resolve_chains, reviewed, uncovered, without_repeats
 from .requirements import requirements
 from .views import VIEWS
 
@@ -291,6 +294,84 @@ def _(df):
     return _rows(df, [(v,) for v in values], "value string").select("value", read(False).alias("month_first"), read(True).alias("day_first"))
 
 
+@query("clean_log", "dirty_customer", f"""
+WITH n AS (SELECT *, CASE WHEN lower(trim(segment)) IN {_NULLS} THEN NULL ELSE segment END AS seg FROM dirty_customer),
+e AS (SELECT count(DISTINCT (cust_id, trim(full_name), email, seg, balance_text, customer_age, phone)) AS left_, count(*) AS all_ FROM n)
+SELECT * FROM (SELECT 1 AS number, 'strip_whitespace' AS operation, count(*) FILTER (full_name <> trim(full_name)) AS affected, count(*) AS rows_before, count(*) AS rows_after FROM n
+UNION ALL SELECT 2, 'replace_null_like', count(*) FILTER (segment IS NOT NULL AND seg IS NULL), count(*), count(*) FROM n
+UNION ALL SELECT 3, 'no_change', 0, count(*), count(*) FROM n UNION ALL SELECT 4, 'drop_duplicate_rows_after_cleaning', all_ - left_, all_, left_ FROM e)""")
+def _(df):
+    """What a plan did, as its log says."""
+    done = clean(df, [Action("strip_whitespace", ("full_name",)), Action("replace_null_like", ("segment",)), Action("no_change", ("phone",)), Action("drop_duplicate_rows_after_cleaning")], "rid")
+    return _rows(df, [(e.number, e.operation, e.affected, e.rows_before, e.rows_after) for e in done.log()], "number int, operation string, affected long, rows_before long, rows_after long")
+
+
+@query("source_csv", "customer", "SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer")
+def _(df):
+    """A table written as CSV with semicolons and decimal commas, found out and read again, numbers cleaned."""
+    rows = df.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    path = repairs.shared_path(df.sparkSession, "csv")
+    sinks.write_csv(rows.withColumn("rid", F.col("c_custkey")).coalesce(1), path, "rid", french=True)
+    part = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").first()["path"]
+    got = tabular.read_csv(df.sparkSession, part).df
+    got = clean(got, [Action("to_numeric", ("c_acctbal",), decimal_comma=True)], "_rid").df
+    return got.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment", "c_acctbal")
+
+
+@query("source_parquet", "supplier", "SELECT s_suppkey AS _rid, s_suppkey, s_name FROM supplier")
+def _(df):
+    path = repairs.shared_path(df.sparkSession, "table") + ".parquet"
+    df.write.parquet(path)
+    return tabular.read_table(df.sparkSession, path, "s_suppkey").df.select("_rid", "s_suppkey", "s_name")
+
+
+@query("source_xlsx", "nation", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def _(df):
+    """A sheet as written, read cell by cell."""
+    names, rows = sheet_rows(sinks.xlsx_bytes(df.select("n_nationkey", "n_name"), None))
+    assert names == ["Cleaned Data"]
+    return _rows(df, [tuple(r) for r in rows[1:]], "n_nationkey string, n_name string")
+
+
+@query("source_detection", "region", """SELECT * FROM (VALUES ('encoding utf-8', 'utf-8-sig'), ('encoding cp1252', 'cp1252'), ('encoding latin1', 'latin1'), ('separator ;', ';'), ('separator tab', chr(9)), ('separator none', ','),
+  ('header below a title', '1'), ('header first', '0'), ('names', 'a, a.1, Unnamed: 2')) v("case", result)""")
+def _(df):
+    """How a file is taken, on fixed heads."""
+    cases = [
+        ("encoding utf-8", tabular.detect_encoding("é".encode())), ("encoding cp1252", tabular.detect_encoding("é".encode("cp1252"))), ("encoding latin1", tabular.detect_encoding(b"\x81\xff")),
+        ("separator ;", tabular.detect_separator("a;b;c\n1;2,5;3\n")), ("separator tab", tabular.detect_separator("a\tb\n1\t2\n")), ("separator none", tabular.detect_separator("abc")),
+        ("header below a title", str(tabular.detect_header_row([["Report", None, None], ["id", "name", "price"], ["1", "x", "2"]]))), ("header first", str(tabular.detect_header_row([["id", "name"], ["1", "x"]]))),
+        ("names", ", ".join(tabular.column_names(["a", "a", None]))),
+    ]
+    return _rows(df, cases, "`case` string, result string")
+
+
+@query("plan_errors", "region", """SELECT * FROM (VALUES ('unknown operation', 'PlanError'), ('unknown column', 'PlanError'), ('no replacements', 'PlanError'), ('odd case', 'PlanError'), ('no list', 'PlanError'), ('alias', 'r_regionkey, Region name'), ('loose name', 'ok')) v("case", result)""")
+def _(df):
+    """What a plan that can't be run says, and how columns are found."""
+
+    def tried(plan, of=df) -> str:
+        try:
+            return ", ".join(clean(of, plan).df.columns)
+        except PlanError:
+            return "PlanError"
+
+    named = df.select("r_regionkey", F.col("r_name").alias("Region\n name"))
+    cases = [
+        ("unknown operation", tried([{"operation": "explode"}])), ("unknown column", tried([{"operation": "strip_whitespace", "column": "y"}])), ("no replacements", tried([{"operation": "replace_values", "column": "r_name"}])),
+        ("odd case", tried([{"operation": "normalize_case", "column": "r_name", "case_mode": "odd"}])), ("no list", tried("plan")),
+        ("alias", tried([{"operation": "normalize_column_names"}, {"operation": "strip_whitespace", "column": "Region\n name"}], named)),
+        ("loose name", "ok" if tried([{"operation": "strip_whitespace", "column": "region name"}], named) != "PlanError" else "PlanError"),
+    ]
+    return _rows(df, cases, "`case` string, result string")
+
+
+@query("profile_header", "region", """SELECT * FROM (VALUES ('Na' || chr(10) || 'me', 'Na me', true), ('Na me', 'Na me', true), (' x ', 'x', false)) v(name, suggested, clashes)""")
+def _(df):
+    """Names that need cleaning."""
+    return _rows(df, [(h["name"], h["suggested"], h["clashes"]) for h in profile.header_issues(["Na\nme", "Na me", " x ", "fine"])], "name string, suggested string, clashes boolean")
+
+
 _RANKED = " ".join(f"WHEN '{o}' THEN {i}" for i, o in enumerate(OPERATIONS))
 _PLACE = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(TEXT))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -81,15 +81,19 @@ def iso_dates(values: DataFrame) -> DataFrame:
     return u.select("name", "value", real.alias("iso"), kind.alias("certainty"), "n")
 
 
-def written(pairs: DataFrame) -> str:
-    """The pairs as Parquet in ``spark.checkpoint.dir``; their path. Where that is unset, a session on one machine uses a temporary folder."""
-    spark = pairs.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``. Where that is unset, a session on one machine gets a temporary folder; a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="clearbrook-")
-    path = f"{base.rstrip('/')}/repairs-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(pairs: DataFrame) -> str:
+    """The pairs as Parquet in the shared folder; their path."""
+    path = shared_path(pairs.sparkSession, "repairs")
     pairs.write.parquet(path)
     return path
 
