@@ -322,7 +322,10 @@ def _linked_keys(docs: DataFrame, size: int, percent: int, frequent: int, short:
     links = stored(linked(stars, sets, percent), "links")
     known = components(links).toDF("key", "component")
     mixed = lists.where("length > 2").join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = stored(mixed.join(mixed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("list"), "list"), "mixed")
+    # a list can hold a large share of the members: its summary comes to them
+    mixed = stored(mixed.withColumn("name", F.col("list").cast("string")), "members")
+    several = mixed.groupBy("name").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("name", "n", "low")
+    mixed = stored(join_counted(mixed, several, "name", F.col("key")).where("low is not null").drop("name", "low"), "mixed")
     some = mixed.where((F.col("length") <= short) & (F.col("key") != F.col("pivot")))
     left, right = (some.select("list", F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("component").alias(f"c_{k}")) for k in "ab")
     pairs = left.join(right, "list").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
