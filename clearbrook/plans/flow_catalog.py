@@ -82,14 +82,32 @@ def requirements_sql(of: str) -> str:
         rule("name", "text_numbers", "to_numeric", "FROM nums WHERE x IS NULL OR marked GROUP BY name"),
         rule("name", "implausible_age", "replace_null_like", "FROM nums WHERE age AND (x < 0 OR x > 120) GROUP BY name", "TRUE", listed),
         rule("name", "negative", "set_negative_to_null", "FROM nums WHERE NOT age AND x < 0 GROUP BY name", "NOT bool_or(positive)"),
-        rule("name", "dates", "to_datetime", "FROM real JOIN kinds USING (name) WHERE kind = 'date' GROUP BY name HAVING NOT bool_and(real) OR count(DISTINCT regexp_replace(value, '\\d', '9', 'g')) > 1", "NOT bool_and(real)"),
+        rule(
+            "name", "dates", "to_datetime",
+            """FROM real JOIN kinds USING (name) WHERE kind = 'date' GROUP BY name
+          HAVING NOT bool_and(real) OR count(DISTINCT regexp_replace(value, '\\d', '9', 'g')) > 1""",
+            "NOT bool_and(real)",
+        ),
         rule("name", "email_case", "normalize_case", "FROM s JOIN kinds USING (name) WHERE kind = 'email' AND value <> lower(value) GROUP BY name"),
-        rule("name", "email_format", "replace_values", f"FROM s JOIN kinds USING (name) WHERE kind = 'email' AND NOT regexp_matches(value, '{_MAIL}') GROUP BY name", "TRUE"),
+        rule(
+            "name", "email_format", "replace_values",
+            f"FROM s JOIN kinds USING (name) WHERE kind = 'email' AND NOT regexp_matches(value, '{_MAIL}') GROUP BY name",
+            "TRUE",
+        ),
         rule("name", "case_variants", "normalize_case, replace_values", "FROM groups WHERE forms > 1 AND lowered = 1 GROUP BY name"),
         rule("name", "punctuation_variants", "replace_values", "FROM groups WHERE lowered > 1 GROUP BY name"),
         rule("name", "typos", "replace_values", "FROM wrong GROUP BY name"),
-        rule("name", "country_mix", "replace_values", "FROM cats WHERE regexp_matches(name, 'country|nation') GROUP BY name HAVING bool_or(regexp_matches(value, '^[A-Za-z]{2,3}$')) AND bool_or(regexp_matches(value, '[A-Za-z]{4,}'))"),
-        rule("name", "name_case", "normalize_case", "FROM s JOIN kinds USING (name) WHERE kind = 'text' AND regexp_matches(name, '(^|_)name(_|$)') AND regexp_matches(value, '[A-Za-z]') AND (value = lower(value) OR value = upper(value)) GROUP BY name", "TRUE"),
+        rule(
+            "name", "country_mix", "replace_values",
+            """FROM cats WHERE regexp_matches(name, 'country|nation') GROUP BY name
+          HAVING bool_or(regexp_matches(value, '^[A-Za-z]{2,3}$')) AND bool_or(regexp_matches(value, '[A-Za-z]{4,}'))""",
+        ),
+        rule(
+            "name", "name_case", "normalize_case",
+            """FROM s JOIN kinds USING (name) WHERE kind = 'text' AND regexp_matches(name, '(^|_)name(_|$)')
+          AND regexp_matches(value, '[A-Za-z]') AND (value = lower(value) OR value = upper(value)) GROUP BY name""",
+            "TRUE",
+        ),
         rule("name", "identifier_formats", "replace_values", "FROM formats", "TRUE"),
         rule("'amount'", "relationship", "recalculate_from_columns", f"WHERE {_relation(of, 'broken')}", "TRUE"),
         rule("name", "repeated_key", "drop_duplicates_by_columns", "FROM keyed", "TRUE"),
@@ -105,24 +123,67 @@ def actions_sql(of: str) -> str:
     person = "FROM s JOIN kinds USING (name) WHERE kind = 'text' AND regexp_matches(name, '(^|_)name(_|$)') AND regexp_matches(value, '[A-Za-z]') AND (value = lower(value) OR value = upper(value)) GROUP BY name"
     return f"WITH {facts(of)} " + " UNION ALL ".join([
         rule("strip_whitespace", "string_agg(DISTINCT name, ', ' ORDER BY name)", "FROM v WHERE value <> trim(value) HAVING count(*) > 0"),
-        rule("replace_null_like", "string_agg(name, ', ' ORDER BY name)", f"FROM (SELECT name, {listed} AS tokens FROM nulls GROUP BY name) GROUP BY tokens", tokens="tokens"),
-        rule("replace_values", "name", "FROM (SELECT name, bool_and(most >= 0.6 * n) AS sure FROM groups WHERE forms > 1 AND (name, key) NOT IN (SELECT name, key FROM wrong) OR (name, key) IN (SELECT name, key FROM wrong) GROUP BY name) WHERE name IN (SELECT name FROM groups WHERE forms > 1 UNION SELECT name FROM wrong)", "CASE WHEN sure THEN 'high' ELSE 'medium' END", "NOT sure"),
+        rule(
+            "replace_null_like", "string_agg(name, ', ' ORDER BY name)",
+            f"FROM (SELECT name, {listed} AS tokens FROM nulls GROUP BY name) GROUP BY tokens",
+            tokens="tokens",
+        ),
+        rule(
+            "replace_values", "name",
+            """FROM (SELECT name, bool_and(most >= 0.6 * n) AS sure FROM groups WHERE forms > 1 AND (name, key) NOT IN (SELECT name, key
+          FROM wrong) OR (name, key) IN (SELECT name, key FROM wrong) GROUP BY name) WHERE name IN (SELECT name FROM groups
+          WHERE forms > 1 UNION SELECT name FROM wrong)""",
+            "CASE WHEN sure THEN 'high' ELSE 'medium' END", "NOT sure",
+        ),
         rule("normalize_case", "name", "FROM s JOIN kinds USING (name) WHERE kind = 'email' AND value <> lower(value) GROUP BY name", case="'lower'"),
-        rule("replace_values", "name", f"FROM s JOIN kinds USING (name) WHERE kind = 'email' AND NOT regexp_matches(value, '{_MAIL}') GROUP BY name", "'medium'", "TRUE"),
+        rule(
+            "replace_values", "name",
+            f"FROM s JOIN kinds USING (name) WHERE kind = 'email' AND NOT regexp_matches(value, '{_MAIL}') GROUP BY name",
+            "'medium'", "TRUE",
+        ),
         rule("replace_values", "name", "FROM nums WHERE x IS NULL AND lower(value) = 'seven' GROUP BY name"),
         rule("replace_null_like", "name", "FROM nums WHERE x IS NULL AND lower(value) <> 'seven' GROUP BY name", tokens=listed),
         rule("replace_null_like", "name", "FROM nums WHERE age AND (x < 0 OR x > 120) GROUP BY name", "'medium'", "TRUE", listed),
-        rule("set_negative_to_null", "name", "FROM nums WHERE NOT age AND x < 0 GROUP BY name", "CASE WHEN bool_or(positive) THEN 'medium' ELSE 'low' END", "TRUE"),
-        rule("replace_values", "name", "FROM real JOIN kinds USING (name) WHERE kind = 'date' AND real AND NOT regexp_matches(value, '^\\d{4}-\\d\\d-\\d\\d$') GROUP BY name"),
+        rule(
+            "set_negative_to_null", "name", "FROM nums WHERE NOT age AND x < 0 GROUP BY name",
+            "CASE WHEN bool_or(positive) THEN 'medium' ELSE 'low' END", "TRUE",
+        ),
+        rule(
+            "replace_values", "name",
+            """FROM real JOIN kinds USING (name) WHERE kind = 'date' AND real AND NOT regexp_matches(value, '^\\d{4}-\\d\\d-\\d\\d$')
+          GROUP BY name""",
+        ),
         rule("to_datetime", "name", "FROM real JOIN kinds USING (name) WHERE kind = 'date' GROUP BY name", review="NOT bool_and(real)"),
         rule("normalize_case", "name", person, "'medium'", "TRUE", case="'title'"),
-        rule("replace_values", "name", f"FROM formats WHERE regexp_matches(name, 'phone') OR name IN (SELECT name FROM keyed) AND name IN (SELECT name FROM s GROUP BY name HAVING sum(CASE WHEN regexp_matches(value, '^\\d+$') THEN n ELSE 0 END) BETWEEN 0.8 * sum(n) AND sum(n) - 1)", "'medium'", "TRUE"),
+        rule(
+            "replace_values", "name",
+            f"""FROM formats WHERE regexp_matches(name, 'phone') OR name IN (SELECT name FROM keyed) AND name IN (SELECT name FROM s
+          GROUP BY name HAVING sum(CASE WHEN regexp_matches(value, '^\\d+$') THEN n ELSE 0 END) BETWEEN 0.8 * sum(n)
+          AND sum(n) - 1)""",
+            "'medium'", "TRUE",
+        ),
         rule("no_change", "name", "FROM formats WHERE NOT regexp_matches(name, 'phone') AND name NOT IN (SELECT name FROM keyed)", "'low'", "TRUE"),
-        rule("no_change", "name", "FROM cats WHERE regexp_matches(name, 'country|nation') AND name NOT IN (SELECT name FROM groups WHERE forms > 1 UNION SELECT name FROM wrong) GROUP BY name HAVING bool_or(regexp_matches(value, '^[A-Za-z]{2,3}$')) AND bool_or(regexp_matches(value, '[A-Za-z]{4,}'))", "'low'", "TRUE"),
-        rule("to_numeric", "string_agg(name, ', ' ORDER BY name)", f"FROM (SELECT name, sum(CASE WHEN regexp_matches(value, '\\d,\\d{{1,2}}(\\D|$)') THEN n ELSE 0 END) > sum(CASE WHEN regexp_matches(value, '\\d\\.\\d{{1,2}}(\\D|$)') THEN n ELSE 0 END) AS comma FROM nums WHERE name IN ({', '.join(map(repr, text)) or 'NULL'}) AND NOT regexp_matches(name, '{_KEY}|phone') GROUP BY name) GROUP BY comma", comma="comma"),
+        rule(
+            "no_change", "name",
+            """FROM cats WHERE regexp_matches(name, 'country|nation') AND name NOT IN (SELECT name FROM groups WHERE forms > 1 UNION
+          SELECT name FROM wrong) GROUP BY name HAVING bool_or(regexp_matches(value, '^[A-Za-z]{2,3}$'))
+          AND bool_or(regexp_matches(value, '[A-Za-z]{4,}'))""",
+            "'low'", "TRUE",
+        ),
+        rule(
+            "to_numeric", "string_agg(name, ', ' ORDER BY name)",
+            f"""FROM (SELECT name, sum(CASE WHEN regexp_matches(value, '\\d,\\d{{1,2}}(\\D|$)') THEN n ELSE 0 END) > sum(CASE WHEN regexp_matches(value, '\\d\\.\\d{{1,2}}(\\D|$)') THEN n ELSE 0 END) AS comma
+          FROM nums WHERE name IN ({', '.join(map(repr, text)) or 'NULL'}) AND NOT regexp_matches(name, '{_KEY}|phone')
+          GROUP BY name) GROUP BY comma""",
+            comma="comma",
+        ),
         rule("drop_duplicates_by_columns", "name", "FROM keyed", "'low'", "TRUE"),
         rule("drop_duplicate_rows", "''", "WHERE EXISTS (SELECT 1 FROM rows WHERE n > 1)"),
-        rule("drop_duplicate_rows_after_cleaning", "''", f"WHERE (SELECT count(DISTINCT ({plain})) FROM {of}) < (SELECT count(*) FROM rows)", "'medium'", "TRUE"),
+        rule(
+            "drop_duplicate_rows_after_cleaning", "''",
+            f"WHERE (SELECT count(DISTINCT ({plain})) FROM {of}) < (SELECT count(*) FROM rows)",
+            "'medium'", "TRUE",
+        ),
         rule("fill_missing_from_formula", "'amount'", f"WHERE {_relation(of, 'open')}", "'medium'", "TRUE"),
         rule("recalculate_from_columns", "'amount'", f"WHERE {_relation(of, 'broken')}", "'medium'", "TRUE"),
     ])
@@ -136,19 +197,44 @@ def issues_sql(of: str) -> str:
         total("null_like", "FROM nulls"),
         total("number_format", "FROM nums WHERE x IS NOT NULL", "n * ((t <> value)::INT + contains(t, ',')::INT)"),
         total("unparseable", "FROM nums WHERE x IS NULL"),
-        total("date_formats", "FROM (SELECT sum(n) - max(n) AS n FROM (SELECT name, regexp_replace(value, '\\d', '9', 'g') AS mask, sum(n) AS n FROM real JOIN kinds USING (name) WHERE kind = 'date' AND regexp_matches(value, '" + _SHAPE + "') GROUP BY 1, 2) GROUP BY name)"),
+        total(
+            "date_formats",
+            f"""FROM (SELECT sum(n) - max(n) AS n FROM (SELECT name, regexp_replace(value, '\\d', '9', 'g') AS mask, sum(n) AS n
+          FROM real JOIN kinds USING (name) WHERE kind = 'date' AND regexp_matches(value, '{_SHAPE}') GROUP BY 1, 2)
+          GROUP BY name)""",
+        ),
         total("invalid_dates", "FROM real JOIN kinds USING (name) WHERE kind = 'date' AND NOT real"),
-        total("variants", "FROM (SELECT c.n FROM cats c JOIN groups g USING (name, key) WHERE g.forms > 1 AND c.value <> g.dominant UNION ALL SELECT c.n FROM cats c JOIN wrong w ON c.name = w.name AND c.value = w.dominant)"),
-        total("emails", f"FROM s JOIN kinds USING (name) WHERE kind = 'email'", f"n * ((value <> lower(value))::INT + (NOT regexp_matches(value, '{_MAIL}'))::INT)"),
-        total("names", "FROM s JOIN kinds USING (name) WHERE kind = 'text' AND contains(name, 'name') AND regexp_matches(value, '[A-Za-z]') AND (value = lower(value) OR value = upper(value))"),
+        total(
+            "variants",
+            """FROM (SELECT c.n FROM cats c JOIN groups g USING (name, key) WHERE g.forms > 1 AND c.value <> g.dominant UNION ALL
+          SELECT c.n FROM cats c JOIN wrong w ON c.name = w.name AND c.value = w.dominant)""",
+        ),
+        total(
+            "emails", f"FROM s JOIN kinds USING (name) WHERE kind = 'email'",
+            f"n * ((value <> lower(value))::INT + (NOT regexp_matches(value, '{_MAIL}'))::INT)",
+        ),
+        total(
+            "names",
+            """FROM s JOIN kinds USING (name) WHERE kind = 'text' AND contains(name, 'name') AND regexp_matches(value, '[A-Za-z]')
+          AND (value = lower(value) OR value = upper(value))""",
+        ),
         total("negatives", "FROM nums WHERE NOT age AND x < 0"),
         total("ages", "FROM nums WHERE age AND (x < 0 OR x > 120)"),
         total("id_formats", """FROM (SELECT s.n FROM s JOIN kinds USING (name) JOIN (SELECT name, arg_max(mask, n) AS mask FROM (SELECT name, regexp_replace(regexp_replace(value, '\\d+', '9', 'g'), '[A-Za-z]+', 'A', 'g') AS mask, sum(n) AS n FROM s GROUP BY 1, 2) GROUP BY name) u USING (name)
           JOIN (SELECT name, arg_max(size, n) AS size FROM (SELECT name, length(regexp_replace(value, '\\D', '', 'g')) AS size, sum(n) AS n FROM s GROUP BY 1, 2) GROUP BY name) w USING (name)
           WHERE ident AND (regexp_replace(regexp_replace(value, '\\d+', '9', 'g'), '[A-Za-z]+', 'A', 'g') <> u.mask OR regexp_matches(name, 'phone') AND length(regexp_replace(value, '\\D', '', 'g')) <> w.size))"""),
         total("duplicates", "FROM rows", "n - 1"),
-        total("key_conflicts", "FROM (SELECT name, value, count(*) AS n FROM v JOIN keyed USING (name) WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)"),
-        total("relations", f"FROM (SELECT 1 AS n FROM {of} WHERE abs(quantity * unit_price - amount) > 0.02 * greatest(abs(amount), 1.0))" if of == "dirty_lineitem" else "FROM (SELECT 0 AS n)"),
+        total(
+            "key_conflicts",
+            """FROM (SELECT name, value, count(*) AS n FROM v JOIN keyed USING (name) WHERE value IS NOT NULL GROUP BY 1, 2
+          HAVING count(*) > 1)""",
+        ),
+        total(
+            "relations",
+            f"FROM (SELECT 1 AS n FROM {of} WHERE abs(quantity * unit_price - amount) > 0.02 * greatest(abs(amount), 1.0))"
+            if of == "dirty_lineitem"
+            else "FROM (SELECT 0 AS n)",
+        ),
     ])
 
 
