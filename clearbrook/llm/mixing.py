@@ -39,8 +39,7 @@ def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> Da
     base = parts.groupBy("_part").agg(*(F.sum(v).alias(f"_all_{k}") for k, v in sums.items()))
     base = base.select("_part", *(F.coalesce(F.sum(f"_all_{k}").over(earlier), F.lit(0)).alias(f"_all_{k}") for k in sums))
     upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = parts.join(base, "_part").select(*rows.columns, *((F.col(f"_all_{k}") + F.sum(v).over(upto)).alias(k) for k, v in sums.items()))
-    return out
+    return parts.join(base, "_part").select(*rows.columns, *((F.col(f"_all_{k}") + F.sum(v).over(upto)).alias(k) for k, v in sums.items()))
 
 
 def targets(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
