@@ -18,6 +18,8 @@ draw per region, per rack of its region and per shard of its rack, not one per s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,42 +32,50 @@ RACK, RACKS = 5, 4
 MOST_BLOCKS = 1 << 16
 
 
-def _level(docs: DataFrame, name: Column, before: list[Column], own: list[tuple[Column, Column]], key: str, otherwise: Column, to: str) -> DataFrame:
-    """The shard with which the last child that can takes the row, in column ``to``; a child of weight null or 0 can't.
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, within one expression: chains of projections take the optimizer long."""
+    return F.transform(F.array(value), use)[0]
+
 
-    Each child has two weights, now and with one more shard; _new becomes true where they give
-    different shards. An MD5 of the level's name and the key serves four children.
+def _level(name: Column, base: Column, size: int, children: int, shards: int, key: Column, entry: Column) -> Column:
+    """The shards, now and with one more, with which the last child that can takes the row, else ``entry``.
+
+    Child i begins with shard base + size * (i + 1); four children share an MD5 of the level's name and the key.
     """
-    digests = {f"_md5{i}": F.md5(F.concat_ws(":", F.concat(name, F.lit(f".{i}")), F.col(key))) for i in range(-(-len(before) // 4))}
-    docs = docs.withColumns(digests)
-    needs = {}
-    for i, b in enumerate(before):
-        u = (F.conv(F.substring(f"_md5{i // 4}", i % 4 * 8 + 1, 8), 16, 10).cast("double") + 1) / 2.0**32
-        needs[f"_need{i}"] = F.greatest(F.lit(1), F.ceil(b / u - b))
-    docs = docs.withColumns(needs)  # a projection of its own, so that each child draws once
-    now, then = (F.coalesce(*(F.when(F.col(f"_need{i}") <= w[k], b + F.col(f"_need{i}") - 1) for i, (b, w) in reversed(list(enumerate(zip(before, own, strict=True))))), otherwise).cast("int") for k in range(2))
-    kept = [c for c in docs.columns if c not in digests and c not in needs and c not in (to, "_new")]
-    return docs.select(*kept, now.alias(to), (F.col("_new") | (now != then)).alias("_new"))
+    each = F.sequence(F.lit(0), F.lit(children - 1))
+    before = lambda i: base + size * (i + 1)
+
+    def need(i: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.concat(name, F.lit("."), F.shiftright(i, 2).cast("string")), key))
+        u = (F.conv(F.substring(digest, i % 4 * 8 + 1, F.lit(8)), 16, 10).cast("double") + 1) / 2.0**32
+        return F.greatest(F.lit(1), F.ceil(before(i) / u - before(i)))
+
+    def last(needs: Column, limit: int) -> Column:
+        taken = F.transform(each, lambda i: F.when((before(i) > entry) & (needs[i] <= F.least(F.lit(size), limit - before(i))), before(i) + needs[i] - 1))
+        return F.coalesce(F.array_max(taken).cast("int"), entry)
+
+    return let(F.transform(each, need), lambda needs: F.array(last(needs, shards), last(needs, shards + 1)))
 
 
 def descend(docs: DataFrame, shards: int, key: str, to: str, grown: str | None = None) -> DataFrame:
     """docs with the shard, of 0 to shards - 1, of each row's key in column ``to``, and in ``grown`` the shard with one more."""
-    width = RACK * RACKS
-    docs = docs.withColumn("_new", F.lit(False))
-    starts = range(width, shards + 1, width)  # the first region takes what no other takes
-    if starts:
-        docs = _level(docs, F.lit("region"), [F.lit(s) for s in starts], [(F.lit(min(width, shards - s)), F.lit(min(width, shards + 1 - s))) for s in starts], key, F.lit(0), "_entry")
-    else:
-        docs = docs.withColumn("_entry", F.lit(0))
-    base = F.col("_entry") - F.col("_entry") % width
-    racks = [base + RACK * k for k in range(1, RACKS)]
-    docs = _level(docs, F.concat(F.lit("rack"), base), racks, [tuple(F.when(b > F.col("_entry"), F.least(F.lit(RACK), n - b)) for n in (shards, shards + 1)) for b in racks], key, F.col("_entry"), "_entered")
-    base = F.col("_entered") - F.col("_entered") % RACK
-    leaves = [base + k for k in range(1, RACK)]
-    docs = _level(docs, F.concat(F.lit("shard"), base), leaves, [tuple(F.when((s > F.col("_entered")) & (s < n), 1) for n in (shards, shards + 1)) for s in leaves], key, F.col("_entered"), to)
-    if grown:
-        docs = docs.withColumn(grown, F.when(F.col("_new"), shards).otherwise(F.col(to)).cast("int"))
-    return docs.drop("_entry", "_entered", "_new")
+    k, width = F.col(key), RACK * RACKS
+
+    def leaf(entry: Column) -> Column:
+        base = entry - entry % RACK
+        return _level(F.concat(F.lit("shard"), base.cast("string")), base, 1, RACK - 1, shards, k, entry)
+
+    def rack(entry: Column) -> Column:
+        base = entry - entry % width
+        return _level(F.concat(F.lit("rack"), base.cast("string")), base, RACK, RACKS - 1, shards, k, entry)
+
+    # the first region takes what no other takes
+    region = _level(F.lit("region"), F.lit(0), width, shards // width, shards, k, F.lit(0)) if shards >= width else F.array(F.lit(0), F.lit(0))
+    differs = lambda x: x[0] != x[1]
+    way = let(region, lambda r: let(rack(r[0]), lambda q: let(leaf(q[0]), lambda s: F.struct(s[0].alias("shard"), (differs(r) | differs(q) | differs(s)).alias("new")))))
+    docs = docs.withColumn("_way", way)
+    grew = [F.when(F.col("_way.new"), shards).otherwise(F.col("_way.shard")).cast("int").alias(grown)] if grown else []
+    return docs.select(*(c for c in docs.columns if c not in ("_way", to, grown)), F.col("_way.shard").alias(to), *grew)
 
 
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
