@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, jaccard, mixing, quality, sharding, substrings, toxicity, urlfilter, warc
+from . import decontaminate, htmltext, jaccard, mixing, negatives, packing, periodic, quality, sharding, substrings, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_html_extraction": htmltext.query,
     "op10_substring_dedup": substrings.query,
+    "op11_packing": packing.query,
+    "op12_hard_negatives": negatives.query,
+    "op13_periodic_runs": periodic.query,
 }
 
 ORACLE_SQL = {
@@ -26,4 +29,6 @@ ORACLE_SQL = {
     "op6_sharding": sharding.SQL,
     "op8_mixing": mixing.SQL,
     "op10_substring_dedup": substrings.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_periodic_runs": periodic.SQL,
 }
