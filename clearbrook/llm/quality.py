@@ -3,7 +3,7 @@
 Base rules look at one document. The line rule looks across a host's documents (here the
 column ``source``): the distinct normalised lines of each distinct text are hashed, and a
 line that stands in more than max(``least``, ``share`` of the host's texts) of them is
-boilerplate. ``judge`` counts the words in such lines; a document that keeps less than
+boilerplate; ``least`` only says that a line in three texts or fewer is none. ``judge`` counts the words in such lines; a document that keeps less than
 ``keep`` of its words is depleted and rejected. ``keep_good`` also takes such lines out of
 the documents that stay. Copies of one text count once, so a text isn't rejected for having
 been copied.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import map_arrow, stored
 from .words import U64, Words, mix, span_hashes, windows, words
 
-LEAST, SHARE, KEEP = 25, 0.05, 0.3
+LEAST, SHARE, KEEP = 3, 0.05, 0.3
 FEWEST_WORDS, MOST_REPEATED = 50, 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -179,7 +179,7 @@ def keep_good(docs: DataFrame, least: int = LEAST, share: float = SHARE, keep: f
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
 
 
 #: The line rule with the parameters above; lines are compared in lower case with single spaces.
@@ -198,12 +198,12 @@ dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n
 norm AS (SELECT doc_id, source, digest, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line, len(lw) AS k FROM f WHERE len(lw) > 0),
 host AS (SELECT source, count(DISTINCT digest) AS texts FROM b GROUP BY source),
 used AS (SELECT source, line, count(DISTINCT digest) AS n FROM norm GROUP BY source, line),
-common AS (SELECT u.source, u.line FROM used u JOIN host h ON u.source IS NOT DISTINCT FROM h.source WHERE u.n > greatest(25, 0.05 * h.texts)),
+common AS (SELECT u.source, u.line FROM used u JOIN host h ON u.source IS NOT DISTINCT FROM h.source WHERE u.n > greatest(3, 0.05 * h.texts)),
 lost AS (SELECT n.doc_id, sum(n.k) AS k FROM norm n JOIN common c ON n.line = c.line AND n.source IS NOT DISTINCT FROM c.source GROUP BY n.doc_id),
 j AS (SELECT b.doc_id, n_words, word_chars, n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lost.k, 0) AS lost
   FROM b LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - lost >= 0.3 * n_words AS kept FROM j
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - lost >= 0.3 * n_words AS kept, CAST(lost AS BIGINT) AS n_removed FROM j
 """
