@@ -1,4 +1,4 @@
-"""Date parsing as Column expressions: a chain of patterns, most certain first."""
+"""Date parsing as Column expressions: a notation is told by its shape, rewritten as year-month-day, and read by a cast."""
 
 from __future__ import annotations
 
@@ -7,28 +7,33 @@ from pyspark.sql import functions as F
 
 from .text import digit_mask
 
-_MONTH_FIRST = ("M/d/y", "M-d-y", "M.d.y")
-_DAY_FIRST = ("d/M/y", "d-M-y", "d.M.y")
+_YEAR_FIRST = r"\A(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?:[ T](\d{1,2}:\d{1,2}(?::\d{1,2})?)(?:\.\d+)?\s*(?:Z|UTC|[+-]\d\d:?\d\d)?)?\z"
+_YEAR_LAST = r"\A(\d{1,2})([-/.])(\d{1,2})\2(\d{2}|\d{4})\z"
+# English months.
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_NAME = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in _MONTHS)
+#: Month, day, year; day, month, year; year, month, day: what stands where.
+_NAMED = ((rf"\A({_NAME}) (\d{{1,2}}) (\d{{4}})\z", 3, 1, 2), (rf"\A(\d{{1,2}}) ({_NAME}) (\d{{4}})\z", 3, 2, 1), (rf"\A(\d{{4}}) ({_NAME}) (\d{{1,2}})\z", 1, 2, 3))
 
 
-_NAMED = ("MMM d y", "MMMM d y", "d MMM y", "d MMMM y", "y MMM d", "y MMMM d")
+def _read(text: Column) -> Column:
+    return text.try_cast("timestamp_ntz")
 
 
 def mixed(c: Column, dayfirst: bool = False) -> Column:
     """Timestamp without zone of a date in mixed notation; impossible readings in one order fall back to the other.
 
     Years of two digits are of this century; months may be English names, with or without points
-    and commas; a time's fraction is read, its zone is dropped.
+    and commas; a time's fraction and zone are dropped.
     """
-    lead, short, two = c.rlike(r"\A\d{4}[-/.]"), c.rlike(r"\A\d{1,2}[-/.]\d{1,2}[-/.]\d{4}\z"), c.rlike(r"\A\d{1,2}[-/.]\d{1,2}[-/.]\d{2}\z")
-    orders = (*_DAY_FIRST, *_MONTH_FIRST) if dayfirst else (*_MONTH_FIRST, *_DAY_FIRST)
-    clock = F.regexp_replace(c, r"(?<=:\d\d)(?:\.\d+)?\s*(?:Z|UTC|[+-]\d\d:?\d\d)?\z", "")
-    named = F.initcap(F.lower(F.trim(F.regexp_replace(c, r"[\s,./-]+", " "))))
-    tries = [F.when(lead, F.try_to_timestamp(clock, F.lit(p))) for p in ("y-M-d H:m:s", "y-M-d'T'H:m:s", "y-M-d", "y/M/d", "y.M.d", "y-M-d H:m")]
-    tries += [F.when(short, F.try_to_timestamp(c, F.lit(p))) for p in orders]
-    tries += [F.when(two, F.try_to_timestamp(c, F.lit(p + "y"))) for p in orders]
-    tries += [F.when(c.rlike(r"\A(?=.*\d)[\w\s,./-]*[A-Za-z]{3}[\w\s,./-]*\z"), F.try_to_timestamp(named, F.lit(p))) for p in _NAMED]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    century = F.when(c.rlike(r"[-/.]\d{2}\z"), "20").otherwise("")
+    first, second = ("$3-$1", "$1-$3") if dayfirst else ("$1-$3", "$3-$1")
+    year_last = F.coalesce(*(_read(F.concat(century, F.regexp_replace(c, _YEAR_LAST, f"$4-{order}"))) for order in (first, second)))
+    plain = F.trim(F.regexp_replace(F.lower(c), r"[\s,./-]+", " "))
+    month = lambda word: F.array_position(F.array(*(F.lit(m[:3]) for m in _MONTHS)), F.left(word, F.lit(3))).cast("string")
+    part = lambda of, i: F.regexp_extract(plain, of, i)
+    named = F.coalesce(*(F.when(plain.rlike(of), _read(F.concat_ws("-", part(of, y), month(part(of, m)), part(of, d)))) for of, y, m, d in _NAMED))
+    return F.when(c.rlike(_YEAR_FIRST), _read(F.regexp_replace(c, _YEAR_FIRST, "$1-$3-$4 $5"))).when(c.rlike(_YEAR_LAST), year_last).when(c.rlike(r"[A-Za-z]{3}"), named)
 
 
 def iso(c: Column) -> Column:

@@ -118,10 +118,11 @@ def mismatch(a: Column, b: Column, t: Column) -> Column:
     return F.coalesce(F.abs(a * b - t) > TOLERANCE * F.greatest(F.abs(t), F.lit(1.0)), F.lit(False))
 
 
-def clean(df: DataFrame, plan, order: str | None = None, count: bool = True) -> Cleaned:
+def clean(df: DataFrame, plan, order: str | None = None, count: bool = True, carry: tuple[str, ...] = ()) -> Cleaned:
     """Apply a plan's actions in their order. ``order`` names the column that says which row is first; it isn't data.
 
-    Without ``count`` nothing is observed and the log has no figures, as on streams.
+    Without ``count`` nothing is observed and the log has no figures, as on streams. Columns in
+    ``carry`` aren't data either: they stay with the rows that stay.
     """
 
     def seen(df: DataFrame, by: Observation, *metrics: Column) -> DataFrame:
@@ -131,7 +132,7 @@ def clean(df: DataFrame, plan, order: str | None = None, count: bool = True) ->
     out = Cleaned(df)
     for a in actions_of(plan):
         df = out.df
-        data = [c for c in df.columns if c != order]
+        data = [c for c in df.columns if c != order and c not in carry]
         columns = list(dict.fromkeys(resolve(c, data, aliases) for c in a.columns))
         before, after, fixed = Observation(), None, None
         new: dict[str, Column] = {}

@@ -23,6 +23,14 @@ def value_table(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     return melt(df, columns, order).groupBy("name", "value").agg(F.count("*").alias("n"), F.min("rid").alias("first"))
 
 
+def forms(values: DataFrame) -> DataFrame:
+    """(name, value, n, first, spellings, padded): values stripped and counted again; spellings they had, and cells with outer white space. Null counts missing cells."""
+    value = strip(F.col("value"))
+    return values.groupBy("name", value.alias("value")).agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.count("value").alias("spellings"), F.coalesce(F.sum(F.when(F.col("value") != value, F.col("n"))), F.lit(0)).alias("padded")
+    )
+
+
 def usable(values: DataFrame) -> DataFrame:
     """Stripped values that are neither blank nor a null marker, counted again: the scan's input."""
     s = values.where("value is not null").withColumn("value", strip(F.col("value"))).where(~is_scan_null(F.col("value")))

@@ -439,10 +439,29 @@ SELECT 'quantity' AS "left",
     count(*) AS rows,
     count(*) FILTER (telling AND NOT fits) AS mismatch_rows FROM t""")
 def _(df):
-    found = relations.discover(df, ["quantity", "unit_price", "amount"])
+    return _relations(df, ["quantity", "unit_price", "amount"])
+
+
+def _relations(df: DataFrame, columns: list[str]) -> DataFrame:
+    found = relations.discover(df, columns)
     return df.sparkSession.createDataFrame([(r["left"], r["right"], r["target"], r["rate"], r["rows"], r["mismatch_rows"]) for r in found], "left string, right string, target string, rate double, rows long, mismatch_rows long")
 
 
+_WIDE = ["quantity", "unit_price", "amount", "rate", "commission", "unit_weight", "weight", "freight", "gross", "discount", "tax", "position", "rebate"]
+#: Every pair times every target, over all rows.
+query("rel_discover_wide", "wide_lineitem", f"""
+WITH x AS (SELECT [{', '.join(_WIDE)}] AS v FROM wide_lineitem),
+k AS (SELECT unnest({_WIDE}) AS name, unnest(range(1, {len(_WIDE) + 1})) AS i),
+c AS (SELECT a.name AS "left", b.name AS "right", t.name AS target, a.i AS ai, b.i AS bi, t.i AS ti FROM k a JOIN k b ON a.name < b.name JOIN k t ON t.i NOT IN (a.i, b.i)),
+m AS (SELECT "left", "right", target, ai, bi, ti, v[ai] AS a, v[bi] AS b, v[ti] AS t FROM x, c WHERE v[ai] IS NOT NULL AND v[bi] IS NOT NULL AND v[ti] IS NOT NULL),
+f AS (SELECT *, abs(a * b) > 1e-9 OR abs(t) > 1e-9 AS telling, abs(a * b - t) <= 0.02 * greatest(abs(t), 1.0) AS fits FROM m),
+g AS (SELECT "left", "right", target, ai, bi, ti, count(*) AS rows, count(*) FILTER (telling) AS telling, count(*) FILTER (telling AND fits) AS hit,
+    min(a) FILTER (telling) < max(a) FILTER (telling) AND min(b) FILTER (telling) < max(b) FILTER (telling) AND min(t) FILTER (telling) < max(t) FILTER (telling) AS varies FROM f GROUP BY ALL),
+r AS (SELECT *, round_even(hit::DOUBLE / telling, 4) AS rate, telling - hit AS mismatch_rows FROM g WHERE rows >= 100 AND telling >= greatest(50, ceil(rows * 0.15)) AND varies AND hit >= 0.95 * telling)
+SELECT "left", "right", target, rate::DOUBLE AS rate, rows, mismatch_rows
+FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY target ORDER BY rate DESC, mismatch_rows, ai, bi, ti) = 1) ORDER BY rate DESC, mismatch_rows, ai, bi, ti LIMIT 3""")(lambda df: _relations(df, _WIDE))
+
+
 query(
     "plan_email_repair",
     "dirty_customer",

@@ -327,8 +327,7 @@ UNION ALL SELECT 'new_missing', 'warning', 'segment', count(*), 0 FROM j WHERE s
 UNION ALL SELECT 'negatives', 'ok', 'balance_text', count(*), 0 FROM j WHERE regexp_matches(balance_text, '^\\s*-\\s*[\\d.,]') UNION ALL SELECT 'negative_ages', 'ok', 'customer_age', count(*), 0 FROM j WHERE regexp_matches(customer_age, '^\\s*-\\s*[\\d.,]')
 UNION ALL SELECT 'overall', 'warning', '', 0, 0""")
 def _(df):
-    done = clean(df, [Action("replace_null_like", ("segment",)), Action("to_numeric", ("balance_text",)), Action("drop_duplicate_rows_after_cleaning")], "rid")
-    report = validation.validate(df, done.df, done.log(), "rid")
+    report, _ = validation.validate_cleaning(df, [Action("replace_null_like", ("segment",)), Action("to_numeric", ("balance_text",)), Action("drop_duplicate_rows_after_cleaning")], "rid")
     pick = {"rows": ("before", "after"), "removed_rows_logged": ("logged", "removed"), "columns": ("before", "after"), "duplicates": ("left", "left"), "new_missing": ("cells", None), "negatives": ("kept", "lost"), "negative_ages": ("kept", "lost")}
     rows = []
     for c in report.checks:
@@ -480,9 +479,8 @@ WITH cleaned_customer AS (SELECT min(rid) AS rid, {', '.join(TEXT)} FROM (SELECT
 SELECT b.key, b.n AS before, a.n AS after, b.key IN ({_MANUAL}) AS manual FROM ({issues_sql('dirty_customer')}) b JOIN ({issues_sql('cleaned_customer')}) a USING (key) WHERE b.n > 0 OR a.n > 0""")
 def _(df):
     """Quality before and after a short cleaning."""
-    done = clean(df, [Action("strip_whitespace", tuple(TEXT)), Action("replace_null_like", tuple(TEXT)), Action("drop_duplicate_rows")], "rid").df
-    counts = [validation.issue_counts(x, scanning.scan(x, "rid"), "rid") for x in (df, done)]
-    return _rows(df, [(r["key"], r["before"], r["after"], r["manual"]) for r in validation.quality_report(*counts)["rows"]], "key string, before long, after long, manual boolean")
+    report = validation.quality_of(df, [Action("strip_whitespace", tuple(TEXT)), Action("replace_null_like", tuple(TEXT)), Action("drop_duplicate_rows")], "rid")
+    return _rows(df, [(r["key"], r["before"], r["after"], r["manual"]) for r in report["rows"]], "key string, before long, after long, manual boolean")
 
 
 @query("scan_typos", "dirty_part", f"WITH {facts('dirty_part')} SELECT dominant AS form, target AS stands_for FROM wrong WHERE name = 'part_type'")

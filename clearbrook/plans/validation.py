@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..functions.text import as_text, run_mask
 from ..operators import duplicates
-from ..operators.scan import PHONE, AGE, Findings
+from ..operators.cleaning import Cleaned, clean
+from ..operators.maintained import value_table_after
+from ..operators.scan import AGE, PHONE, Findings, scan
 from ..operators.values import usable, value_table
 from .model import LogEntry, header
 
@@ -26,27 +28,47 @@ def paired(before: DataFrame, after: DataFrame) -> list[tuple[str, str]]:
     return [(c, names[header(c).lower()]) for c in before.columns if header(c).lower() in names]
 
 
+def _texts(df: DataFrame, names: list[str], prefix: str) -> list[Column]:
+    return [as_text(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"{prefix}{i}") for i, c in enumerate(names)]
+
+
 def surviving(before: DataFrame, after: DataFrame, order: str) -> DataFrame:
-    """Rows in both tables, by the order column: columns b_i and a_i."""
+    """Rows in both tables, by the order column: columns b_i and a_i. For tables of any origin; a cleaning of ours needs no join, see ``cleaned_pairs``."""
     pairs = [p for p in paired(before, after) if p[0] != order]
-    b = before.select(F.col(order).alias("_o"), *(as_text(F.col(f"`{x}`"), before.schema[x].dataType).alias(f"b{i}") for i, (x, _) in enumerate(pairs)))
-    a = after.select(F.col(order).alias("_o"), *(as_text(F.col(f"`{y}`"), after.schema[y].dataType).alias(f"a{i}") for i, (_, y) in enumerate(pairs)))
+    b = before.select(F.col(order).alias("_o"), *_texts(before, [x for x, _ in pairs], "b"))
+    a = after.select(F.col(order).alias("_o"), *_texts(after, [y for _, y in pairs], "a"))
     return b.join(a, "_o")
 
 
+def cleaned_pairs(before: DataFrame, plan, order: str, count: bool = True) -> tuple[Cleaned, DataFrame]:
+    """The cleaning of a plan, and its rows with columns b_i and a_i: the cells before are carried along with the rows that stay."""
+    names = [c for c in before.columns if c != order]
+    carried = before.withColumn("_before", F.struct(*_texts(before, names, "b")) if names else F.lit(None))
+    done = clean(carried, plan, order, count, carry=("_before",))
+    after = done.df.drop("_before")
+    pairs = [p for p in paired(before, after) if p[0] != order]
+    b = [F.col(f"_before.b{names.index(x)}").alias(f"b{i}") for i, (x, _) in enumerate(pairs)]
+    return done, done.df.select(*b, *_texts(done.df, [y for _, y in pairs], "a"))
+
+
 def _minus(c: Column) -> Column:
     """A text with a leading minus."""
     return c.rlike(r"\A\s*-\s*[\d.,]")
 
 
+def _wide_counts(rows: DataFrame, n: int) -> DataFrame:
+    """One row: rows, and of each column pair new_missing (m), negative (n) and kept (k)."""
+    counts = [F.count("*").alias("rows")]
+    for i in range(n):
+        b, a = F.col(f"b{i}"), F.col(f"a{i}")
+        counts += [F.count_if(b.isNotNull() & a.isNull()).alias(f"m{i}"), F.count_if(_minus(b)).alias(f"n{i}"), F.count_if(_minus(b) & _minus(a)).alias(f"k{i}")]
+    return rows.agg(*counts)
+
+
 def _cell_counts(before: DataFrame, after: DataFrame, order: str) -> DataFrame:
     """A row per column of both tables, from one join and one aggregation: name, new_missing, negative, kept."""
     pairs = [p for p in paired(before, after) if p[0] != order]
-    counts = []
-    for i in range(len(pairs)):
-        b, a = F.col(f"b{i}"), F.col(f"a{i}")
-        counts += [F.count_if(b.isNotNull() & a.isNull()).alias(f"m{i}"), F.count_if(_minus(b)).alias(f"n{i}"), F.count_if(_minus(b) & _minus(a)).alias(f"k{i}")]
-    wide = surviving(before, after, order).agg(*counts)
+    wide = _wide_counts(surviving(before, after, order), len(pairs))
     return wide.select(F.inline(F.array(*(F.struct(F.lit(y).alias("name"), F.col(f"m{i}").alias("new_missing"), F.col(f"n{i}").alias("negative"), F.col(f"k{i}").alias("kept")) for i, (_, y) in enumerate(pairs)))))
 
 
@@ -67,13 +89,30 @@ class Report:
 
 
 def validate(before: DataFrame, after: DataFrame, log: list[LogEntry], order: str) -> Report:
+    """The checks of two tables, whatever made one of the other: rows are paired by the order column."""
+    twice = duplicates.full(after, [c for c in after.columns if c != order], rows=True).first()
+    return _report(before, after, log, order, before.count(), twice["rows"], twice["removable"], [r.asDict() for r in _cell_counts(before, after, order).collect()])
+
+
+def validate_cleaning(before: DataFrame, plan, order: str) -> tuple[Report, list[LogEntry]]:
+    """The same checks of a plan's result, with its log: cells before and after, rows and log come from one pass without a join."""
+    done, rows = cleaned_pairs(before, plan, order)
+    after = done.df.drop("_before")
+    pairs = [p for p in paired(before, after) if p[0] != order]
+    wide = _wide_counts(rows, len(pairs)).first()
+    log = done.log(run=False)
+    cells = [{"name": y, "new_missing": wide[f"m{i}"], "negative": wide[f"n{i}"], "kept": wide[f"k{i}"]} for i, (_, y) in enumerate(pairs)]
+    plain = clean(before, plan, order, count=False).df
+    left = duplicates.full(plain, [c for c in plain.columns if c != order]).first()["removable"]
+    return _report(before, after, log, order, log[0].rows_before if log else before.count(), wide["rows"], left, cells), log
+
+
+def _report(before: DataFrame, after: DataFrame, log: list[LogEntry], order: str, n: int, m: int, left: int, cells: list[dict]) -> Report:
     checks: list[dict] = []
 
     def check(name: str, status: str, **facts) -> None:
         checks.append({"name": name, "status": status} | facts)
 
-    twice = duplicates.full(after, [c for c in after.columns if c != order], rows=True).first()
-    n, m, left = before.count(), twice["rows"], twice["removable"]
     check("rows", "error" if m > n else "ok", before=n, after=m)
     logged = sum(e.rows_before - e.rows_after for e in log)
     check("removed_rows_logged", "ok" if logged == n - m else "warning", logged=logged, removed=n - m)
@@ -81,7 +120,6 @@ def validate(before: DataFrame, after: DataFrame, log: list[LogEntry], order: st
     deduped = any(e.operation.startswith("drop_duplicate") for e in log)
     check("duplicates", "ok" if not left else "warning", left=left, flavour=None if not left else "revealed" if deduped else "not_run")
     expected = {c for e in log if e.operation in _EXPECTED for c in e.columns}
-    cells = _cell_counts(before, after, order).collect()
     for r in (r for r in cells if r["new_missing"]):
         check("new_missing", "warning" if r["name"] in expected else "error", column=r["name"], cells=r["new_missing"])
     for r in (r for r in cells if r["negative"]):
@@ -143,4 +181,18 @@ def quality_report(before: dict[str, int], after: dict[str, int]) -> dict:
     return {"rows": rows, "before": b, "after": a, "resolved_pct": round(100 * max(b - a, 0) / b, 1) if b else 100.0}
 
 
-__all__ = ["validate", "quality_report", "issue_counts", "new_missing", "negatives", "numbers"]
+def quality_of(before: DataFrame, plan, order: str) -> dict:
+    """The quality report of a plan: the table is read and scanned; its values after the plan are kept up, not read again."""
+    columns = [c for c in before.columns if c != order]
+    values = value_table(before, columns, order).persist()
+    first = scan(before, order, columns, values=values)
+    after = clean(before, plan, order, count=False).df
+    later = value_table_after(values, before, plan, order).persist()
+    second = scan(after, order, values=later)
+    out = quality_report(issue_counts(before, first, order, values), issue_counts(after, second, order, later))
+    later.unpersist()
+    values.unpersist()
+    return out
+
+
+__all__ = ["validate", "validate_cleaning", "quality_report", "quality_of", "issue_counts", "new_missing", "negatives", "numbers"]

@@ -50,6 +50,16 @@ SELECT k AS row_key,
   CASE WHEN k % 61 = 0 THEN NULL WHEN k % 71 = 0 THEN q * p * 1.5 ELSE q * p END AS amount
 FROM b
 """
+WIDE_LINEITEM = """
+WITH b AS (SELECT l_orderkey * 100 + l_linenumber AS k, CAST(l_quantity AS DOUBLE) AS q, CAST(l_partkey % 97 + 1 AS DOUBLE) / 4 AS p, CAST(l_suppkey % 19 + 1 AS DOUBLE) / 8 AS r,
+    CAST(l_orderkey % 89 + 3 AS DOUBLE) / 2 AS w, CAST(l_extendedprice AS DOUBLE) AS e, CAST(l_discount AS DOUBLE) AS d, CAST(l_tax AS DOUBLE) AS t, CAST(l_linenumber AS DOUBLE) AS n FROM lineitem)
+SELECT k AS row_key, CASE WHEN k % 53 = 0 THEN NULL ELSE q END AS quantity, p AS unit_price,
+  CASE WHEN k % 61 = 0 THEN NULL WHEN k % 71 = 0 THEN q * p * 1.5 ELSE q * p END AS amount,
+  CASE WHEN k % 3 = 0 THEN 0.0 ELSE r END AS rate, CASE WHEN k % 3 = 0 THEN 0.0 WHEN k % 47 = 0 THEN q * p * r + 9 ELSE q * p * r END AS commission,
+  w AS unit_weight, CASE WHEN k % 40 = 0 THEN -q * w ELSE q * w END AS weight, CASE WHEN k % 12 = 0 THEN q * e ELSE q * w * p END AS freight,
+  e AS gross, d AS discount, t AS tax, n AS position, -d * e AS rebate
+FROM b
+"""
 DIRTY_PART = """
 SELECT p_partkey AS rid, p_brand,
   CASE WHEN p_partkey % 67 = 0 THEN substr(p_type, 1, length(p_type) - 1) WHEN p_partkey % 9 = 0 THEN lower(p_type)
@@ -63,4 +73,4 @@ SELECT s_suppkey AS rid, CASE WHEN s_suppkey % 7 = 0 THEN lower(s_name) ELSE s_n
   s_acctbal AS list_price, CASE WHEN s_suppkey % 9 = 0 THEN -1.5 ELSE CAST(s_nationkey AS DOUBLE) END AS score
 FROM supplier
 """
-VIEWS = {"dirty_customer": ("customer", DIRTY_CUSTOMER), "dirty_orders": ("orders", DIRTY_ORDERS), "dirty_lineitem": ("lineitem", DIRTY_LINEITEM), "dirty_part": ("part", DIRTY_PART), "dirty_supplier": ("supplier", DIRTY_SUPPLIER)}
+VIEWS = {"dirty_customer": ("customer", DIRTY_CUSTOMER), "dirty_orders": ("orders", DIRTY_ORDERS), "dirty_lineitem": ("lineitem", DIRTY_LINEITEM), "wide_lineitem": ("lineitem", WIDE_LINEITEM), "dirty_part": ("part", DIRTY_PART), "dirty_supplier": ("supplier", DIRTY_SUPPLIER)}
