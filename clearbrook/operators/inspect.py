@@ -6,7 +6,7 @@ from datetime import date
 from decimal import Decimal
 from math import isfinite
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
@@ -54,6 +54,24 @@ def date_issues(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     return out.withColumn("recommend_dayfirst", F.col("day_first") > F.col("month_first"))
 
 
+def _first(values: DataFrame, text: Column, when: Column, k: int) -> DataFrame:
+    """name, text: the first k distinct texts of each column among the values that fit."""
+    seen = values.where(when).groupBy("name", text.alias("text")).agg(F.min("first").alias("first"))
+    order = Window.partitionBy("name").orderBy("first", "text")
+    return seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).orderBy("name", "rank").select("name", "text")
+
+
+def date_report(df: DataFrame, order: str, column: str) -> dict:
+    """date_issues of a column with examples: the first 15 texts that are no date and the first 12 of all."""
+    _known(df, column)
+    held = value_table(df, [column], order).where("value is not null")
+    bare = strip(F.col("value"))
+    out = (date_issues(df, [column], order).first() or {"name": column, "values": 0, "month_first": 0, "day_first": 0, "recommend_dayfirst": False})
+    out = out if isinstance(out, dict) else out.asDict()
+    texts = lambda when, k: [r["text"] for r in _first(held, bare, when, k).collect()]
+    return out | {"invalid_examples": texts(dates.mixed(bare).isNull(), 15), "examples": texts(F.lit(True), 12)}
+
+
 def invalid_numbers(df: DataFrame, column: str, order: str, k: int = 15) -> list[str]:
     """The first k distinct texts of a column that aren't numbers."""
     v = value_table(df, [column], order).where("value is not null").withColumn("value", strip(F.col("value")))
@@ -70,10 +88,22 @@ def text_anomalies(df: DataFrame, order: str, columns: list[str]) -> dict:
     held = v.where("value is not null")
     for r in held.groupBy("name").agg(n(F.col("value") != strip(F.col("value"))).alias("whitespace"), n(is_null_marker(F.col("value"), PROFILE_NULLS)).alias("null_like"), F.count("*").alias("forms")).collect():
         out[r["name"]] = r.asDict() | {"case_variants": [], "typos": {}}
+    padded, marker = F.col("value") != strip(F.col("value")), is_null_marker(F.col("value"), PROFILE_NULLS)
+    for c in out.values():
+        c |= {"whitespace_examples": [], "null_like_examples": []}
+    for what, when in (("whitespace_examples", padded), ("null_like_examples", marker)):
+        for r in _first(held, F.col("value"), when, 8).collect():
+            out[r["name"]][what].append(r["text"])
     u = usable(v)
-    cases = u.groupBy("name", F.lower("value").alias("low")).agg(F.collect_list("value").alias("forms"), F.min("first").alias("first"), F.count("*").alias("k")).where("k > 1")
-    for r in top(cases.withColumn("value", F.col("low")).withColumn("n", F.lit(0)), 12).collect():
-        out[r["name"]]["case_variants"].append(sorted(r["forms"]))
+    cases = u.groupBy("name", F.lower("value").alias("low")).agg(F.min("first").alias("first"), F.count("*").alias("k")).where("k > 1")
+    shown = top(cases.withColumn("value", F.col("low")).withColumn("n", F.lit(0)), 12).select("name", "low", F.col("rank").alias("place"))
+    spelt = u.join(F.broadcast(shown), (u["name"] == shown["name"]) & (F.lower(u["value"]) == shown["low"]))  # 12 groups a column
+    by = Window.partitionBy(shown["name"], "place").orderBy(F.desc("n"), "first")
+    groups: dict[tuple[str, int], list[str]] = {}
+    for r in spelt.select(shown["name"], "place", "value", F.row_number().over(by).alias("rank")).where(F.col("rank") <= CATEGORIES).orderBy("place").collect():
+        groups.setdefault((r["name"], r["place"]), []).append(r["value"])
+    for (name, _), own in groups.items():
+        out[name]["case_variants"].append(sorted(own))
     few = [c for c in out if out[c]["forms"] <= CATEGORIES]
     forms: dict[str, list[tuple[str, int]]] = {}
     for r in u.where(F.col("name").isin(*few) & (F.length("value") >= 3)).orderBy("name", F.desc("n"), "first").collect() if few else []:
@@ -109,7 +139,7 @@ TOOLS = {
     "profile_dataset": lambda df, order: {r["name"]: r.asDict() for r in profile.column_profile(df, [c for c in df.columns if c != order], order).collect()},
     "inspect_column": inspect_column,
     "detect_numeric_issues": lambda df, order, column: (_known(df, column), numeric_issues(df, [column], order).first().asDict() | {"invalid_examples": invalid_numbers(df, column, order)})[1],
-    "detect_date_issues": lambda df, order, column: (_known(df, column), date_issues(df, [column], order).first().asDict())[1],
+    "detect_date_issues": date_report,
     "detect_text_anomalies": text_anomalies,
     "find_duplicates": find_duplicates,
     "verify_external_reference": verify_external_reference,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import dates, numbers
 from ..functions.text import PROFILE_NULLS, as_text, is_null_marker, strip
 from ..plans.model import header
-from .values import melt, top, value_table
+from .values import melt, short_key, top, value_table
 
 DATE_SAMPLE = 500
 
@@ -17,20 +19,22 @@ DATE_SAMPLE = 500
 def column_profile(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """name, rows, missing, missing_pct, unique, whitespace, null_like, numeric_ratio of each column."""
     kinds = {c: df.schema[c].dataType for c in columns}
-    v = value_table(df, columns, order)
     text = [c for c in columns if isinstance(kinds[c], T.StringType)]
     numeric = [c for c in columns if isinstance(kinds[c], T.NumericType | T.BooleanType)]
     is_text = F.col("name").isin(*text) if text else F.lit(False)
+    value, held = F.col("value"), F.col("value").isNotNull()
+    marks = [held.alias("held"), (held & is_text & (value != strip(value))).alias("padded"), (held & is_text & is_null_marker(value, PROFILE_NULLS)).alias("marker"), numbers.profiled(value).isNotNull().alias("number")]
+    # what is asked of a value is settled where it is read; a long one goes on as its digest, so its length doesn't matter
+    v = melt(df, columns, order).select("name", short_key(value).alias("key"), *marks).groupBy("name", "key", "held", "padded", "marker", "number").agg(F.count("*").alias("n"))
     n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("long")
-    held = F.col("value").isNotNull()
     out = v.groupBy("name").agg(
         F.sum("n").cast("long").alias("rows"),
-        n(~held).alias("missing"),
-        F.count("value").alias("unique"),
-        n(held & is_text & (F.col("value") != strip(F.col("value")))).alias("whitespace"),
-        n(held & is_text & is_null_marker(F.col("value"), PROFILE_NULLS)).alias("null_like"),
-        n(held & numbers.profiled(F.col("value")).isNotNull()).alias("_numbers"),
-        n(held).alias("_held"),
+        n(~F.col("held")).alias("missing"),
+        F.count("key").alias("unique"),
+        n(F.col("padded")).alias("whitespace"),
+        n(F.col("marker")).alias("null_like"),
+        n(F.col("number")).alias("_numbers"),
+        n(F.col("held")).alias("_held"),
     )
     ratio = F.when(F.col("_held") == 0, 0.0).when(F.col("name").isin(*numeric) if numeric else F.lit(False), 1.0).otherwise(numbers.round_even(F.col("_numbers") / F.col("_held"), 4))
     return out.select("name", "rows", "missing", numbers.round_even(100.0 * F.col("missing") / F.col("rows")).alias("missing_pct"), "unique", "whitespace", "null_like", ratio.alias("numeric_ratio"))
@@ -70,6 +74,11 @@ def duplicate_rows(df: DataFrame, columns: list[str], rows: bool = False) -> Dat
     return groups.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).cast("long").alias("involved"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("removable"), *([F.coalesce(F.sum("n"), F.lit(0)).alias("rows")] if rows else []))
 
 
+def audit_key(name: str) -> str:
+    """A column name with single spaces, its byte order mark kept: two names that only the mark tells apart are two columns to the audit."""
+    return re.sub(r"\s+", " ", str(name)).strip()
+
+
 def header_issues(columns: list[str]) -> list[dict]:
     """Columns whose name has line breaks, marks or doubled spaces, or clashes with another once cleaned."""
     clean = [header(c) for c in columns]

@@ -12,12 +12,21 @@ from pyspark.sql import functions as F
 from ..functions.text import as_text, is_scan_null, strip
 
 
+#: Characters of a value from which on it is grouped by its digest.
+LONG = 64
+
+
 def melt(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """(name, value, rid): a row per cell, values as text."""
     cells = [F.struct(F.lit(c).alias("name"), as_text(F.col(f"`{c}`"), df.schema[c].dataType).alias("value")) for c in columns]
     return df.select(F.col(f"`{order}`").alias("rid"), F.explode(F.array(*cells)).alias("cell")).select("rid", "cell.name", "cell.value")
 
 
+def short_key(value: Column) -> Column:
+    """A value to group by: itself, or beyond LONG characters its length and 128 bits of digest."""
+    return F.when(F.length(value) > LONG, F.concat(F.lit("\0"), F.length(value).cast("string"), F.lit(":"), F.md5(value))).otherwise(value)
+
+
 def value_table(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """(name, value, n, first): value null counts missing cells."""
     return melt(df, columns, order).groupBy("name", "value").agg(F.count("*").alias("n"), F.min("rid").alias("first"))

@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..functions.shared import shared_path
+from ..functions.text import number_text
 from ..operators import inspect as tools
 from ..operators import profile
 from ..operators import scan as scanning
 from ..operators.cleaning import clean
 from ..operators.values import value_table
 from ..sources import sinks, tabular
-from ..sources.xlsx import sheet_rows
-from . import planner, repairs, validation
+from . import planner, validation
 from .catalog import _SCAN, TEXT, _NULLS, cells, query
 from .model import OPERATIONS, Action, PlanError, Requirement, default_selection, finalise, merge_replacements, ordered, resolve_chains, reviewed, uncovered, without_repeats
 from .requirements import requirements
@@ -317,6 +318,32 @@ def _(df):
     return _rows(df, cases, "`case` string, result string")
 
 
+@query("plan_rewrites_nation", "nation", """
+WITH n AS (SELECT n_nationkey AS k, n_name AS old, lead(n_name) OVER (ORDER BY n_nationkey) AS next, last_value(n_name) OVER (PARTITION BY n_nationkey // 5 ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM nation),
+p AS (SELECT 1 AS step, 'strip_whitespace' AS operation, '' AS old, '' AS new, 'high' AS confidence, false AS review
+UNION ALL SELECT 2, 'replace_null_like', upper(old), '', 'high', false FROM n WHERE k % 2 = 0
+UNION ALL SELECT 3, 'replace_values', old, last, 'low', false FROM n WHERE k % 5 < 4
+UNION ALL SELECT 4, 'replace_values', old, coalesce(next, old), 'medium', true FROM n WHERE k % 5 = 4
+UNION ALL SELECT 5, 'no_change', 'R' || k, '', 'low', true FROM n WHERE k % 2 = 1)
+SELECT * FROM p""")
+def _(df):
+    """A plan whose replacements, markers and requirements come from a table: merged, chains followed to their ends, without repeats, in order, what isn't covered noted."""
+    rows = [(r["n_nationkey"], r["n_name"]) for r in df.orderBy("n_nationkey").collect()]  # 25 nations at every scale
+    to = {k: rows[min(i + 1, len(rows) - 1)][1] for i, (k, _) in enumerate(rows)}
+    replace = lambda test, **how: Action("replace_values", ("n_name",), replacements={n: to[k] for k, n in rows if test(k % 5)}, **how)
+    strip = Action("strip_whitespace", ("n_name",))
+    marks = Action("replace_null_like", ("n_name",), null_tokens=tuple(n.upper() for k, n in rows if k % 2 == 0))
+    needs = [Requirement(f"R{k}", "n_name", f"R{k}", ("replace_null_like",), False, (n,)) for k, n in rows]
+    final = finalise([replace(lambda k: k < 3), marks, strip, replace(lambda k: k == 4, confidence="medium", requires_review=True), strip], [replace(lambda k: k == 3, confidence="low")], needs)
+    out = []
+    for a in final:
+        step = {"strip_whitespace": 1, "replace_null_like": 2, "no_change": 5}.get(a.operation) or (4 if a.requires_review else 3)
+        pairs = [(t, "") for t in a.null_tokens or ()] or list((a.replacements or {}).items()) or [(a.reason.removeprefix("not covered: ") if a.operation == "no_change" else "", "")]
+        out += [(step, a.operation, old, new, a.confidence, a.requires_review) for old, new in pairs]
+    assert [r[0] for r in out] == sorted(r[0] for r in out)
+    return _rows(df, out, "step int, operation string, old string, new string, confidence string, review boolean")
+
+
 @query("validate_report", "dirty_customer", f"""
 WITH c AS (SELECT *, CASE WHEN lower(trim(segment)) IN {_NULLS} THEN NULL ELSE segment END AS s, TRY_CAST(replace(regexp_replace(balance_text, '[^0-9,.\\-]', '', 'g'), ',', '.') AS DOUBLE) AS b FROM dirty_customer),
 k AS (SELECT min(rid) AS rid FROM c GROUP BY cust_id, full_name, email, s, b, customer_age, phone), j AS (SELECT c.* FROM c JOIN k USING (rid)),
@@ -370,13 +397,29 @@ def _(df):
     return scanning.examples(value_table(df, ["order_date"], "rid")).where("what = 'bad_dates'").select("name", "rank", "value", "n")
 
 
-@query("clean_mixed_dates", "region", """SELECT * FROM (VALUES ('05/03/24', '2024-05-03', '2024-03-05'), ('25-12-99', '2099-12-25', '2099-12-25'), ('Jan 5 2024', '2024-01-05', '2024-01-05'), ('5 january, 2024', '2024-01-05', '2024-01-05'),
-  ('05-MAR-2021', '2021-03-05', '2021-03-05'), ('2024-01-05T10:20:30.5Z', '2024-01-05', '2024-01-05'), ('2024-01-05 10:20', '2024-01-05', '2024-01-05'), ('32/13/2020', NULL, NULL), ('maybe 3', NULL, NULL)) v(value, month_first, day_first)""")
+_DAY = "lpad(CAST({} AS VARCHAR), 4, '0') || '-' || lpad(CAST({} AS VARCHAR), 2, '0') || '-' || lpad(CAST({} AS VARCHAR), 2, '0')"
+
+
+@query("clean_mixed_dates", "mixed_dates", f"""
+SELECT k, written, CASE WHEN k % 9 >= 7 THEN NULL WHEN k % 9 = 0 THEN {_DAY.format('y % 100 + 2000', 'm', 'd')} WHEN k % 9 = 1 AND d <= 12 THEN {_DAY.format('y % 100 + 2000', 'd', 'm')} WHEN k % 9 = 1 THEN {_DAY.format('y % 100 + 2000', 'm', 'd')} ELSE {_DAY.format('y', 'm', 'd')} END AS month_first,
+  CASE WHEN k % 9 >= 7 THEN NULL WHEN k % 9 = 0 AND d <= 12 THEN {_DAY.format('y % 100 + 2000', 'd', 'm')} WHEN k % 9 <= 1 THEN {_DAY.format('y % 100 + 2000', 'm', 'd')} ELSE {_DAY.format('y', 'm', 'd')} END AS day_first
+FROM mixed_dates""")
+def _(df):
+    """All orders' dates in nine notations, read month first and day first."""
+    read = lambda first: F.date_format(dates.mixed(F.col("written"), first), "yyyy-MM-dd")
+    return df.select("k", "written", read(False).alias("month_first"), read(True).alias("day_first"))
+
+
+_POWERS = (-28, -12, -6, -1, 0, 3, 9, 14, 40)
+
+
+@query("text_of_numbers", "lineitem", f"""
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_orderkey % 10 = 9 THEN CAST('-0.0' AS DOUBLE) ELSE CAST(CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '' END || CAST(CAST(l_extendedprice AS DECIMAL(12, 2)) AS VARCHAR) || 'e' || [{', '.join(f"'{p}'" for p in _POWERS)}][CAST(l_orderkey % 9 + 1 AS INTEGER)] AS DOUBLE) END AS VARCHAR) AS printed FROM lineitem""")
 def _(df):
-    """Notations beyond year-first and four-digit years."""
-    values = ["05/03/24", "25-12-99", "Jan 5 2024", "5 january, 2024", "05-MAR-2021", "2024-01-05T10:20:30.5Z", "2024-01-05 10:20", "32/13/2020", "maybe 3"]
-    read = lambda first: F.date_format(dates.mixed(F.col("value"), first), "yyyy-MM-dd")
-    return _rows(df, [(v,) for v in values], "value string").select("value", read(False).alias("month_first"), read(True).alias("day_first"))
+    """Numbers of all sizes as text, with exponents and signed zeros."""
+    power = F.element_at(F.array(*(F.lit(f"e{p}") for p in _POWERS)), (F.col("l_orderkey") % 9 + 1).cast("int"))
+    x = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise(""), F.col("l_extendedprice").cast("decimal(12,2)").cast("string"), power).cast("double")
+    return df.select("l_orderkey", "l_linenumber", number_text(F.when(F.col("l_orderkey") % 10 == 9, F.lit(-0.0)).otherwise(x)).alias("printed"))
 
 
 @query("clean_log", "dirty_customer", f"""
@@ -391,31 +434,90 @@ def _(df):
     return _rows(df, [(e.number, e.operation, e.affected, e.rows_before, e.rows_after) for e in done.log()], "number int, operation string, affected long, rows_before long, rows_after long")
 
 
-@query("source_csv", "customer", "SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer")
+@query("source_csv", "customer", "SELECT c_custkey, c_name || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || 'say \"' || c_mktsegment || '; \"' ELSE '' END AS c_name, c_mktsegment, c_acctbal FROM customer")
 def _(df):
-    """A table written as CSV with semicolons and decimal commas, found out and read again, numbers cleaned."""
-    rows = df.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
-    path = repairs.shared_path(df.sparkSession, "csv")
-    sinks.write_csv(rows.withColumn("rid", F.col("c_custkey")).coalesce(1), path, "rid", french=True)
-    part = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").first()["path"]
-    got = tabular.read_csv(df.sparkSession, part).df
+    """A table written as one CSV file with semicolons, decimal commas, quotes and line breaks in fields, found out, read in ranges, numbers cleaned."""
+    name = F.concat("c_name", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('\nsay "'), "c_mktsegment", F.lit('; "'))).otherwise(""))
+    path = shared_path(df.sparkSession, "csv")
+    sinks.write_csv(df.select("c_custkey", name.alias("c_name"), "c_mktsegment", "c_acctbal").coalesce(1), path, "c_custkey", french=True, keep_order=True)
+    got = tabular.read_csv(df.sparkSession, _part(df.sparkSession, path)).df
     got = clean(got, [Action("to_numeric", ("c_acctbal",), decimal_comma=True)], "_rid").df
     return got.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment", "c_acctbal")
 
 
+def _part(spark, path: str) -> str:
+    """The one file of a folder."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").first()["path"]
+
+
+_ACCENTS = " é" + chr(0xFC)
+
+
+@query("source_encodings", "nation", f"SELECT 'cp1252' AS encoding, n_nationkey, n_name || '{_ACCENTS} €' AS label FROM nation UNION ALL SELECT 'latin1', n_nationkey, n_name || '{_ACCENTS}' || chr(129) FROM nation")
+def _(df):
+    """Files in cp1252 and in Latin-1, told apart by bytes that only one of them has."""
+    out = None
+    for tail in ("\x80", "\x81"):  # as bytes: a euro sign in cp1252; nothing in cp1252
+        path = shared_path(df.sparkSession, "csv")
+        label = F.concat("n_name", F.lit(_ACCENTS + (" " if tail == "\x80" else "") + tail))
+        df.select("n_nationkey", label.alias("label")).coalesce(1).write.option("encoding", "ISO-8859-1").csv(path, header=True)
+        got = tabular.read_csv(df.sparkSession, _part(df.sparkSession, path))
+        got = got.df.select(F.lit(got.meta["encoding"]).alias("encoding"), "n_nationkey", "label")
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query("source_raw", "supplier", """
+WITH x AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS r, s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_name END AS s_name, s_nationkey FROM supplier)
+SELECT 'raw' AS what, r AS _rid, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE CAST(s_suppkey AS VARCHAR) END AS a, CASE WHEN s_name IS NULL THEN '' ELSE s_name || ' ↵ ' || 'x' END AS b, '' AS c FROM x
+UNION ALL SELECT 'raw', 0, 'id', 'name', 'nothing' UNION ALL SELECT 'kept', r, CAST(s_suppkey AS VARCHAR), s_name || chr(10) || 'x', NULL FROM x WHERE s_suppkey % 5 <> 0""")
+def _(df):
+    """A file as it is, line breaks shown, and as a table: without its empty rows and its empty column."""
+    held = F.col("s_suppkey") % 5 != 0
+    path = shared_path(df.sparkSession, "csv")
+    rows = df.select(F.when(held, F.col("s_suppkey")).alias("id"), F.when(held, F.concat("s_name", F.lit("\nx"))).alias("name"), F.lit(None).cast("string").alias("nothing"), "s_suppkey")
+    sinks.write_csv(rows.coalesce(1), path, "s_suppkey")
+    got = tabular.read_csv(df.sparkSession, _part(df.sparkSession, path))
+    raw = got.raw.select(F.lit("raw").alias("what"), "_rid", F.regexp_replace("column_1", "\ufeff", "").alias("a"), F.col("column_2").alias("b"), F.col("column_3").alias("c"))
+    return raw.union(got.df.select(F.lit("kept"), "_rid", F.col("id").cast("string"), "name", F.lit(None).cast("string") if "nothing" not in got.df.columns else F.col("nothing")))
+
+
 @query("source_parquet", "supplier", "SELECT s_suppkey AS _rid, s_suppkey, s_name FROM supplier")
 def _(df):
-    path = repairs.shared_path(df.sparkSession, "table") + ".parquet"
+    path = shared_path(df.sparkSession, "table") + ".parquet"
     df.write.parquet(path)
     return tabular.read_table(df.sparkSession, path, "s_suppkey").df.select("_rid", "s_suppkey", "s_name")
 
 
-@query("source_xlsx", "nation", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+@query("source_xlsx", "supplier", "SELECT row_number() OVER (ORDER BY s_suppkey) AS _rid, s_suppkey, s_name, s_acctbal::DOUBLE AS s_acctbal FROM supplier")
+def _(df):
+    """A workbook written by tasks and read again through the loader."""
+    path = shared_path(df.sparkSession, "book") + ".xlsx"
+    sinks.write_xlsx(df.select("s_suppkey", "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal")).orderBy("s_suppkey"), path)
+    return tabular.read_table(df.sparkSession, path).df.select("_rid", "s_suppkey", "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"))
+
+
+@query("inspect_examples", "dirty_customer", r"""
+WITH v AS (SELECT rid, 'full_name' AS name, full_name AS value FROM dirty_customer UNION ALL SELECT rid, 'segment', segment FROM dirty_customer),
+e AS (SELECT name, 'whitespace' AS what, value, min(rid) AS first FROM v WHERE value <> trim(value) GROUP BY name, value
+  UNION ALL SELECT name, 'null_like', value, min(rid) FROM v WHERE lower(trim(value)) IN ('', 'na', 'n/a', 'null', 'none', 'nan', 'unknown', 'unk', 'tbd', '-', '--', '?', 'missing', 'not available') GROUP BY name, value)
+SELECT name, what, row_number() OVER (PARTITION BY name, what ORDER BY first, value) AS rank, value FROM e QUALIFY rank <= 8""")
 def _(df):
-    """A sheet as written, read cell by cell."""
-    names, rows = sheet_rows(sinks.xlsx_bytes(df.select("n_nationkey", "n_name"), None))
-    assert names == ["Cleaned Data"]
-    return _rows(df, [tuple(r) for r in rows[1:]], "n_nationkey string, n_name string")
+    """The texts that the text inspection shows."""
+    found = tools.text_anomalies(df, "rid", ["full_name", "segment"])
+    rows = [(c, what, i, v) for c, f in found.items() for what in ("whitespace", "null_like") for i, v in enumerate(f[f"{what}_examples"], 1)]
+    return _rows(df, rows, "name string, what string, rank long, value string")
+
+
+@query("inspect_dates", "dirty_orders", r"""
+WITH v AS (SELECT order_date AS value, min(rid) AS first, CASE WHEN regexp_matches(order_date, '^\d{4}') THEN coalesce(try_strptime(order_date, '%Y-%m-%d'), try_strptime(order_date, '%Y/%m/%d'))
+  ELSE coalesce(try_strptime(order_date, '%d/%m/%Y'), try_strptime(order_date, '%m/%d/%Y'), try_strptime(order_date, '%m-%d-%Y')) END AS day FROM dirty_orders WHERE order_date IS NOT NULL GROUP BY 1)
+SELECT 'invalid' AS what, row_number() OVER (ORDER BY first, value) AS rank, value FROM v WHERE day IS NULL QUALIFY rank <= 15
+UNION ALL SELECT 'all', row_number() OVER (ORDER BY first, value) AS rank, value FROM v QUALIFY rank <= 12""")
+def _(df):
+    """The texts that the date inspection shows."""
+    found = tools.date_report(df, "rid", "order_date")
+    return _rows(df, [(what, i, v) for what, key in (("invalid", "invalid_examples"), ("all", "examples")) for i, v in enumerate(found[key], 1)], "what string, rank long, value string")
 
 
 @query("source_detection", "region", """SELECT * FROM (VALUES ('encoding utf-8', 'utf-8-sig'), ('encoding cp1252', 'cp1252'), ('encoding latin1', 'latin1'), ('separator ;', ';'), ('separator tab', chr(9)), ('separator none', ','),
@@ -451,10 +553,25 @@ def _(df):
     return _rows(df, cases, "`case` string, result string")
 
 
-@query("profile_header", "region", """SELECT * FROM (VALUES ('Na' || chr(10) || 'me', 'Na me', true), ('Na me', 'Na me', true), (' x ', 'x', false)) v(name, suggested, clashes)""")
+@query("profile_header", "nation", """
+WITH x AS (SELECT CASE n_nationkey % 4 WHEN 0 THEN n_name || chr(10) || ' x' WHEN 1 THEN ' ' || n_name WHEN 2 THEN n_name ELSE 'same' || repeat(' ', CAST(n_nationkey AS INTEGER)) END AS name FROM nation),
+c AS (SELECT name, trim(regexp_replace(name, '\s+', ' ', 'g')) AS suggested FROM x)
+SELECT name, suggested, (SELECT count(*) FROM c o WHERE o.suggested = c.suggested) > 1 AS clashes FROM c WHERE name <> suggested""")
+def _(df):
+    """Names that need cleaning, made of a table's values."""
+    made = lambda k, n: (n + "\n x", " " + n, n, "same" + " " * k)[k % 4]
+    names = [made(r["n_nationkey"], r["n_name"]) for r in df.orderBy("n_nationkey").collect()]  # 25 nations at every scale
+    return _rows(df, [(h["name"], h["suggested"], h["clashes"]) for h in profile.header_issues(names)], "name string, suggested string, clashes boolean")
+
+
+@query("profile_long_texts", "documents", """
+SELECT name, count(*) AS rows, count(*) - count(value) AS missing, round_even(100.0 * (count(*) - count(value)) / count(*), 2)::DOUBLE AS missing_pct, count(DISTINCT value) AS unique, count(*) FILTER (value <> trim(value, ' 	
+
+')) AS whitespace
+FROM (SELECT 'text' AS name, text AS value FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'lang', lang FROM documents) GROUP BY name""")
 def _(df):
-    """Names that need cleaning."""
-    return _rows(df, [(h["name"], h["suggested"], h["clashes"]) for h in profile.header_issues(["Na\nme", "Na me", " x ", "fine"])], "name string, suggested string, clashes boolean")
+    """Columns with long texts, which the grouping sees as digests."""
+    return profile.column_profile(df.withColumn("rid", F.monotonically_increasing_id()), ["text", "source", "lang"], "rid").select("name", "rows", "missing", "missing_pct", "unique", "whitespace")
 
 
 _RANKED = " ".join(f"WHEN '{o}' THEN {i}" for i, o in enumerate(OPERATIONS))

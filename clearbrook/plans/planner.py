@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,25 +46,33 @@ def key_of(form: str) -> str:
 
 
 def _category_actions(name: str, c: dict) -> tuple[list[Action], list[str]]:
-    out, forms = [], dict(c.get("values") or {})
-    groups: dict[str, list[dict]] = {}
-    for v in c.get("variants") or []:
-        groups.setdefault(v["key"], []).append(v)
-    pairs, share = {}, 1.0
-    for g in groups.values():
-        total = sum(v["n"] for v in g)
-        share = min(share, max(v["n"] for v in g) / total)
-        pairs |= {v["form"]: g[0]["dominant"] for v in g if v["form"] != g[0]["dominant"]}
-    if pairs:
-        sure = share >= DOMINANT
-        out.append(Action("replace_values", (name,), "variants of one category", "high" if sure else "medium", not sure, replacements=pairs))
-    wrong: set[str] = set()
-    for source, target in (c.get("typos") or {}).items():
-        sure = SequenceMatcher(None, source.lower(), target.lower()).ratio() >= SURE_RATIO and forms.get(target, 0) >= SURE_TIMES * forms.get(source, 1)
-        group = {v["form"] for v in groups.get(key_of(source), [])} | {source}  # the whole group of the source, not its commonest form alone
-        wrong |= group
-        out.append(Action("replace_values", (name,), "probable typo", "high" if sure else "medium", not sure, replacements=dict.fromkeys(sorted(group), target)))
-    left = [f for f in forms if f not in pairs and f not in wrong]
+    """Forms of one key become the commonest of them, those of a mistyped key the commonest of the key meant.
+
+    Each of the two is one action, certain only if all its keys are: a form that makes up DOMINANT of
+    its key, a key meant that is SURE_TIMES as frequent, all forms counted, and SURE_RATIO similar.
+    """
+    forms = dict(c.get("values") or {})
+    table = pd.DataFrame({"form": list(forms), "n": list(forms.values())})
+    table["key"] = [key_of(f) for f in forms]
+    keys = table.sort_values("n", ascending=False, kind="stable").groupby("key", sort=False).agg(dominant=("form", "first"), most=("n", "first"), total=("n", "sum"), forms=("form", "size"))
+    typos = pd.DataFrame(list((c.get("typos") or {}).items()), columns=["source", "meant"], dtype=object)
+    typos["key"], typos["meant"] = [key_of(f) for f in typos["source"]], [key_of(f) for f in typos["meant"]]
+    typos = typos[(typos["key"] != typos["meant"]) & typos["key"].isin(keys.index) & typos["meant"].isin(keys.index)].drop_duplicates("key", keep="last")
+    typos = typos.join(keys, on="key").join(keys, on="meant", rsuffix="_of")
+    wrong = table.merge(typos[["key", "dominant_of"]], on="key")
+    own = table[~table["key"].isin(typos["key"])].join(keys[["dominant", "forms"]], on="key")
+    own = own[(own["forms"] > 1) & (own["form"] != own["dominant"])]
+    split = keys[(keys["forms"] > 1) & ~keys.index.isin(typos["key"])]
+    out = []
+    if len(own):
+        sure = bool((split["most"] >= DOMINANT * split["total"]).all())
+        out.append(Action("replace_values", (name,), "variants of one category", "high" if sure else "medium", not sure, replacements=dict(zip(own["form"], own["dominant"]))))
+    if len(wrong):
+        alike = [SequenceMatcher(None, a, b).ratio() >= SURE_RATIO for a, b in zip(typos["key"], typos["meant"])]
+        sure = all(alike) and bool((typos["total_of"] >= SURE_TIMES * typos["total"]).all())
+        out.append(Action("replace_values", (name,), "probable typo", "high" if sure else "medium", not sure, replacements=dict(zip(wrong["form"], wrong["dominant_of"]))))
+    done = {*own["form"], *wrong["form"]}
+    left = [f for f in forms if f not in done]
     return out, left if 2 <= len(left) <= OPEN_FORMS else []
 
 

@@ -6,13 +6,11 @@ replacements for review, or joined back where there are too many for a plan.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..functions.shared import shared_path
 from ..functions.text import DATE_SHAPE, EMAIL, digit_mask, strip
 from ..operators.values import usable
 
@@ -24,10 +22,13 @@ def email_repairs(values: DataFrame) -> DataFrame:
     u = usable(values)
     valid = u.where(F.col("value").rlike(EMAIL))
     domains = valid.groupBy("name", F.lower(F.substring_index("value", "@", -1)).alias("domain")).agg(F.sum("n").alias("seen")).where(F.col("seen") >= DOMAIN_LEAST)
-    # a domain can only match where the text ends in it, so texts are joined on their ends after each point or letter
-    broken = u.where(~F.contains(F.col("value"), F.lit("@"))).withColumn("low", F.lower("value"))
-    ends = broken.select("name", "value", "n", "low", F.explode(F.sequence(F.lit(2), F.greatest(F.length("low"), F.lit(2)))).alias("at")).withColumn("domain", F.expr("substring(low, at)"))
-    hit = ends.join(domains, ["name", "domain"]).withColumn("local", F.expr("substring(value, 1, at - 1)")).where(F.col("local").rlike(r"\A[A-Za-z0-9][A-Za-z0-9._%+\-]*\z"))
+    # a text can only end in a domain of one of the lengths that domains of its column have, so it is joined on its ends of
+    # those lengths: what a text costs follows the domains, not the text
+    lengths = domains.groupBy("name").agg(F.collect_set(F.length("domain")).alias("lengths"))
+    broken = u.where(~F.contains(F.col("value"), F.lit("@"))).join(F.broadcast(lengths), "name")  # a row per column
+    fitting = F.filter("lengths", lambda k: k < F.length("value"))
+    ends = broken.select("name", "value", "n", F.explode(fitting).alias("size")).withColumn("domain", F.lower(F.expr("right(value, size)")))
+    hit = ends.join(domains, ["name", "domain"]).withColumn("local", F.expr("left(value, length(value) - size)")).where(F.col("local").rlike(r"\A[A-Za-z0-9][A-Za-z0-9._%+\-]*\z"))
     best = hit.groupBy("name", "value", "n").agg(F.max_by(F.struct("local", "domain"), F.length("domain")).alias("b"))
     return best.select("name", "value", F.concat("b.local", F.lit("@"), "b.domain").alias("repaired"), "n")
 
@@ -81,16 +82,6 @@ def iso_dates(values: DataFrame) -> DataFrame:
     return u.select("name", "value", real.alias("iso"), kind.alias("certainty"), "n")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``. Where that is unset, a session on one machine gets a temporary folder; a cluster is refused."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="clearbrook-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(pairs: DataFrame) -> str:
     """The pairs as Parquet in the shared folder; their path."""
     path = shared_path(pairs.sparkSession, "repairs")

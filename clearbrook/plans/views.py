@@ -73,4 +73,15 @@ SELECT s_suppkey AS rid, CASE WHEN s_suppkey % 7 = 0 THEN lower(s_name) ELSE s_n
   s_acctbal AS list_price, CASE WHEN s_suppkey % 9 = 0 THEN -1.5 ELSE CAST(s_nationkey AS DOUBLE) END AS score
 FROM supplier
 """
-VIEWS = {"dirty_customer": ("customer", DIRTY_CUSTOMER), "dirty_orders": ("orders", DIRTY_ORDERS), "dirty_lineitem": ("lineitem", DIRTY_LINEITEM), "wide_lineitem": ("lineitem", WIDE_LINEITEM), "dirty_part": ("part", DIRTY_PART), "dirty_supplier": ("supplier", DIRTY_SUPPLIER)}
+_SHORT = "CASE m " + " ".join(f"WHEN {i} THEN '{n[:3]}'" for i, n in enumerate("January February March April May June July August September October November December".split(), 1)) + " END"
+_LONG = "CASE m " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate("January February March April May June July August September October November December".split(), 1)) + " END"
+#: Every order's date in one of nine notations; y, m, d as they are.
+MIXED_DATES = f"""
+WITH b AS (SELECT o_orderkey AS k, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(year(o_orderdate) AS VARCHAR(4)) AS ys,
+    lpad(CAST(month(o_orderdate) AS VARCHAR(2)), 2, '0') AS ms, lpad(CAST(day(o_orderdate) AS VARCHAR(2)), 2, '0') AS ds FROM orders)
+SELECT k, y, m, d, CASE k % 9 WHEN 0 THEN ms || '/' || ds || '/' || substr(ys, 3, 2) WHEN 1 THEN ds || '-' || ms || '-' || substr(ys, 3, 2) WHEN 2 THEN {_SHORT} || ' ' || ds || ' ' || ys
+    WHEN 3 THEN ds || ' ' || lower({_LONG}) || ', ' || ys WHEN 4 THEN ds || '-' || upper({_SHORT}) || '-' || ys WHEN 5 THEN ys || '-' || ms || '-' || ds || 'T10:20:30.5Z'
+    WHEN 6 THEN ys || '/' || ms || '/' || ds || ' 10:20' WHEN 7 THEN '32/13/' || ys ELSE 'maybe ' || ds END AS written
+FROM b
+"""
+VIEWS = {"dirty_customer": ("customer", DIRTY_CUSTOMER), "dirty_orders": ("orders", DIRTY_ORDERS), "dirty_lineitem": ("lineitem", DIRTY_LINEITEM), "wide_lineitem": ("lineitem", WIDE_LINEITEM), "mixed_dates": ("orders", MIXED_DATES), "dirty_part": ("part", DIRTY_PART), "dirty_supplier": ("supplier", DIRTY_SUPPLIER)}

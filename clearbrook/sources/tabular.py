@@ -17,14 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.model import header
+from . import ranges, xlsx
 
 HEAD = 1 << 20
 # Cell texts that mean missing, and words that hint at a header.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 HINTS = ("id", "date", "name", "country", "pays", "nation", "city", "population", "sales", "price", "amount", "quantity", "category", "product", "customer", "client", "email", "phone", "currency", "rate", "salary", "department", "status", "observation")
 _NUMERIC = re.compile(r"-?\d+(?:[.,]\d+)?")
-#: Characters of Latin-1 that the same byte isn't in cp1252.
-_CP1252 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
 @dataclass
@@ -119,99 +118,27 @@ def _finish(spark: SparkSession, rows: DataFrame, width: int, head: list[list],
     return Loaded(typed(data, names), raw, meta | {"header_row": at, "header_issues": issues})
 
 
-def _encoding(spark: SparkSession, path: str, head: bytes) -> str:
-    """The encoding that detect_encoding would give for the whole file, checked line by line: line ends are no part of a character."""
-
-    def check(batches):
-        import pyarrow as pa
-
-        fits = {"utf-8": True, "cp1252": True}
-        for batch in batches:
-            for line in batch.column(0).to_pylist():
-                for name in [k for k, v in fits.items() if v and not line.isascii()]:
-                    try:
-                        line.decode(name)
-                    except UnicodeDecodeError:
-                        fits[name] = False
-        yield pa.RecordBatch.from_pydict({"utf8": [fits["utf-8"]], "cp1252": [fits["cp1252"]]})
-
-    lines = spark.read.text(path).select(F.col("value").cast("binary"))
-    row = lines.mapInArrow(check, "utf8 boolean, cp1252 boolean").agg(F.bool_and("utf8").alias("utf8"), F.bool_and("cp1252").alias("cp1252")).first()
-    if row["utf8"] is not False:
-        return detect_encoding(head)
-    return "cp1252" if row["cp1252"] else "latin1"
-
-
-def _widest(rows: DataFrame, sep: str, width: int) -> int:
-    """The most fields of a row, where ``rows`` has _bad, the text of each row that doesn't have ``width`` fields, and c0."""
-
-    def count(batches):
-        import pyarrow as pa
-
-        most = 0
-        for batch in batches:
-            for line in batch.column(0).to_pylist():
-                most = max(most, max((len(r) for r in csv.reader(io.StringIO(line, newline=""), delimiter=sep)), default=0))
-        yield pa.RecordBatch.from_pydict({"most": pa.array([most], pa.int64())})
-
-    # c0 is read too, since Spark refuses to read the column of bad rows alone
-    found = rows.where("_bad is not null").select("_bad", "c0").mapInArrow(count, "most long").agg(F.max("most").alias("most")).first()["most"]
-    return max(width, found or 0)
-
-
 def read_csv(spark: SparkSession, path: str) -> Loaded:
-    """A CSV file, quoted fields with line breaks included; such a file is read by one task.
+    """A CSV file of any size, quoted fields with line breaks included, read by as many tasks as it has splits.
 
-    Many files, or files too large for one task, should be loaded as one table per file or as Parquet.
+    Records are numbered in file order without the blank ones. Shorter records are filled up with nulls.
     """
-    data = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD)).first()[0])
-    encoding = _encoding(spark, path, data)
-    text = data.decode(encoding, errors="ignore")
-    sep = detect_separator(text)
-    head = list(csv.reader(io.StringIO(text), delimiter=sep))
-    head, width = [r for r in head if any(_held(c) for c in r)][:10], max(map(len, head), default=1)
-    name = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin1": "ISO-8859-1"}[encoding]
-    def read(width: int, more: str = "", **options) -> DataFrame:
-        schema = ", ".join(f"c{i} string" for i in range(width)) + more
-        return spark.read.schema(schema).csv(path, header=False, multiLine=True, sep=sep, encoding=name, quote='"', escape='"', mode="PERMISSIVE", **options)
-
-    width = _widest(read(width, ", _bad string", columnNameOfCorruptRecord="_bad"), sep, width)
-    rows = read(width)
-    if encoding == "cp1252":  # read as Latin-1, which differs in these characters alone; Spark's own reader refuses cp1252 by default
-        rows = rows.select(*(F.translate(c, "".join(_CP1252), "".join(_CP1252.values())).alias(c) for c in rows.columns))
-    rows = rows.withColumn("_rid", F.monotonically_increasing_id())  # one file, one task: 0, 1, 2...
-    return _finish(spark, rows, width, head, {"file_type": "csv", "encoding": encoding, "separator": sep})
+    top = ranges.head(spark, path, HEAD)
+    sep = detect_separator(top.decode(detect_encoding(top), errors="ignore"))
+    rows, encoding = ranges.records(spark, path, sep)
+    row = rows.agg(F.max(F.size("cells")).alias("width"), F.sort_array(F.collect_list(F.when(F.col("_rid") < 12, F.struct("_rid", "cells")))).alias("head")).first()
+    width, first = max(row["width"] or 1, 1), [[c if c != "" else None for c in r["cells"]] for r in row["head"]]
+    cells = rows.select("_rid", *(F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(width)))
+    return _finish(spark, cells, width, first, {"file_type": "csv", "encoding": encoding, "separator": sep})
 
 
 def read_xlsx(spark: SparkSession, path: str) -> Loaded:
-    """The first sheet of a workbook. A workbook is one zip archive, so one task parses it."""
-    from .xlsx import sheet_rows
-
-    content = spark.read.format("binaryFile").load(path).select("content")
-
-    def look(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for blob in batch.column(0):
-                names, rows = sheet_rows(blob.as_py())
-                yield pa.RecordBatch.from_pydict({"names": [names], "head": pa.array([rows[:12]], pa.list_(pa.list_(pa.string()))), "width": pa.array([max(map(len, rows), default=1)], pa.int32())})
-
-    found = content.mapInArrow(look, "names array<string>, head array<array<string>>, width int").first()
-    names, head, width = found["names"], found["head"], found["width"]
-
-    def parse(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for blob in batch.column(0):
-                rows = [[*r, *[None] * (width - len(r))] for r in sheet_rows(blob.as_py())[1]]
-                for i in range(0, len(rows), 10_000):
-                    part = rows[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(range(i, i + len(part)), pa.int64()), *(pa.array([r[c] for r in part], pa.string()) for c in range(width))], names=["_rid", *(f"c{c}" for c in range(width))])
-
-    rows = content.mapInArrow(parse, "_rid long, " + ", ".join(f"c{i} string" for i in range(width)))
-    return _finish(spark, rows, width, head, {"file_type": "xlsx", "sheet_name": names[0] if names else None, "sheet_names": names})
+    """The first sheet of a workbook; its rows are parsed by many tasks."""
+    rows, names = xlsx.workbook(spark, path)
+    row = rows.agg(F.max(F.size("cells")).alias("width"), F.sort_array(F.collect_list(F.when(F.col("_rid") < 12, F.struct("_rid", "cells")))).alias("head")).first()
+    width = max(row["width"] or 1, 1)
+    cells = rows.select("_rid", *(F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(width)))
+    return _finish(spark, cells, width, [list(r["cells"]) for r in row["head"]], {"file_type": "xlsx", "sheet_name": names[0] if names else None, "sheet_names": names})
 
 
 def read_table(spark: SparkSession, path: str, order: str | None = None) -> Loaded:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,3 +65,60 @@ def test_as_text_prints_like_python(spark):
 def test_mixed_dates(spark, value, month_first, day_first):
     got = [v and str(v)[:10] for d in (False, True) for v in values(spark, [value], lambda c, d=d: dates.mixed(c, d))]
     assert got == [month_first, day_first]
+
+
+def test_numbers_as_text(spark):
+    from clearbrook.functions.text import number_text
+
+    rng = random.Random(1)
+    values = [1e20, 1e-5, -0.0, 0.0, 1e16, 1e15, 9.99e-5, 1e-4, 0.1, 1e22, 1e23, 1.5e300, 1e7, 12345678.9, -1.25e-7, 9007199254740993.0, float("nan"), float("inf"), -float("inf")]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-20, 20) for _ in range(1500)] + [round(rng.uniform(0, 1e5), 2) * 10.0 ** rng.randint(-8, 14) for _ in range(1500)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(number_text(F.col("x"))).collect()]
+    wrong = [(v, g) for v, g in zip(values, got) if repr(v) != g]
+    assert all(float(g) == v and len(g) == len(repr(v)) and g[:-6] == repr(v)[:-6] for v, g in wrong) and len(wrong) < 20
+    assert [r[0] for r in spark.createDataFrame([(0.1,), (1e10,)], "x float").select(number_text(F.col("x"))).collect()] == ["0.1", "10000000000.0"]
+
+
+def test_email_repair_takes_the_longest_domain_and_linear_time(spark):
+    from clearbrook.operators.values import value_table
+    from clearbrook.plans.repairs import email_repairs
+
+    rows = [(i, f"u{i}@mail.example.org") for i in range(5)] + [(10 + i, f"v{i}@example.org") for i in range(5)] + [(20 + i, f"w{i}@rare.net") for i in range(4)]
+    rows += [(30, "annMAIL.example.org"), (31, "bobexample.org"), (32, "carrare.net"), (33, "example.org"), (34, "x" * 20_000 + "example.org"), (35, "?dexample.org")]
+    df = spark.createDataFrame(rows, "rid long, email string")
+    began = time.time()
+    got = {r["value"]: r["repaired"] for r in email_repairs(value_table(df, ["email"], "rid")).collect()}
+    assert got == {"annMAIL.example.org": "ann@mail.example.org", "bobexample.org": "bob@example.org", "x" * 20_000 + "example.org": "x" * 20_000 + "@example.org"}
+    assert time.time() - began < 15
+
+
+def test_dates_by_shape(spark):
+    from clearbrook.functions import dates
+
+    cases = {"05/03/24": ("2024-05-03", "2024-03-05"), "31.12.2020": ("2020-12-31",) * 2, "2024/2/9": ("2024-02-09",) * 2, "2024-01-05 10:20": ("2024-01-05",) * 2, "5 january, 2024": ("2024-01-05",) * 2, "2024 Mar 3": ("2024-03-03",) * 2}
+    cases |= dict.fromkeys(("2023-02-29", "13-13-2020", "2024-01-05 25:00", "5-6.2024", "", "maybe 3", "2024-1-5x"), (None, None))
+    df = spark.createDataFrame([(v,) for v in cases], "v string")
+    got = {r["v"]: tuple(str(x)[:10] if x else None for x in (r["m"], r["d"])) for r in df.select("v", dates.mixed(F.col("v")).alias("m"), dates.mixed(F.col("v"), True).alias("d")).collect()}
+    assert got == cases
+
+
+def test_categories_are_certain_as_a_whole():
+    from clearbrook.operators.scan import typos
+    from clearbrook.plans import planner
+
+    # the first key in the order of values counts, not the most frequent in total
+    assert typos([("Marseilles", 30), ("Marseille", 25), ("marseille", 20), ("Marseile", 1)])["Marseile"] == "Marseilles"
+    values = {"Paris": 40, "Lyon": 39, "paris": 3, "Pariss": 2, "Lyonn": 10}
+    actions, left = planner._category_actions("city", {"values": values, "typos": {"Pariss": "Paris", "Lyonn": "Lyon"}})
+    assert [(a.reason, a.requires_review, a.replacements) for a in actions] == [("variants of one category", False, {"paris": "Paris"}), ("probable typo", True, {"Pariss": "Paris", "Lyonn": "Lyon"})]
+    assert left == ["Paris", "Lyon"]
+    # all forms of the key meant count: 10 and 10 against 2
+    actions, _ = planner._category_actions("city", {"values": {"Marseille": 10, "MARSEILLE": 10, "Marseile": 2}, "typos": {"Marseile": "Marseille"}})
+    assert [a.requires_review for a in actions] == [True, False]
+
+
+def test_audit_keys_keep_the_mark():
+    from clearbrook.operators.profile import audit_key
+    from clearbrook.plans.model import header
+
+    assert audit_key("﻿id\n x ") == "﻿id x" and header("﻿id\n x ") == "id x"
