@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import binary, bucket_count, components, join_counted, map_arrow, map_groups, packed, stored, unpacked
+from .shared import binary, bucket_count, components, join_counted, map_arrow, map_groups, packed, small_batches, stored, unpacked
 from .words import U64, Words, combined, mix, windows, words
 
 SIZE, PERCENT = 5, 75
@@ -39,6 +39,8 @@ SIZE, PERCENT = 5, 75
 FREQUENT, MOST_FREQUENT = 4, 1 << 20
 #: Lists up to this length are finished pair by pair, longer ones in blocks of about so many tokens.
 SHORT, BLOCK_TOKENS = 32, 1 << 20
+#: Pairs of whole sets that a task is sent at once: a long pivot stands in each of its pairs.
+PAIRS_AT_ONCE = 256
 #: Bytes of ids that may be broadcast to pick rows; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 32 << 20
 
@@ -319,7 +321,8 @@ def _linked_keys(docs: DataFrame, size: int, percent: int, frequent: int, short:
         sets = stored(sets.dropDuplicates(["key"]), "sets")
 
     stars = lists.where((F.col("key") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"), percent)).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    links = stored(linked(stars, sets, percent), "links")
+    with small_batches(docs.sparkSession, PAIRS_AT_ONCE):
+        links = stored(linked(stars, sets, percent), "links")
     known = components(links).toDF("key", "component")
     mixed = lists.where("length > 2").join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
     # a list can hold a large share of the members: its summary comes to them
@@ -330,6 +333,8 @@ def _linked_keys(docs: DataFrame, size: int, percent: int, frequent: int, short:
     left, right = (some.select("list", F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("component").alias(f"c_{k}")) for k in "ab")
     pairs = left.join(right, "list").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
     links = links.union(linked(pairs, sets, percent)).union(linked_in_blocks(mixed.where(F.col("length") > short), sets, percent))
+    with small_batches(docs.sparkSession, PAIRS_AT_ONCE):
+        links = stored(links, "all-links")
     known = components(links).toDF("key", "component")
 
     named = nodes.join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))

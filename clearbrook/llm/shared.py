@@ -12,6 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,18 @@ def set_apart(columns: list[str], new: tuple[str, ...]) -> list[Column]:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run within sends at most so many rows to Python at once: for rows that can be large, since Spark bounds their number only."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: lineage ends here."""
     path = shared_folder(df.sparkSession, name)

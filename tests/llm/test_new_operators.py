@@ -235,3 +235,25 @@ def test_planted_documents_and_digests(spark, tmp_path):
         milli = 1000 * best[1] // best[2] if found else None
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         assert tuple(got[i]) == (i, len(found), *best, milli, sha(lines), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))
+
+
+def test_margin_of_the_factorization_machine_by_pairs():
+    """Bias, weights and every pair of terms, added up one by one."""
+    from clearbrook.llm import toxicity
+
+    rng = np.random.default_rng(6)
+    n = 30
+    machine = toxicity.Machine(np.sort(rng.choice(1000, n, False)).astype(np.int32), rng.random(n), -0.3, rng.normal(0, 1, n), rng.normal(0, 0.5, (n, toxicity.FACTORS)), rng.random(n) < 0.4)
+    rows = [np.sort(rng.choice(machine.codes, k, False)) for k in (0, 1, 2, 7, 25)] + [np.array([1001, 1002], np.int32)]
+    code, bounds = np.concatenate(rows).astype(np.int32), np.cumsum([0, *map(len, rows)])
+    got = machine.score(code, bounds)
+    for row, score in zip(rows, got):
+        at = [list(machine.codes).index(c) for c in row.tolist() if c in machine.codes]
+        weak = [machine.value[i] for i in at if not machine.strong[i]]
+        norm = max(np.sqrt(sum(v * v for v in weak)), toxicity.NORM)
+        x = {i: machine.value[i] if machine.strong[i] else machine.value[i] * toxicity.NORM / norm for i in at}
+        margin = machine.bias + sum(machine.linear[i] * x[i] for i in at)
+        for k, i in enumerate(at):
+            for j in at[k + 1 :]:
+                margin += sum(a * b for a, b in zip(machine.factors[i], machine.factors[j])) * x[i] * x[j]
+        assert score == pytest.approx(1 / (1 + np.exp(-margin)))
