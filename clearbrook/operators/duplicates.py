@@ -23,6 +23,12 @@ def by_key(df: DataFrame, keys: list[str], blanks: bool = False) -> DataFrame:
     return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("involved"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("removable"))
 
 
+def repeated_values(values: DataFrame, columns: list[str]) -> DataFrame:
+    """name and, as by_key with blanks, groups, involved and removable of each of the columns that has a value twice: from the value table, without the rows."""
+    twice = values.where(F.col("name").isin(*columns) & F.col("value").isNotNull() & (F.col("n") > 1))
+    return twice.groupBy("name").agg(F.count("*").alias("groups"), F.sum("n").cast("long").alias("involved"), F.sum(F.col("n") - 1).cast("long").alias("removable"))
+
+
 def key_groups(df: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
     """A row per repeated key: n, payloads (distinct), conflict, and which columns differ.
 
@@ -51,4 +57,4 @@ def hidden(df: DataFrame, columns: list[str]) -> DataFrame:
     return full(df.select(*plain), [f"c{i}" for i in range(len(columns))])
 
 
-__all__ = ["full", "by_key", "key_groups", "key_summary", "hidden"]
+__all__ = ["full", "by_key", "repeated_values", "key_groups", "key_summary", "hidden"]

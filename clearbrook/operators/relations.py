@@ -43,16 +43,16 @@ def parsed(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
     return raw.select(*(F.when(numbers.finite(F.col(f"x{i}")), F.col(f"x{i}")).alias(f"x{i}") for i in range(len(names))), *raw.columns[len(names) :])
 
 
-def candidates(df: DataFrame, columns: list[str], skip: set[str], facts: dict[str, dict] | None = None) -> tuple[list[str], int]:
+def candidates(df: DataFrame, columns: list[str], skip: set[str], facts: dict[str, dict] | None = None, rows: int | None = None) -> tuple[list[str], int]:
     """Columns with numbers that vary and aren't 0 and 1 alone, in the table's order, and the table's rows.
 
-    ``facts``, what a scan counted of each column (numbers, min, max, flags), saves parsing the texts once more.
+    ``facts``, what a scan counted of each column (numbers, min, max, flags), saves parsing the texts once more, with ``rows`` all reading.
     """
     named = [c for c in columns if c not in skip and isinstance(df.schema[c].dataType, T.NumericType | T.StringType)]
     told = {c: facts[c] for c in named if facts and isinstance(df.schema[c].dataType, T.StringType)}
     read = [c for c in named if c not in told]
     aggs = [f(F.col(f"x{i}")).alias(f"{k}{i}") for i in range(len(read)) for k, f in (("min", F.min), ("max", F.max), ("numbers", F.count), ("flags", lambda v: F.count_if(v.isin(0.0, 1.0))))]
-    row = parsed(df, read).agg(F.count("*").alias("rows"), *aggs).first()
+    row = {"rows": rows} if not read and rows is not None else parsed(df, read).agg(F.count("*").alias("rows"), *aggs).first()
     told |= {c: {k: row[f"{k}{i}"] for k in ("min", "max", "numbers", "flags")} for i, c in enumerate(read)}
     return [c for c in named if told[c]["numbers"] >= LEAST_ROWS and told[c]["min"] < told[c]["max"] and told[c]["flags"] < told[c]["numbers"]], row["rows"]
 
@@ -146,9 +146,9 @@ def triple_counts(df: DataFrame, names: list[str], triples: list[tuple[int, int,
     return out
 
 
-def discover(df: DataFrame, columns: list[str], skip: set[str] = frozenset(), facts: dict[str, dict] | None = None) -> list[dict]:
+def discover(df: DataFrame, columns: list[str], skip: set[str] = frozenset(), facts: dict[str, dict] | None = None, rows: int | None = None) -> list[dict]:
     """The best product relations: left, right, target, rate, rows, mismatch_rows. Ties go by the columns' order in ``columns``, left and right by name."""
-    names, n = candidates(df, columns, skip, facts)
+    names, n = candidates(df, columns, skip, facts, rows)
     if len(names) < 3:
         return []
     by_name = sorted(names)

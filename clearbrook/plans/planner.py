@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CLEAN_NULLS
@@ -76,13 +76,44 @@ def _category_actions(name: str, c: dict) -> tuple[list[Action], list[str]]:
     return out, left if 2 <= len(left) <= OPEN_FORMS else []
 
 
-def _repairs(frame: DataFrame, name: str) -> dict:
-    """What an action needs to apply all repairs of a column (value, repaired): the pairs, or where they are stored; empty without any."""
-    own = frame.where(F.col("name") == name).select(F.col("value").alias("_old"), F.col("repaired").alias("_new"))
-    rows = own.limit(MOST_PAIRS + 1).collect()
-    if len(rows) <= MOST_PAIRS:
-        return {"replacements": {r["_old"]: r["_new"] for r in rows}} if rows else {}
-    return {"replacements_path": repairs.written(own)}
+#: What makes the repairs of a column, as (name, value, repaired).
+_MAKERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "email": repairs.email_repairs,
+    "phone": repairs.phone_repairs,
+    "prefix": repairs.id_prefixes,
+    "date": lambda values: repairs.iso_dates(values).where("iso is not null and iso <> value").withColumnRenamed("iso", "repaired"),
+}
+
+
+def _wanted(name: str, c: dict) -> str | None:
+    """Which repairs a column's findings ask for."""
+    if c["kind"] == "date":
+        return "date"
+    if c["kind"] == "email" and c["bad_mails"]:
+        return "email"
+    if c["identifier_like"] and len(c.get("format_patterns") or []) > 1:
+        return "phone" if PHONE.search(name) else "prefix" if c.get("key_candidate") else None
+    return None
+
+
+def _repairs(values: DataFrame, columns: dict[str, dict]) -> dict[str, dict]:
+    """What actions need to apply all repairs of each column: the pairs, or where they are stored; nothing for a column without any. One query for all columns."""
+    asked: dict[str, list[str]] = {}
+    for name, c in columns.items():
+        if what := _wanted(name, c):
+            asked.setdefault(what, []).append(name)
+    found = None
+    for what, names in asked.items():
+        own = _MAKERS[what](values.where(F.col("name").isin(*names))).select("name", "value", "repaired")
+        found = own if found is None else found.union(own)
+    if found is None:
+        return {}
+    by = Window.partitionBy("name").orderBy("value")
+    pairs: dict[str, dict] = {}
+    for r in found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= MOST_PAIRS + 1).collect():
+        pairs.setdefault(r["name"], {})[r["value"]] = r["repaired"]
+    stored = lambda name: repairs.written(found.where(F.col("name") == name).select(F.col("value").alias("_old"), F.col("repaired").alias("_new")))
+    return {name: {"replacements": own} if len(own) <= MOST_PAIRS else {"replacements_path": stored(name)} for name, own in pairs.items()}
 
 
 def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer: Callable | None = None) -> Planned:
@@ -99,6 +130,7 @@ def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer:
         if tokens := tuple(sorted(t["value"] for t in f.columns[n].get("null_tokens") or [])):
             by_tokens.setdefault(tokens, []).append(n)
     acts += [Action("replace_null_like", tuple(c), "null markers", null_tokens=t) for t, c in by_tokens.items()]
+    repaired = _repairs(values, f.columns)
     marks = {r["name"]: r for r in repairs.decimal_marks(values).collect()}
     numeric: dict[bool, list[str]] = {}
     for n in names:
@@ -113,7 +145,7 @@ def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer:
             if c["uppercase"]:
                 acts.append(Action("normalize_case", (n,), "e-mails in lower case", case_mode="lower"))
             if c["bad_mails"]:
-                pairs = _repairs(repairs.email_repairs(values), n)
+                pairs = repaired.get(n)
                 acts.append(Action("replace_values", (n,), "missing @", "medium", True, **pairs) if pairs else Action("no_change", (n,), "malformed e-mails", "low", True))
         elif kind == "numeric" and not ident:
             odd = [t["value"] for t in c.get("unparseable") or []]
@@ -132,13 +164,13 @@ def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer:
             elif c["negative"] and not c.get("age_policy"):
                 acts.append(Action("set_negative_to_null", (n,), "negative values", "medium" if NON_NEGATIVE.search(n) else "low", True))
         elif kind == "date":
-            if pairs := _repairs(repairs.iso_dates(values).where("iso is not null and iso <> value").withColumnRenamed("iso", "repaired"), n):
+            if pairs := repaired.get(n):
                 acts.append(Action("replace_values", (n,), "dates as year-month-day", **pairs))
             acts.append(Action("to_datetime", (n,), "dates", requires_review=bool(c["bad_dates"])))
         elif kind == "text" and PERSON.search(n) and c["odd_case"]:
             acts.append(Action("normalize_case", (n,), "names in title case", "medium", True, case_mode="title"))
         if ident and len(c.get("format_patterns") or []) > 1:
-            pairs = _repairs(repairs.phone_repairs(values), n) if PHONE.search(n) else _repairs(repairs.id_prefixes(values), n) if c.get("key_candidate") else None
+            pairs = repaired.get(n)
             acts.append(Action("replace_values", (n,), "identifier formats", "medium", True, **pairs) if pairs else Action("no_change", (n,), "several identifier formats", "low", True))
     acts += [Action("to_numeric", tuple(c), "numbers as text", decimal_comma=comma) for comma, c in numeric.items()]
     for key in f.key_duplicates:
