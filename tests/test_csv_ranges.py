@@ -54,8 +54,8 @@ def test_many_ranges_equal_one_reader(spark, tmp_path, small_splits, monkeypatch
     rng = random.Random(7)
     monkeypatch.setattr(ranges, "CHUNK", 3)
     inside = 0
-    for k in range(12):
-        data = random_csv(rng, 40) + (b'last,"open\nfield' if k % 4 == 0 else b"")
+    for k in range(8):
+        data = random_csv(rng, 30) + (b'last,"open\nfield' if k % 4 == 0 else b"")
         path = tmp_path / f"{k}.csv"
         path.write_bytes(data)
         rows, encoding = ranges.records(spark, f"file://{path}", ",")
@@ -64,7 +64,7 @@ def test_many_ranges_equal_one_reader(spark, tmp_path, small_splits, monkeypatch
         inside += sum(i for i, _ in found.values())
         got = sorted((r["_rid"], r["cells"]) for r in rows.collect())
         assert got == list(enumerate(whole(data, ",", encoding))), k
-    assert inside > 20  # ranges that begin inside of quotes
+    assert inside > 10  # ranges that begin inside of quotes
 
 
 def test_a_field_longer_than_ranges(spark, tmp_path, small_splits):
