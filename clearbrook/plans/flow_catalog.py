@@ -553,7 +553,7 @@ def _(df):
     return _rows(df, cases, "`case` string, result string")
 
 
-@query("profile_header", "nation", """
+@query("profile_header", "nation", r"""
 WITH x AS (SELECT CASE n_nationkey % 4 WHEN 0 THEN n_name || chr(10) || ' x' WHEN 1 THEN ' ' || n_name WHEN 2 THEN n_name ELSE 'same' || repeat(' ', CAST(n_nationkey AS INTEGER)) END AS name FROM nation),
 c AS (SELECT name, trim(regexp_replace(name, '\s+', ' ', 'g')) AS suggested FROM x)
 SELECT name, suggested, (SELECT count(*) FROM c o WHERE o.suggested = c.suggested) > 1 AS clashes FROM c WHERE name <> suggested""")
