@@ -274,9 +274,13 @@ SELECT 'segment' AS "column", c.value AS old, coalesce(w.target, g.dominant) AS
 UNION ALL SELECT name, value, '7' FROM nums WHERE x IS NULL AND lower(value) = 'seven'
 UNION ALL SELECT name, value, regexp_extract(value, '^[A-Za-z]+[-_ #:]*(\d+)$', 1) FROM s WHERE name = 'cust_id' AND regexp_matches(value, '^[A-Za-z]+[-_ #:]*\d+$')""")
 def _(df):
-    """The listed replacements of categories, number words and identifiers."""
+    """The replacements of categories, number words and identifiers, listed or stored."""
     actions = planner.plan(df, "rid", _scanned("dirty_customer")(df)).actions
-    return _rows(df, [(a.columns[0], k, v) for a in actions if a.operation == "replace_values" and a.columns[0] in ("segment", "balance_text", "cust_id") for k, v in (a.replacements or {}).items()], "`column` string, old string, new string")
+    own = [a for a in actions if a.operation == "replace_values" and a.columns[0] in ("segment", "balance_text", "cust_id")]
+    out = _rows(df, [(a.columns[0], k, v) for a in own for k, v in (a.replacements or {}).items()], "`column` string, old string, new string")
+    for a in (a for a in own if a.replacements_path):  # beyond MOST_PAIRS
+        out = out.union(df.sparkSession.read.parquet(a.replacements_path).select(F.lit(a.columns[0]), "_old", "_new"))
+    return out
 
 
 @query("plan_open_decisions", "dirty_customer", f"WITH {facts('dirty_customer')} SELECT name AS \"column\", value AS form FROM cats JOIN groups g USING (name, key) WHERE value = g.dominant AND (name, key) NOT IN (SELECT name, key FROM wrong)")

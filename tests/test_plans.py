@@ -141,3 +141,13 @@ def test_repairs_beyond_the_limit_of_a_plan(spark, monkeypatch):
         assert {i: (t.day, t.month, t.year) for i, (t, _) in got.items() if t} == dict(enumerate(days)) and got[900] == (None, None)
         assert all(e == f"user{i}@mail.org" for i, (_, e) in got.items() if e)
         assert [e.affected for e in done.log() if e.operation == "replace_values"] == [sum(i % 7 == 0 for i in range(len(days))), len(days)][:: 1 if repair[0].columns == ("email",) else -1]
+
+
+def test_the_pairs_query_gives_stored_repairs_too(spark, monkeypatch):
+    """What a plan stores because it is too long to list is part of the query's result."""
+    from __spark_entry__ import queries
+
+    run = lambda: sorted(map(tuple, queries()["plan_pairs_customer"](spark, "/root/testdata/sf0.001").collect()))
+    want = run()
+    monkeypatch.setattr(planner, "MOST_PAIRS", 1)
+    assert run() == want and sum(r[0] == "cust_id" for r in want) > 1
