@@ -11,6 +11,7 @@ scored. Only terms are inputs: not doc_id, lang, source or labels.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,6 +57,26 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def blocks(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows of about MOST_TERMS terms, which bounds the temporary arrays."""
+    i, n = 0, len(bounds) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + MOST_TERMS, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def counted(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that hold each hashed term, and the sum of their labels, added up by blocks."""
+    size = max((int(r[-1]) + 1 for r in rows if len(r)), default=0)  # a row's terms ascend
+    df, toxic = np.zeros(size, np.int64), np.zeros(size)
+    for i, j in blocks(np.cumsum([0, *map(len, rows)])):
+        some = np.concatenate(rows[i:j])
+        df += np.bincount(some, minlength=size)
+        toxic += np.bincount(some, np.repeat(labels[i:j], [len(r) for r in rows[i:j]]), minlength=size)
+    return df, toxic
+
+
 @dataclass
 class Machine:
     codes: np.ndarray  # known terms, ascending
@@ -88,12 +109,10 @@ class Machine:
 
     def score(self, code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Scores of the rows, by blocks of whole rows of about MOST_TERMS terms, which bounds the temporary arrays."""
-        out, n, i = [np.zeros(0)], len(bounds) - 1, 0
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + MOST_TERMS, "right")) - 1)
+        out = [np.zeros(0)]
+        for i, j in blocks(bounds):
             margin, _ = self.parts(*self.known(code[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]))
             out.append(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
-            i = j
         return np.concatenate(out)
 
 
@@ -103,10 +122,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, fewest: int = FEWEST, sure:
     The pass of least loss on rows set aside is kept. Every term in ``fewest`` rows can get a weight and a part in pairs.
     """
     n = len(rows)
-    everything = np.concatenate(rows) if n else np.zeros(0, np.int32)
-    df = np.bincount(everything)
+    df, toxic = counted(rows, labels)
     share = (labels.sum() + 0.5) / (n + 1)
-    toxic = np.bincount(everything, np.repeat(labels, [len(r) for r in rows])) if n else np.zeros(0)
     codes = np.flatnonzero(df >= fewest).astype(np.int32)
     df = df[codes]
     strong = np.abs(toxic[codes] - df * share) >= sure * np.sqrt(df * share * (1 - share))
@@ -114,9 +131,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, fewest: int = FEWEST, sure:
     m = Machine(codes, np.log((n + 1) / np.maximum(df, 1)) / np.log(n + 1) if n else np.zeros(0), float(np.log(share / (1 - share))), np.zeros(len(codes)), rng.normal(0, 0.02, (len(codes), FACTORS)), strong)
     if n == 0 or labels.min() == labels.max():
         return m
-    at, bounds = m.known(everything, np.cumsum([0, *map(len, rows)]))
-    at = at.astype(np.int32)
-    del everything, toxic
+    given = np.cumsum([0, *map(len, rows)])
+    at, bounds = np.empty(given[-1], np.int32), np.zeros(n + 1, np.int64)
+    for i, j in blocks(given):
+        some, ends = m.known(np.concatenate(rows[i:j]), given[i : j + 1] - given[i])
+        bounds[i : j + 1] = bounds[i] + ends
+        at[bounds[i] : bounds[j]] = some
+    at = at[: bounds[-1]]
 
     def taken(own: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Terms of the rows (the strong ones or all), their bounds and the rows' numbers of terms."""

@@ -257,3 +257,19 @@ def test_margin_of_the_factorization_machine_by_pairs():
             for j in at[k + 1 :]:
                 margin += sum(a * b for a, b in zip(machine.factors[i], machine.factors[j])) * x[i] * x[j]
         assert score == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_fitting_toxicity_holds_few_bytes_a_term():
+    """What a fit holds beside the rows' own terms is 4 bytes a term and temporary arrays of bounded size."""
+    import tracemalloc
+
+    from clearbrook.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(2000, 400, replace=False)).astype(np.int32) for _ in range(5000)]
+    labels = rng.integers(0, 2, len(rows)).astype(float)
+    tracemalloc.start()
+    fitted = toxicity.fit(rows, labels, steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(fitted.codes) == 2000 and peak < 14 * 400 * len(rows)
