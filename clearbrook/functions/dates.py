@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .shared import let
 from .text import digit_mask
 
 _YEAR_FIRST = r"\A(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?:[ T](\d{1,2}:\d{1,2}(?::\d{1,2})?)(?:\.\d+)?\s*(?:Z|UTC|[+-]\d\d:?\d\d)?)?\z"
@@ -26,13 +27,17 @@ def mixed(c: Column, dayfirst: bool = False) -> Column:
     Years of two digits are of this century; months may be English names, with or without points
     and commas; a time's fraction and zone are dropped.
     """
+    return let(c, lambda value: _mixed(value, dayfirst))
+
+
+def _mixed(c: Column, dayfirst: bool) -> Column:
     century = F.when(c.rlike(r"[-/.]\d{2}\z"), "20").otherwise("")
     first, second = ("$3-$1", "$1-$3") if dayfirst else ("$1-$3", "$3-$1")
     year_last = F.coalesce(*(_read(F.concat(century, F.regexp_replace(c, _YEAR_LAST, f"$4-{order}"))) for order in (first, second)))
-    plain = F.trim(F.regexp_replace(F.lower(c), r"[\s,./-]+", " "))
     month = lambda word: F.array_position(F.array(*(F.lit(m[:3]) for m in _MONTHS)), F.left(word, F.lit(3))).cast("string")
-    part = lambda of, i: F.regexp_extract(plain, of, i)
-    named = F.coalesce(*(F.when(plain.rlike(of), _read(F.concat_ws("-", part(of, y), month(part(of, m)), part(of, d)))) for of, y, m, d in _NAMED))
+    part = F.regexp_extract
+    of_plain = lambda plain: F.coalesce(*(F.when(plain.rlike(of), _read(F.concat_ws("-", part(plain, of, y), month(part(plain, of, m)), part(plain, of, d)))) for of, y, m, d in _NAMED))
+    named = let(F.trim(F.regexp_replace(F.lower(c), r"[\s,./-]+", " ")), of_plain)
     return F.when(c.rlike(_YEAR_FIRST), _read(F.regexp_replace(c, _YEAR_FIRST, "$1-$3-$4 $5"))).when(c.rlike(_YEAR_LAST), year_last).when(c.rlike(r"[A-Za-z]{3}"), named)
 
 

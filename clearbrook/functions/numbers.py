@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .shared import let
+
 # Currency marks that parsers ignore.
 CURRENCY = r"(?i)[$€£¥]|\b(?:USD|EUR|GBP|MAD|DHS?)\b"
 _NUMBER = r"\A[-+]?(?:\d[\d.,]*|[.,]\d+)\z"
@@ -48,8 +50,11 @@ def lenient(c: Column, decimal_comma: bool = False) -> Column:
 
 def strict(c: Column) -> Column:
     """The scan's parser: struct of value, currency, thousands_sep, decimal_comma; value is null for text that isn't wholly a number."""
-    bare = F.trim(F.regexp_replace(c, CURRENCY, ""))
-    t = F.translate(bare, "  ", "")
+    return let(F.trim(F.regexp_replace(c, CURRENCY, "")), lambda bare: let(F.translate(bare, "  ", ""), lambda t: _read(t, bare != F.trim(c))))
+
+
+def _read(t: Column, currency: Column) -> Column:
+    """The struct of ``strict`` for a text without currency and spaces."""
     ok = t.rlike(_NUMBER)
     commas, dots = _count(t, ","), _count(t, ".")
     both = (commas > 0) & (dots > 0)
@@ -63,7 +68,7 @@ def strict(c: Column) -> Column:
     )
     thousands = (both & ~_comma_last(t)) | ((dots == 0) & grouped) | ((commas == 0) & (dots > 1) & dotted)
     comma = (both & _comma_last(t)) | ((commas > 0) & (dots == 0) & ~grouped)
-    return F.struct(F.when(ok, text).try_cast("double").alias("value"), (bare != F.trim(c)).alias("currency"), (ok & thousands).alias("thousands_sep"), (ok & comma).alias("decimal_comma"))
+    return F.struct(F.when(ok, text).try_cast("double").alias("value"), currency.alias("currency"), (ok & thousands).alias("thousands_sep"), (ok & comma).alias("decimal_comma"))
 
 
 def inspected(c: Column) -> Column:

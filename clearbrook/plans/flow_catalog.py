@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.shared import shared_path
+from ..functions.shared import shared_path, stored
 from ..functions.text import number_text
 from ..operators import inspect as tools
 from ..operators import profile
@@ -257,15 +257,14 @@ for _of in TABLES:
 
     @query(f"plan_actions_{_short}", _of, actions_sql(_of))
     def _(df, of=_of):
-        actions = planner.plan(df, TABLES[of][1], _scanned(of)(df)).actions
+        actions = planner.plan(df.select(TABLES[of][1], *TABLES[of][0]), TABLES[of][1]).actions
         return _rows(df, [(a.operation, ", ".join(sorted(a.columns)), a.confidence, a.requires_review, "|".join(sorted(a.null_tokens or ())), a.case_mode or "", a.decimal_comma) for a in actions], "operation string, columns string, confidence string, requires_review boolean, null_tokens string, case_mode string, decimal_comma boolean")
 
     @query(f"quality_counts_{_short}", _of, issues_sql(_of))
     def _(df, of=_of):
         columns, order = TABLES[of]
-        values = value_table(df, columns, order).persist()
+        values = stored(value_table(df, columns, order), "values")
         counts = validation.issue_counts(df, scanning.scan(df, order, columns, values=values), order, values)
-        values.unpersist()
         return _rows(df, sorted(counts.items()), "key string, n long")
 
 
@@ -275,7 +274,7 @@ UNION ALL SELECT name, value, '7' FROM nums WHERE x IS NULL AND lower(value) = '
 UNION ALL SELECT name, value, regexp_extract(value, '^[A-Za-z]+[-_ #:]*(\d+)$', 1) FROM s WHERE name = 'cust_id' AND regexp_matches(value, '^[A-Za-z]+[-_ #:]*\d+$')""")
 def _(df):
     """The replacements of categories, number words and identifiers, listed or stored."""
-    actions = planner.plan(df, "rid", _scanned("dirty_customer")(df)).actions
+    actions = planner.plan(df, "rid").actions
     own = [a for a in actions if a.operation == "replace_values" and a.columns[0] in ("segment", "balance_text", "cust_id")]
     out = _rows(df, [(a.columns[0], k, v) for a in own for k, v in (a.replacements or {}).items()], "`column` string, old string, new string")
     for a in (a for a in own if a.replacements_path):  # beyond MOST_PAIRS
@@ -285,7 +284,7 @@ def _(df):
 
 @query("plan_open_decisions", "dirty_customer", f"WITH {facts('dirty_customer')} SELECT name AS \"column\", value AS form FROM cats JOIN groups g USING (name, key) WHERE value = g.dominant AND (name, key) NOT IN (SELECT name, key FROM wrong)")
 def _(df):
-    opened = planner.plan(df, "rid", _scanned("dirty_customer")(df)).open_decisions
+    opened = planner.plan(df, "rid").open_decisions
     return _rows(df, [(c, f) for c, forms in opened.items() for f in forms], "`column` string, form string")
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..functions.text import CLEAN_NULLS
 from ..operators import duplicates, relations
 from ..operators.scan import MOST_AGES, NON_NEGATIVE, PERSON, PHONE, Findings, implausible_ages, scan
@@ -108,18 +109,19 @@ def _repairs(values: DataFrame, columns: dict[str, dict]) -> dict[str, dict]:
         found = own if found is None else found.union(own)
     if found is None:
         return {}
+    found = stored(found, "repairs")
     by = Window.partitionBy("name").orderBy("value")
     pairs: dict[str, dict] = {}
     for r in found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= MOST_PAIRS + 1).collect():
         pairs.setdefault(r["name"], {})[r["value"]] = r["repaired"]
-    stored = lambda name: repairs.written(found.where(F.col("name") == name).select(F.col("value").alias("_old"), F.col("repaired").alias("_new")))
-    return {name: {"replacements": own} if len(own) <= MOST_PAIRS else {"replacements_path": stored(name)} for name, own in pairs.items()}
+    path = lambda name: repairs.written(found.where(F.col("name") == name).select(F.col("value").alias("_old"), F.col("repaired").alias("_new")))
+    return {name: {"replacements": own} if len(own) <= MOST_PAIRS else {"replacements_path": path(name)} for name, own in pairs.items()}
 
 
 def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer: Callable | None = None) -> Planned:
     """Scan (unless findings are given), propose, let a reviewer add replacements, finalise."""
     names = list(findings.columns) if findings else [c for c in df.columns if c != order]
-    values = value_table(df, names, order).persist()
+    values = stored(value_table(df, names, order), "values")
     f = findings or scan(df, order, names, values=values)
     acts: list[Action] = []
     opened: dict[str, list[str]] = {}
@@ -131,7 +133,8 @@ def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer:
             by_tokens.setdefault(tokens, []).append(n)
     acts += [Action("replace_null_like", tuple(c), "null markers", null_tokens=t) for t, c in by_tokens.items()]
     repaired = _repairs(values, f.columns)
-    marks = {r["name"]: r for r in repairs.decimal_marks(values).collect()}
+    asked = [n for n in names if f.columns[n]["kind"] == "numeric"]
+    marks = {r["name"]: r for r in repairs.decimal_marks(values.where(F.col("name").isin(*asked))).collect()} if asked else {}
     numeric: dict[bool, list[str]] = {}
     for n in names:
         c = f.columns[n]
@@ -186,7 +189,6 @@ def plan(df: DataFrame, order: str, findings: Findings | None = None, reviewer:
             acts.append(Action("fill_missing_from_formula", (r["target"],), "product of two columns", "medium", True, source_columns=(r["left"], r["right"])))
         if r["mismatch_rows"]:
             acts.append(Action("recalculate_from_columns", (r["target"],), "product of two columns", "medium", True, source_columns=(r["left"], r["right"])))
-    values.unpersist()
     needs = requirements(f)
     extra = reviewed(reviewer(opened) if reviewer else [], lambda v: v.strip().lower() in CLEAN_NULLS)
     return Planned(finalise(acts, extra, needs), f, needs, opened)

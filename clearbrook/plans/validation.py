@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..functions.shared import stored
 from ..functions.text import as_text, run_mask
 from ..operators import duplicates
 from ..operators.cleaning import Cleaned, clean
@@ -184,15 +185,12 @@ def quality_report(before: dict[str, int], after: dict[str, int]) -> dict:
 def quality_of(before: DataFrame, plan, order: str) -> dict:
     """The quality report of a plan: the table is read and scanned; its values after the plan are kept up, not read again."""
     columns = [c for c in before.columns if c != order]
-    values = value_table(before, columns, order).persist()
+    values = stored(value_table(before, columns, order), "values")
     first = scan(before, order, columns, values=values)
     after = clean(before, plan, order, count=False).df
-    later = value_table_after(values, before, plan, order).persist()
+    later = stored(value_table_after(values, before, plan, order), "values")
     second = scan(after, order, values=later)
-    out = quality_report(issue_counts(before, first, order, values), issue_counts(after, second, order, later))
-    later.unpersist()
-    values.unpersist()
-    return out
+    return quality_report(issue_counts(before, first, order, values), issue_counts(after, second, order, later))
 
 
 __all__ = ["validate", "validate_cleaning", "quality_report", "quality_of", "issue_counts", "new_missing", "negatives", "numbers"]

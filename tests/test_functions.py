@@ -122,3 +122,9 @@ def test_audit_keys_keep_the_mark():
     from clearbrook.plans.model import header
 
     assert audit_key("﻿id\n x ") == "﻿id x" and header("﻿id\n x ") == "id x"
+
+
+def test_a_text_loses_its_currency_once(spark):
+    """The parser's steps name what they need of a text; it's worked out once, not at each of them."""
+    plan = spark.range(3).select(numbers.strict(F.col("id").cast("string")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("USD") == 1

@@ -151,3 +151,13 @@ def test_the_pairs_query_gives_stored_repairs_too(spark, monkeypatch):
     want = run()
     monkeypatch.setattr(planner, "MOST_PAIRS", 1)
     assert run() == want and sum(r[0] == "cust_id" for r in want) > 1
+
+
+def test_a_scan_works_out_its_values_once(spark, monkeypatch):
+    """The lists come from stored tables of values, not from the rows again."""
+    from clearbrook.operators import scan as scanning
+
+    seen, own = [], scanning.listed
+    monkeypatch.setattr(scanning, "listed", lambda values, stripped, *rest: seen.extend((values, stripped)) or own(values, stripped, *rest))
+    scan(spark.createDataFrame([(i, f" {i % 9} ") for i in range(40)], "rid long, a string"), "rid")
+    assert len(seen) == 2 and all(frame.inputFiles() for frame in seen)
