@@ -48,7 +48,7 @@ def value_table_after(values: DataFrame, before: DataFrame, plan, order: str) ->
     actions = actions_of(plan)
     if any(a.operation == "drop_duplicates_by_columns" or a.replacements_path or len(a.replacements or ()) > MOST_LITERAL_PAIRS for a in actions):
         after = clean(before, actions, order, count=False).df
-        return value_table(after, [c for c in after.columns if c != order], order)
+        return value_table(after, [c for c in after.columns if c != order], order, before.count())
     kinds = {c: before.schema[c].dataType for c in before.columns if c != order}
     aliases: dict[str, str] = {}
     stale: set[str] = set()
@@ -82,5 +82,5 @@ def value_table_after(values: DataFrame, before: DataFrame, plan, order: str) ->
     out = frame.where(F.col("name").isin(*fresh)).groupBy("name", "value").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 0")
     if stale:
         after = clean(before, actions, order, count=False).df
-        out = out.union(value_table(after, [c for c in after.columns if c in stale], order))
+        out = out.union(value_table(after, [c for c in after.columns if c in stale], order, before.count()))
     return out

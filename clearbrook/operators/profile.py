@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, numbers
-from ..functions.text import PROFILE_NULLS, as_text, is_null_marker, strip
+from ..functions.shared import let
+from ..functions.text import PROFILE_NULLS, as_text, strip
 from ..plans.model import header
-from .values import melt, short_key, top, value_table
+from .values import LONG, melt, short_key, spread, top, value_table
 
 DATE_SAMPLE = 500
 
@@ -22,19 +23,24 @@ def column_profile(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     text = [c for c in columns if isinstance(kinds[c], T.StringType)]
     numeric = [c for c in columns if isinstance(kinds[c], T.NumericType | T.BooleanType)]
     is_text = F.col("name").isin(*text) if text else F.lit(False)
-    value, held = F.col("value"), F.col("value").isNotNull()
-    marks = [held.alias("held"), (held & is_text & (value != strip(value))).alias("padded"), (held & is_text & is_null_marker(value, PROFILE_NULLS)).alias("marker"), numbers.profiled(value).isNotNull().alias("number")]
-    # what is asked of a value is settled where it is read; a long one goes on as its digest, so its length doesn't matter
-    v = melt(df, columns, order).select("name", short_key(value).alias("key"), *marks).groupBy("name", "key", "held", "padded", "marker", "number").agg(F.count("*").alias("n"))
+    signs = lambda v, bare: (v != bare).cast("int") + F.when(F.lower(bare).isin(*PROFILE_NULLS), 2).otherwise(0) + F.when(numbers.profiled(v).isNotNull(), 4).otherwise(0)
+    marks = lambda v: let(strip(v), lambda bare: signs(v, bare))
+    # what is asked of a long value is settled where it is read and it goes on as its digest, so its length doesn't matter; of other values once they are counted
+    cell = lambda v: F.struct(short_key(v).alias("key"), F.when(F.length(v) > LONG, marks(v)).alias("marks"))
+    cells = F.transform(F.array(*(as_text(F.col(f"`{c}`"), kinds[c]) for c in columns)), cell)
+    rows = spread(df.select(F.col(f"`{order}`").alias("rid"), cells.alias("cells")), "rid", df.count() * len(columns))
+    v = rows.select(F.posexplode("cells").alias("at", "cell")).select("at", "cell.key", "cell.marks").groupBy("at", "key", "marks").agg(F.count("*").alias("n"))
+    v = v.select(F.get(F.array(*map(F.lit, columns)), F.col("at")).alias("name"), "key", "n", F.coalesce("marks", marks(F.col("key"))).alias("marks"))
     n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("long")
+    marked = lambda bit: F.col("marks").bitwiseAND(bit) > 0
     out = v.groupBy("name").agg(
         F.sum("n").cast("long").alias("rows"),
-        n(~F.col("held")).alias("missing"),
+        n(F.col("key").isNull()).alias("missing"),
         F.count("key").alias("unique"),
-        n(F.col("padded")).alias("whitespace"),
-        n(F.col("marker")).alias("null_like"),
-        n(F.col("number")).alias("_numbers"),
-        n(F.col("held")).alias("_held"),
+        n(is_text & marked(1)).alias("whitespace"),
+        n(is_text & marked(2)).alias("null_like"),
+        n(marked(4)).alias("_numbers"),
+        n(F.col("key").isNotNull()).alias("_held"),
     )
     ratio = F.when(F.col("_held") == 0, 0.0).when(F.col("name").isin(*numeric) if numeric else F.lit(False), 1.0).otherwise(numbers.round_even(F.col("_numbers") / F.col("_held"), 4))
     return out.select("name", "rows", "missing", numbers.round_even(100.0 * F.col("missing") / F.col("rows")).alias("missing_pct"), "unique", "whitespace", "null_like", ratio.alias("numeric_ratio"))

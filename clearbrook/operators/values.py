@@ -1,7 +1,8 @@
 """The value table: every column's distinct values, counted. Most detectors only need this.
 
 One shuffle with map-side combining serves all columns and all detectors, and rules run
-once per distinct value instead of once per row.
+once per distinct value instead of once per row. Rows of a large table are spread over
+tasks first, so that what a task combines doesn't grow with the table.
 """
 
 from __future__ import annotations
@@ -14,10 +15,19 @@ from ..functions.text import as_text, is_scan_null, strip
 
 #: Characters of a value from which on it is grouped by its digest.
 LONG = 64
+#: Cells that a task counts, roughly.
+CELLS = 1_000_000
 
 
-def melt(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """(name, value, rid): a row per cell, values as text."""
+def spread(rows: DataFrame, order: str, cells: int) -> DataFrame:
+    """Rows of so many cells in tasks of CELLS each. A task holds all distinct cells that it reads until it has counted them, and a large file may come in one piece."""
+    tasks = -(-cells // CELLS)
+    return rows.repartition(tasks, F.col(f"`{order}`")) if tasks > 1 else rows
+
+
+def melt(df: DataFrame, columns: list[str], order: str, rows: int | None = None) -> DataFrame:
+    """(name, value, rid): a row per cell, values as text. ``rows``, if known, is about how many the table has; else they are counted."""
+    df = spread(df.select(*(F.col(f"`{c}`") for c in dict.fromkeys((order, *columns)))), order, (df.count() if rows is None else rows) * len(columns))
     cells = [F.struct(F.lit(c).alias("name"), as_text(F.col(f"`{c}`"), df.schema[c].dataType).alias("value")) for c in columns]
     return df.select(F.col(f"`{order}`").alias("rid"), F.explode(F.array(*cells)).alias("cell")).select("rid", "cell.name", "cell.value")
 
@@ -27,9 +37,9 @@ def short_key(value: Column) -> Column:
     return F.when(F.length(value) > LONG, F.concat(F.lit("\0"), F.length(value).cast("string"), F.lit(":"), F.md5(value))).otherwise(value)
 
 
-def value_table(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """(name, value, n, first): value null counts missing cells."""
-    return melt(df, columns, order).groupBy("name", "value").agg(F.count("*").alias("n"), F.min("rid").alias("first"))
+def value_table(df: DataFrame, columns: list[str], order: str, rows: int | None = None) -> DataFrame:
+    """(name, value, n, first): value null counts missing cells. ``rows`` as in melt."""
+    return melt(df, columns, order, rows).groupBy("name", "value").agg(F.count("*").alias("n"), F.min("rid").alias("first"))
 
 
 def forms(values: DataFrame) -> DataFrame:
